@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,29 +11,44 @@ def attach(df: DataFrame, one_row: DataFrame, name: str = "_s") -> DataFrame:
     return df.withColumn(name, one_row.select(F.struct("*").alias(name)).scalar())
 
 
-def add(parts: list[Column]) -> Column:
-    return reduce(lambda a, b: a + b, parts)
+# Vector arithmetic over plain columns is written as SQL text: one expression to parse instead of
+# one call per operator, and the sums stay in generated code.
+
+
+def plus(parts) -> str:
+    return "(" + " + ".join(parts) + ")"
 
 
-def dot(left: list[Column], right: list[Column]) -> Column:
-    return add([a * b for a, b in zip(left, right)])
+def dot(left: list[str], right: list[str]) -> str:
+    return plus(f"{a} * {b}" for a, b in zip(left, right))
 
 
-def norm(parts: list[Column]) -> Column:
-    return F.sqrt(dot(parts, parts))
+def norm(parts: list[str]) -> str:
+    return f"sqrt({dot(parts, parts)})"
 
 
-def cosine(left: list[Column], right: list[Column]) -> Column:
+def cosine(left: list[str], right: list[str]) -> str:
     """0 where either vector has no length."""
-    return F.coalesce(F.try_divide(dot(left, right), norm(left) * norm(right)), F.lit(0.0))
+    return f"coalesce(try_divide({dot(left, right)}, {norm(left)} * {norm(right)}), 0D)"
+
+
+def euclidean(left: list[str], right: list[str]) -> str:
+    return f"sqrt({plus(f'({a} - {b}) * ({a} - {b})' for a, b in zip(left, right))})"
+
+
+def manhattan(left: list[str], right: list[str]) -> str:
+    return plus(f"abs({a} - {b})" for a, b in zip(left, right))
+
+
+DISTANCES = {"euclidean": euclidean, "manhattan": manhattan}
 
 
-def euclidean(left: list[Column], right: list[Column]) -> Column:
-    return F.sqrt(add([(a - b) * (a - b) for a, b in zip(left, right)]))
+def total(parts) -> Column:
+    return F.expr(plus(parts))
 
 
-def manhattan(left: list[Column], right: list[Column]) -> Column:
-    return add([F.abs(a - b) for a, b in zip(left, right)])
+def named(prefix: str, features: list[str]) -> list[str]:
+    return [f"{prefix}{f}" for f in features]
 
 
 def array_dot(a, b) -> Column:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankflow.functions.expr import add, attach
+from rankflow.functions.expr import attach, total
 from rankflow.session import estimated_bytes
 
 IN_MEMORY_BYTES = 64 * 1024 * 1024
@@ -53,11 +53,10 @@ def _bracketed(df: DataFrame, columns: list[str], probs: list[float], keys: list
         marked = attach(wide, rough).select("*", "_s.*").drop("_s")
 
     def bracket(c: str):
-        bounds, value = F.col(f"_b_{c}")["b"], F.col(c)
         steps = []
         for i in range(len(probs)):
-            steps += [(value >= bounds[2 * i]).cast("int"), (value > bounds[2 * i + 1]).cast("int")]
-        return add(steps)
+            steps += [f"int({c} >= _b_{c}.b[{2 * i}])", f"int({c} > _b_{c}.b[{2 * i + 1}])"]
+        return total(steps)
 
     entries = [
         F.struct(

@@ -17,17 +17,16 @@ def by_user():
 
 def candidate_z(candidates: DataFrame, features: list[str], prefix: str = "z_") -> DataFrame:
     """z-scores within each user's candidate set (population std, missing = 0, constant -> 0)."""
-    filled = {f: F.coalesce(F.col(f), F.lit(0.0)) for f in features}
-    moments = candidates.withColumns(
-        {f"_m_{f}": F.avg(filled[f]).over(by_user()) for f in features}
-        | {f"_d_{f}": F.stddev_pop(filled[f]).over(by_user()) for f in features}
+    over = "OVER (PARTITION BY user_id)"
+    moments = candidates.selectExpr(
+        "*",
+        *[f"avg(coalesce({f}, 0D)) {over} AS _m_{f}" for f in features],
+        *[f"stddev_pop(coalesce({f}, 0D)) {over} AS _d_{f}" for f in features],
+    )
+    return moments.selectExpr(
+        *candidates.columns,
+        *[f"coalesce(try_divide(coalesce({f}, 0D) - _m_{f}, _d_{f}), 0D) AS {prefix}{f}" for f in features],
     )
-    return moments.withColumns(
-        {
-            f"{prefix}{f}": F.coalesce(F.try_divide(filled[f] - F.col(f"_m_{f}"), F.col(f"_d_{f}")), F.lit(0.0))
-            for f in features
-        }
-    ).drop(*[f"_{k}_{f}" for k in "md" for f in features])
 
 
 def mmr(
@@ -47,50 +46,42 @@ def mmr(
         return candidates.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= n).select(
             "user_id", "rank", "item", "score"
         )
-    lam = F.lit(settings.diversity_lambda)
-    z = [F.col(f"z_{f}") for f in features]
-    compare = "_v_{}"
-    v = [F.col(compare.format(i)) for i in range(len(features))]
-    zed = candidate_z(candidates.select("user_id", "item", "score", *features), features).withColumns(
-        {"_count": F.count(F.lit(1)).over(by_user()), "_by_score": F.row_number().over(by_score), "_len": X.norm(z)}
+    lam, over = settings.diversity_lambda, "OVER (PARTITION BY user_id)"
+    z, v = X.named("z_", features), [f"_v{i}" for i in range(len(features))]
+    zed = candidate_z(candidates.select("user_id", "item", "score", *features), features)
+    zed = zed.withColumn("_by_score", F.row_number().over(by_score)).selectExpr(
+        "*", f"count(1) {over} AS _count", f"{X.norm(z)} AS _len"
     )
     # Cosine between unit vectors is a plain dot product; distances compare the z-vectors themselves.
-    scaled = [F.coalesce(F.try_divide(c, F.col("_len")), F.lit(0.0)) if metric == "cosine" else c for c in z]
-    state = zed.select(
-        "user_id", "item", "score", "_count", "_by_score", *[c.alias(compare.format(i)) for i, c in enumerate(scaled)],
-        F.lit(None).cast("int").alias("_rank"), F.lit(None).cast("double").alias("_near"),
-        F.lit(None).cast("double").alias("_far"),
+    compared = "coalesce(try_divide({}, _len), 0D) AS {}" if metric == "cosine" else "{} AS {}"
+    state = zed.selectExpr(
+        "user_id", "item", "score", "_count", "_by_score", *[compared.format(c, n_) for c, n_ in zip(z, v)],
+        "int(NULL) AS _rank", "double(NULL) AS _near", "double(NULL) AS _far",
     )
-    for pick_number in range(1, n + 1):
-        if metric == "cosine":
-            penalty = F.col("_near")
-        else:
-            penalty = F.lit(1.0) - F.coalesce(F.try_divide(F.col("_near"), F.col("_far")), F.lit(0.0))
-        known = F.coalesce(F.when(F.col("_near").isNotNull(), penalty), F.lit(0.0))
-        value = lam * F.col("score") - (F.lit(1.0) - lam) * known
+    penalty = "coalesce(_near, 0D)"
+    if metric != "cosine":
+        penalty = "IF(_near IS NULL, 0D, 1D - coalesce(try_divide(_near, _far), 0D))"
+    worth = f"{1 - lam!r}D * {penalty} - {lam!r}D * score"
+    offer = ", ".join(["'worth'", worth, "'item'", "item", *[f"'{c}', {c}" for c in v]])
+    for number in range(1, n + 1):
         # Small candidate sets keep their score ranking and offer nothing.
-        offer = F.when(
-            F.col("_rank").isNull() & (F.col("_count") > n),
-            F.struct((-value).alias("worth"), F.col("item").alias("item"), *v),
+        picked = state.selectExpr(
+            "*", f"min(IF(_rank IS NULL AND _count > {n}, named_struct({offer}), NULL)) {over} AS _pick"
         )
-        picked = state.withColumn("_pick", F.min(offer).over(by_user()))
-        p = [F.col(f"_pick.{compare.format(i)}") for i in range(len(features))]
+        p = [f"_pick.{c}" for c in v]
         if metric == "cosine":
-            near, far = F.greatest(F.col("_near"), X.dot(v, p)), F.col("_far")
+            near, far = f"greatest(_near, {X.dot(v, p)})", "_far"
         else:
-            distance = getattr(X, metric)(v, p)
-            near, far = F.least(F.col("_near"), distance), F.greatest(F.col("_far"), distance)
-        state = picked.withColumns(
-            {
-                "_rank": F.when(F.col("_pick.item") == F.col("item"), F.lit(pick_number)).otherwise(F.col("_rank")),
-                "_near": near,
-                "_far": far,
-            }
-        ).drop("_pick")
-    final = F.when(F.col("_count") > n, F.col("_rank")).otherwise(F.col("_by_score"))
-    return state.withColumn("rank", final).where(F.col("rank") <= n).select(
-        "user_id", "rank", "item", "score", *[c.alias(f"z_{f}") for c, f in zip(v, features)]
-    )
+            distance = X.DISTANCES[metric](v, p)
+            near, far = f"least(_near, {distance})", f"greatest(_far, {distance})"
+        state = picked.selectExpr(
+            "user_id", "item", "score", "_count", "_by_score", *v,
+            f"IF(_pick.item = item, {number}, _rank) AS _rank", f"{near} AS _near", f"{far} AS _far",
+        )
+    return state.selectExpr(
+        "user_id", f"IF(_count > {n}, _rank, _by_score) AS rank", "item", "score",
+        *[f"{c} AS {name}" for c, name in zip(v, z)],
+    ).where(F.col("rank") <= n)
 
 
 def diversity_score(selected: DataFrame, features: list[str]) -> DataFrame:
@@ -98,17 +89,14 @@ def diversity_score(selected: DataFrame, features: list[str]) -> DataFrame:
 
     The sum over all pairs of unit vectors is |sum|^2 minus the diagonal, so no pair is formed.
     """
-    z = [F.col(f"z_{f}") for f in features]
-    length = X.norm(z)
-    unit = [F.coalesce(F.try_divide(c, length), F.lit(0.0)) for c in z]
-    sums = selected.groupBy("user_id").agg(
+    z = X.named("z_", features)
+    sums = selected.selectExpr("user_id", *z, f"{X.norm(z)} AS _len").groupBy("user_id").agg(
         F.count(F.lit(1)).alias("n"),
-        F.count_if(length > 0).alias("_diagonal"),
-        *[F.sum(u).alias(f"_u_{f}") for f, u in zip(features, unit)],
+        F.count_if(F.col("_len") > 0).alias("_diagonal"),
+        *[F.expr(f"sum(coalesce(try_divide({c}, _len), 0D)) AS {c}") for c in z],
     )
-    u = [F.col(f"_u_{f}") for f in features]
-    mean = F.try_divide(X.dot(u, u) - F.col("_diagonal"), F.col("n") * (F.col("n") - 1))
-    return sums.select("user_id", F.when(F.col("n") < 2, 1.0).otherwise(X.clip(1.0 - mean, 0, 1)).alias("diversity_score"))
+    mean = f"try_divide({X.dot(z, z)} - _diagonal, n * (n - 1))"
+    return sums.selectExpr("user_id", f"IF(n < 2, 1D, greatest(0D, least(1D, 1D - {mean}))) AS diversity_score")
 
 
 def feature_diversity(selected: DataFrame, features: list[str]) -> DataFrame:

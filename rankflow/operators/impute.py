@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankflow.config import EMPTY_DEFAULT, EMPTY_DEFAULTS
 from rankflow.functions.blocks import meet
-from rankflow.functions.expr import add, attach
+from rankflow.functions.expr import attach
 from rankflow.functions.ordered import forward_fill
 from rankflow.functions.quantiles import quantiles
 
@@ -95,11 +97,9 @@ def _nearest(prefix: str, columns: list[str], wanted: str, k: int) -> Column:
 
     def entry(d):
         both = [F.col(f"{prefix}{c}").isNotNull() & d[c].isNotNull() for c in columns]
-        shared = add([b.cast("int") for b in both])
-        squares = add(
-            [F.when(b, F.pow(F.col(f"{prefix}{c}") - d[c], F.lit(2.0))).otherwise(0.0) for b, c in zip(both, columns)]
-        )
-        distance = F.sqrt(F.try_divide(F.lit(float(len(columns))) * squares, shared))
+        shared = reduce(Column.__add__, [b.cast("int") for b in both])
+        parts = [F.when(b, F.pow(F.col(f"{prefix}{c}") - d[c], F.lit(2.0))).otherwise(0.0) for b, c in zip(both, columns)]
+        distance = F.sqrt(F.try_divide(F.lit(float(len(columns))) * reduce(Column.__add__, parts), shared))
         return F.struct(distance.alias("d"), d["_key"].alias("k"), d[wanted].alias("v"))
 
     known = F.filter(F.col("_rows"), lambda d: d[wanted].isNotNull())

@@ -37,27 +37,29 @@ def stated_weights(importance: DataFrame, mapping: dict[str, list[str]], setting
     """
     features = mapped_features(mapping)
     rows = importance.join(F.broadcast(mapping_table(importance.sparkSession, mapping)), "category")
-    share = X.importance_weight(F.col("importance")) / F.col("n_features")
-    hard = F.col("importance") >= settings.hard_importance
-
-    def of(feature: str) -> Column:
-        return F.col("feature") == feature
-
+    rows = rows.select(
+        "user_id", "feature", "category", "ord", (F.col("ord") * 1000 + F.col("place")).alias("_place"),
+        (X.importance_weight(F.col("importance")) / F.col("n_features")).alias("_share"),
+        (F.col("importance") >= settings.hard_importance).alias("_hard"),
+    )
     sums = rows.groupBy("user_id").agg(
-        *[F.sum(F.when(of(f), share)).alias(f"w_{f}") for f in features],
-        *[F.max_by("category", F.when(of(f) & hard, F.col("ord"))).alias(f"hard_{f}") for f in features],
-        *[F.min(F.when(of(f) & hard, F.col("ord") * 1000 + F.col("place"))).alias(f"place_{f}") for f in features],
+        *[F.expr(f"sum(_share) FILTER (WHERE feature = '{f}') AS w_{f}") for f in features],
+        *[F.expr(f"max_by(category, ord) FILTER (WHERE feature = '{f}' AND _hard) AS hard_{f}") for f in features],
+        *[F.expr(f"min(_place) FILTER (WHERE feature = '{f}' AND _hard) AS place_{f}") for f in features],
     )
-    total = X.add([F.coalesce(F.col(f"w_{f}"), F.lit(0.0)) for f in features])
-    named = X.add([F.col(f"w_{f}").isNotNull().cast("double") for f in features])
-
-    def normal(f: str) -> Column:
-        w = F.col(f"w_{f}")
-        return F.when(w.isNotNull(), F.when(total == 0, F.lit(1.0) / named).otherwise(w / F.nullif(total, F.lit(0.0))))
-
-    return sums.select(
+    whole = sums.withColumns(
+        {
+            "_total": X.total(f"coalesce(w_{f}, 0D)" for f in features),
+            "_named": X.total(f"int(w_{f} IS NOT NULL)" for f in features),
+        }
+    )
+    return whole.selectExpr(
         "user_id",
-        *[normal(f).alias(f"stated_{f}") for f in features],
+        *[
+            f"CASE WHEN w_{f} IS NULL THEN NULL WHEN _total = 0 THEN 1D / _named ELSE try_divide(w_{f}, _total) END"
+            f" AS stated_{f}"
+            for f in features
+        ],
         *[f"hard_{f}" for f in features],
         *[f"place_{f}" for f in features],
     )
@@ -79,28 +81,27 @@ def rating_sums(
     `items` may carry `z_<f>` columns; the liked centroid is summed over those if present.
     A rated item that is unknown counts as given, not as matched.
     """
-    y = F.col("rating") * F.lit(0.2)
-    pairs = list(combinations_with_replacement(range(len(features)), 2))
+    pairs = list(combinations_with_replacement(features, 2))
     z = [f"z_{f}" for f in features if f"z_{f}" in items.columns]
-    z_values = [F.col(f"z_{f}") if f"z_{f}" in z else F.lit(0.0) for f in features]
-    known = F.col("_known").isNotNull()
-    x = [F.when(known, F.coalesce(F.col(f), F.lit(0.0))) for f in features]
-    liked = known & (y >= settings.liked_stars_unit)
-    joined = valid_ratings(ratings).join(items.select("item", *features, *z, F.lit(True).alias("_known")), "item", "left")
+    z_values = [f"z_{f}" if f"z_{f}" in z else "0D" for f in features]
+    known = items.selectExpr("item", *[f"coalesce({f}, 0D) AS {f}" for f in features], *z, "true AS _known")
+    joined = valid_ratings(ratings).selectExpr("user_id", "item", "rating * 0.2D AS _y").join(known, "item", "left")
+    rows = joined.withColumn("_liked", F.expr(f"_known AND _y >= {settings.liked_stars_unit!r}D"))
 
-    def summed(values: list[Column], name: str) -> Column:
-        return F.array(*[F.coalesce(F.sum(v), F.lit(0.0)) for v in values]).alias(name)
+    def summed(values: list[str], name: str, where: str = "") -> Column:
+        return F.expr(f"array({', '.join(f'coalesce(sum({v}){where}, 0D)' for v in values)}) AS {name}")
 
-    return joined.groupBy("user_id").agg(
+    # An unknown item has NULL features, so it drops out of every sum by itself.
+    return rows.groupBy("user_id").agg(
         F.count(F.lit(1)).alias("n_given"),
-        F.count_if(known).alias("n"),
-        summed(x, "sx"),
-        summed([x[i] * x[j] for i, j in pairs], "sxx"),
-        summed([v * y for v in x], "sxy"),
-        F.coalesce(F.sum(F.when(known, y)), F.lit(0.0)).alias("sy"),
-        F.coalesce(F.sum(F.when(known, y * y)), F.lit(0.0)).alias("syy"),
-        F.count_if(liked).alias("n_liked"),
-        summed([F.when(liked, v) for v in z_values], "sliked"),
+        F.count_if("_known").alias("n"),
+        summed(features, "sx"),
+        summed([f"{a} * {b}" for a, b in pairs], "sxx"),
+        summed([f"{f} * _y" for f in features], "sxy"),
+        F.expr("coalesce(sum(_y) FILTER (WHERE _known), 0D) AS sy"),
+        F.expr("coalesce(sum(_y * _y) FILTER (WHERE _known), 0D) AS syy"),
+        F.count_if("_liked").alias("n_liked"),
+        summed(z_values, "sliked", " FILTER (WHERE _liked)"),
     )
 
 
@@ -111,7 +112,7 @@ def add_sums(stored: DataFrame, new: DataFrame, features: list[str]) -> DataFram
 
     def total(c: str) -> Column:
         if c in sizes:
-            return F.array(*[F.sum(F.get(c, F.lit(i))) for i in range(sizes[c])]).alias(c)
+            return F.expr(f"array({', '.join(f'sum({c}[{i}])' for i in range(sizes[c]))}) AS {c}")
         return F.sum(c).alias(c)
 
     return stored.unionByName(new).groupBy("user_id").agg(*[total(c) for c in stored.columns if c != "user_id"])
@@ -168,22 +169,24 @@ def learned_weights(sums: DataFrame, features: list[str], settings: Settings = D
 
 def blend_weights(df: DataFrame, features: list[str], settings: Settings = DEFAULTS) -> DataFrame:
     """Adds `weight_<f>` from `stated_<f>`, `learned_<f>`, `confidence` (any of them may be NULL)."""
-    confidence = F.coalesce(F.col("confidence"), F.lit(0.0))
-    learned = X.add([F.col(f"learned_{f}").isNotNull().cast("int") for f in features]) > 0
-    share = F.least(F.lit(settings.max_learned_share), confidence * F.lit(settings.max_learned_share))
-    mixed = {
-        f: share * F.coalesce(F.col(f"learned_{f}"), F.lit(0.0))
-        + (F.lit(1.0) - share) * F.coalesce(F.col(f"stated_{f}"), F.lit(0.0))
-        for f in features
-    }
-    use = learned & (confidence >= settings.min_learned_confidence)
-    staged = df.withColumns({f"_mix_{f}": F.when(use & (m > 0), m) for f, m in mixed.items()}).withColumn("_use", use)
-    total = X.add([F.coalesce(F.col(f"_mix_{f}"), F.lit(0.0)) for f in features])
-    weights = {
-        f"weight_{f}": F.when(F.col("_use"), F.try_divide(F.col(f"_mix_{f}"), total)).otherwise(F.col(f"stated_{f}"))
-        for f in features
-    }
-    return staged.withColumns(weights).drop("_use", *[f"_mix_{f}" for f in features])
+    share = f"least({settings.max_learned_share!r}D, confidence * {settings.max_learned_share!r}D)"
+    learned = " OR ".join(f"learned_{f} IS NOT NULL" for f in features)
+    staged = df.withColumn("confidence", F.coalesce("confidence", F.lit(0.0))).selectExpr(
+        "*", f"(({learned}) AND confidence >= {settings.min_learned_confidence!r}D) AS _use", f"{share} AS _share"
+    )
+    mixed = staged.selectExpr(
+        "*",
+        *[
+            f"_share * coalesce(learned_{f}, 0D) + (1D - _share) * coalesce(stated_{f}, 0D) AS _mix_{f}"
+            for f in features
+        ],
+    ).withColumn("_total", X.total(f"_mix_{f}" for f in features))
+    return mixed.selectExpr(
+        "*",
+        *[
+            f"IF(_use, IF(_mix_{f} > 0, try_divide(_mix_{f}, _total), NULL), stated_{f}) AS weight_{f}" for f in features
+        ],
+    ).drop("_use", "_share", "_total", *[f"_mix_{f}" for f in features])
 
 
 def build_profiles(
@@ -305,6 +308,6 @@ def explain_importance(importance: DataFrame, mapping: dict[str, list[str]]) ->
 
 def predicted_stars(features: list[str], prefix: str = "learned") -> Column:
     """Clipped star rating of an item row joined to a profile row; 3 where nothing was learned."""
-    known = X.add([F.col(f"{prefix}_{f}").isNotNull().cast("int") for f in features]) > 0
-    score = X.add([F.coalesce(F.col(f"{prefix}_{f}"), F.lit(0.0)) * F.coalesce(F.col(f), F.lit(0.0)) for f in features])
+    known = F.expr(" OR ".join(f"{prefix}_{f} IS NOT NULL" for f in features))
+    score = X.total(f"coalesce({prefix}_{f}, 0D) * coalesce({f}, 0D)" for f in features)
     return F.when(known, X.clip(score / F.lit(0.2), 1, 5)).otherwise(F.lit(3.0))

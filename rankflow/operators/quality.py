@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rankflow.config import WAREHOUSE_FEATURES
-from rankflow.functions.expr import add, clip
+from rankflow.functions.expr import clip, total
 from rankflow.operators.schema_rules import narrow_features
 
 
@@ -177,7 +177,7 @@ def completeness_rule(columns: list[str] | None = None, average: float = 0.5, mi
                 F.lit(False).alias("passed"), F.lit(None).cast("double").alias("measure"),
                 F.count(F.lit(1)).alias("samples"), F.lit("no_feature_columns_found").alias("detail"),
             )
-        share = add([F.col(c).isNotNull().cast("int") for c in features]) / F.lit(float(len(features)))
+        share = total(f"int({c} IS NOT NULL)" for c in features) / F.lit(float(len(features)))
         r = df.select(share.alias("s")).agg(F.avg("s").alias("a"), F.min("s").alias("m"), F.count("s").alias("n"))
         return r.select(
             F.coalesce((F.col("a") >= average) & (F.col("m") >= minimum), F.lit(False)).alias("passed"),

@@ -121,17 +121,17 @@ def scale(df: DataFrame, columns: list[str], method: str) -> DataFrame:
 
 def z_scores(df: DataFrame, columns: list[str], prefix: str = "z_") -> DataFrame:
     """Population z-scores in new columns; missing counts as 0, a constant column gives 0."""
-    filled = df.select(*[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in columns])
-    moments = filled.agg(
-        *[F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).alias(c) for c in columns]
+    moments = df.selectExpr(*[f"coalesce({c}, 0D) AS {c}" for c in columns]).agg(
+        *[F.expr(f"named_struct('m', avg({c}), 's', stddev_pop({c})) AS {c}") for c in columns]
     )
-    z = {
-        f"{prefix}{c}": F.coalesce(
-            F.try_divide(F.coalesce(F.col(c), F.lit(0.0)) - F.col(f"_s.{c}.m"), F.col(f"_s.{c}.s")), F.lit(0.0)
+    return (
+        attach(df, moments)
+        .selectExpr(
+            "*",
+            *[f"coalesce(try_divide(coalesce({c}, 0D) - _s.{c}.m, _s.{c}.s), 0D) AS {prefix}{c}" for c in columns],
         )
-        for c in columns
-    }
-    return attach(df, moments).withColumns(z).drop("_s")
+        .drop("_s")
+    )
 
 
 def _limits(df: DataFrame, columns: list[str], method: str) -> DataFrame:

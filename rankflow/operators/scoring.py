@@ -27,15 +27,11 @@ def by_user():
 def content_score(features: list[str], normalize: bool = True, scaling: str = "linear") -> Column:
     """Weighted mean of the known features with a positive weight; needs `weight_<f>` and `<f>`."""
 
-    def used(f: str) -> Column:
-        return (F.col(f"weight_{f}") > 0) & F.col(f).isNotNull()
-
-    def value(f: str) -> Column:
-        return X.clip(F.col(f), 0, 1) if normalize else F.col(f)
-
-    top = X.add([F.when(used(f), F.col(f"weight_{f}") * value(f)).otherwise(F.lit(0.0)) for f in features])
-    bottom = X.add([F.when(used(f), F.col(f"weight_{f}")).otherwise(F.lit(0.0)) for f in features])
-    return X.scale_score(F.coalesce(F.try_divide(top, bottom), F.lit(0.0)), scaling)
+    value = "greatest(0D, least(1D, {f}))" if normalize else "{f}"
+    used = "weight_{f} > 0 AND {f} IS NOT NULL"
+    top = X.plus(f"IF({used.format(f=f)}, weight_{f} * {value.format(f=f)}, 0D)" for f in features)
+    bottom = X.plus(f"IF({used.format(f=f)}, weight_{f}, 0D)" for f in features)
+    return X.scale_score(F.expr(f"coalesce(try_divide({top}, {bottom}), 0D)"), scaling)
 
 
 def user_item_pairs(users: DataFrame, items: DataFrame) -> DataFrame:
@@ -67,38 +63,34 @@ def baseline_ranking(
     features = mapped_features(mapping)
     rows = importance.join(F.broadcast(mapping_table(importance.sparkSession, mapping)), "category")
     weights = rows.groupBy("user_id").agg(
-        *[
-            F.coalesce(F.sum(F.when(F.col("feature") == f, F.col("importance") / F.lit(10.0))), F.lit(0.0)).alias(
-                f"weight_{f}"
-            )
-            for f in features
-        ]
+        *[F.expr(f"coalesce(sum(importance / 10D) FILTER (WHERE feature = '{f}'), 0D) AS weight_{f}") for f in features]
     )
     pairs = user_item_pairs(weights, items.select("item", *features))
-    score = X.dot([F.coalesce(F.col(f), F.lit(0.0)) for f in features], [F.col(f"weight_{f}") for f in features])
-    return top_items(pairs.select("user_id", "item", score.alias("score")), n)
+    score = X.dot([f"coalesce({f}, 0D)" for f in features], X.named("weight_", features))
+    return top_items(pairs.selectExpr("user_id", "item", f"{score} AS score"), n)
 
 
 def prototype(features: list[str]) -> list[Column]:
     """Mean z-vector of the liked items; NULL without any. Rounding residue (a user who likes
     everything has the zero vector) counts as 0, or its direction would be noise."""
-    means = [F.try_divide(F.get("sliked", F.lit(i)), F.col("n_liked")) for i in range(len(features))]
-    return [F.when(F.abs(m) < 1e-9, 0.0).otherwise(m) for m in means]
+    mean = "try_divide(sliked[{i}], n_liked)"
+    return [
+        F.expr(f"IF(abs({mean.format(i=i)}) < 1e-9D, 0D, {mean.format(i=i)})") for i in range(len(features))
+    ]
 
 
 def similarity(features: list[str], metric: str = "cosine") -> Column:
     """Similarity of `z_<f>` and `proto_<f>` before clipping; NULL without a prototype."""
-    z = [F.col(f"z_{f}") for f in features]
-    p = [F.col(f"proto_{f}") for f in features]
+    z, p = X.named("z_", features), X.named("proto_", features)
     if metric == "cosine":
-        raw = X.cosine(z, p)
-    elif metric in ("euclidean", "manhattan"):
-        distance = getattr(X, metric)(z, p)
+        raw = F.expr(X.cosine(z, p))
+    elif metric in X.DISTANCES:
+        distance = F.expr(X.DISTANCES[metric](z, p))
         farthest = F.max(distance).over(by_user())
         raw = F.lit(1.0) - distance / F.when(farthest > 0, farthest).otherwise(F.lit(1.0))
     else:
         raise ValueError(f"unknown similarity metric: {metric}")
-    return F.when(p[0].isNotNull(), raw)
+    return F.when(F.col(p[0]).isNotNull(), raw)
 
 
 def similarity_scores(
@@ -182,7 +174,7 @@ def hybrid_scores(
         & (F.col("confidence") >= settings.similarity_confidence)
         & (F.col("n_liked") > 0)
     )
-    has_weight = X.add([F.col(f"weight_{f}").isNotNull().cast("int") for f in features]) > 0
+    has_weight = F.expr(" OR ".join(f"weight_{f} IS NOT NULL" for f in features))
     users = profiles.where(has_weight).select(
         "user_id",
         "confidence",
@@ -269,23 +261,18 @@ def explain_scores(
             *[F.when(F.abs(f"proto_{f}") < 1e-9, 0.0).otherwise(F.col(f"proto_{f}")).alias(f"proto_{f}") for f in features],
         )
         rows = rows.join(proto, "user_id", "left")
-    total = X.add([F.coalesce(F.col(f"weight_{f}"), F.lit(0.0)) for f in features])
-
-    def likeness(f: str) -> Column:
-        t, p = F.col(f"z_{f}"), F.col(f"proto_{f}")
-        apart = F.abs(t - p) / (F.greatest(F.abs(t), F.abs(p)) + F.lit(1e-10))
-        both_zero = (F.abs(t) < 1e-10) & (F.abs(p) < 1e-10)
-        return F.when(p.isNotNull(), F.when(both_zero, 1.0).otherwise(F.greatest(F.lit(0.0), F.lit(1.0) - apart)))
-
-    entries = [
-        F.struct(
-            F.lit(f).alias("feature"),
-            F.when(
-                (F.col(f"weight_{f}") > 0) & F.col(f).isNotNull(),
-                F.try_divide(F.col(f"weight_{f}"), total) * X.clip(F.col(f), 0, 1),
-            ).alias("contribution"),
-            likeness(f).alias("feature_similarity"),
+    total = X.total(f"coalesce(weight_{f}, 0D)" for f in features)
+
+    def entry(f: str) -> Column:
+        t, p = f"z_{f}", f"proto_{f}"
+        part = f"IF(weight_{f} > 0, try_divide(weight_{f}, _total) * greatest(0D, least(1D, {f})), NULL)"
+        apart = f"abs({t} - {p}) / (greatest(abs({t}), abs({p})) + 1e-10D)"
+        like = f"IF(abs({t}) < 1e-10D AND abs({p}) < 1e-10D, 1D, greatest(0D, 1D - {apart}))"
+        return F.expr(
+            f"named_struct('feature', '{f}', 'contribution', IF({f} IS NOT NULL, {part}, NULL),"
+            f" 'feature_similarity', IF({p} IS NOT NULL, {like}, NULL))"
         )
-        for f in features
-    ]
+
+    entries = [entry(f) for f in features]
+    rows = rows.withColumn("_total", total)
     return rows.select("user_id", "item", F.explode(F.array(*entries)).alias("e")).select("user_id", "item", "e.*")
