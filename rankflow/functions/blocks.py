@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankflow.session import estimated_bytes
+from rankflow.session import estimated_bytes, width
 
 BLOCK_BYTES = 1024 * 1024
 MAX_BLOCKS = 1024
@@ -34,9 +34,24 @@ def meet(left: DataFrame, catalog: DataFrame, key: str, blocks: int | None = Non
     return left.withColumn("_block", F.explode(numbers)).join(pack(catalog, key, blocks), "_block").drop("_block")
 
 
+def place(users: DataFrame, key: str = "user_id") -> DataFrame:
+    """Spread the rows by key over a fixed number of partitions; joins with a catalog keep the placement.
+
+    The number is not left to adaptive coalescing: few bytes per user still mean a catalog's worth of work.
+    """
+    return users.repartition(width(users), key)
+
+
 def meet_rows(left: DataFrame, catalog: DataFrame, key: str, blocks: int | None = None) -> DataFrame:
-    """Every left row with every catalog row, for operators whose result has one row per pair."""
+    """Every left row with every catalog row, for operators that look at each pair once.
+
+    The pairs are consumed where they arise (an aggregate per left row, a filter, the result
+    itself); they are not sorted, buffered or shuffled.
+    """
     blocks = blocks or block_count(catalog)
-    numbers = F.sequence(F.lit(0), F.lit(blocks - 1))
-    placed = catalog.withColumn("_block", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
-    return left.withColumn("_block", F.explode(numbers)).join(placed, "_block").drop("_block")
+    if blocks == 1:
+        sent, placed = left.withColumn("_block", F.lit(0)), catalog.withColumn("_block", F.lit(0))
+    else:
+        sent = left.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        placed = catalog.withColumn("_block", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
+    return sent.join(placed, "_block").drop("_block")

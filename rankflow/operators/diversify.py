@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rankflow.config import Settings
 from rankflow.functions import expr as X
+from rankflow.functions.blocks import meet_rows
 
 DEFAULTS = Settings()
 
@@ -84,6 +85,66 @@ def mmr(
     ).where(F.col("rank") <= n)
 
 
+def mmr_over_catalog(
+    users: DataFrame, catalog: DataFrame, features: list[str], score: str, wanted: str,
+    settings: Settings = DEFAULTS, n: int | None = None,
+) -> DataFrame:
+    """The same ranking (cosine) without a candidate table: candidates are the pairs where `wanted` holds.
+
+    The state is one placed row per user with the vectors picked so far. A round is one pass for the
+    greatest worth and one for the item that reaches it (smallest item on a tie).
+    """
+    n, lam = n or settings.top_n, settings.diversity_lambda
+    base = users.columns
+    first = X.attach(catalog, catalog.agg(F.min("item").alias("item")), "_f").selectExpr(
+        *catalog.columns, "item = _f.item AS _anchor"
+    )
+    moments = meet_rows(users, catalog, "item").where(wanted).groupBy(*base).agg(
+        F.count(F.lit(1)).alias("_count"),
+        *[F.expr(f"avg(coalesce({f}, 0D)) AS _m{i}") for i, f in enumerate(features)],
+        *[F.expr(f"stddev_pop(coalesce({f}, 0D)) AS _d{i}") for i, f in enumerate(features)],
+    )
+    ids = range(len(features))
+    state = moments.selectExpr(
+        *base, "_count", *[f"_m{i}" for i in ids], *[f"coalesce(try_divide(1D, _d{i}), 0D) AS _d{i}" for i in ids],
+        f"CAST(array() AS array<struct<rank:int,item:{dict(catalog.dtypes)['item']},score:double>>) AS _picks",
+    )
+    v = [f"(coalesce({f}, 0D) - _m{i}) * _d{i}" for i, f in enumerate(features)]
+    for number in range(1, n + 1):
+        earlier = [[f"_p{k}[{i}]" for i in ids] for k in range(1, number)]
+
+        def valued(rows: DataFrame, keep: list[str]) -> DataFrame:
+            """Pairs with their worth; picked items and pairs that are no candidates have none."""
+            vectors = rows.selectExpr(
+                *keep, "item", "_anchor", f"{score} AS _score", *[f"{x} AS _v{i}" for i, x in enumerate(v)],
+                f"({wanted}) AND NOT exists(_picks, p -> p.item = item) AS _open",
+            ).selectExpr("*", f"{X.norm([f'_v{i}' for i in ids])} AS _len")
+            near = [X.dot([f"_v{i}" for i in ids], p) for p in earlier]
+            highest = f"greatest({', '.join(near)})" if len(near) > 1 else near[0] if near else "0D"
+            penalty = f"coalesce(try_divide({highest}, _len), 0D)"
+            worth = f"IF(_count > {n}, {lam!r}D * _score - {1 - lam!r}D * {penalty}, _score)"
+            return vectors.selectExpr("*", f"IF(_open, {worth}, NULL) AS _worth")
+
+        keep = state.columns
+        best = valued(meet_rows(state, first, "item"), keep).groupBy(*keep).agg(F.max("_worth").alias("_best"))
+        found = valued(meet_rows(best, first, "item"), [*keep, "_best"]).where(
+            "_worth = _best OR (_best IS NULL AND _anchor)"
+        )
+        pick = found.groupBy(*keep, "_best").agg(
+            F.expr(
+                f"min(named_struct('item', item, 'score', _score, 'len', _len, 'v', array({', '.join(f'_v{i}' for i in ids)})))"
+                " AS _pick"
+            )
+        )
+        state = pick.selectExpr(
+            *[c for c in keep if c != "_picks"],
+            f"IF(_best IS NULL, _picks, array_append(_picks, named_struct('rank', {number}, 'item', _pick.item, 'score',"
+            " _pick.score))) AS _picks",
+            f"IF(_best IS NULL, NULL, transform(_pick.v, x -> coalesce(try_divide(x, _pick.len), 0D))) AS _p{number}",
+        )
+    return state.select("user_id", F.explode("_picks").alias("p")).select("user_id", "p.rank", "p.item", "p.score")
+
+
 def diversity_score(selected: DataFrame, features: list[str]) -> DataFrame:
     """1 - mean pairwise cosine of each user's picks (`z_<f>`), clipped to [0, 1]; 1 below two picks.
 

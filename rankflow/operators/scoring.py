@@ -1,8 +1,9 @@
-"""Content, similarity and hybrid scores of every user-item pair, and their explanation.
+"""Content, similarity and hybrid scores, and their explanation.
 
-A score for every pair is the result itself, so pairs exist once and are never shuffled again:
-user rows are placed by user first, then meet the catalog, and everything after that is a
-window over the same placement.
+State lives in one row per user. A step that needs something about all of a user's scores
+(spread, largest distance, best item) sends the user rows past the catalog and aggregates the
+pairs as they arise, by user; the next step computes the scores again from the state. Scores are
+a few multiplications, so this is far cheaper than sorting or storing users x items rows.
 """
 
 from __future__ import annotations
@@ -12,10 +13,9 @@ from pyspark.sql import functions as F
 
 from rankflow.config import Settings
 from rankflow.functions import expr as X
-from rankflow.functions.blocks import meet, meet_rows
+from rankflow.functions.blocks import meet, meet_rows, place
 from rankflow.operators.profile import mapped_features, mapping_table
 from rankflow.operators.scale import z_scores
-from rankflow.session import width
 
 DEFAULTS = Settings()
 
@@ -24,25 +24,22 @@ def by_user():
     return Window.partitionBy("user_id")
 
 
-def content_score(features: list[str], normalize: bool = True, scaling: str = "linear") -> Column:
-    """Weighted mean of the known features with a positive weight; needs `weight_<f>` and `<f>`."""
-
+def content_sql(features: list[str], normalize: bool = True) -> str:
+    """Weighted mean of the known features with a positive weight; from `weight_<f>` and `<f>`."""
     value = "greatest(0D, least(1D, {f}))" if normalize else "{f}"
     used = "weight_{f} > 0 AND {f} IS NOT NULL"
     top = X.plus(f"IF({used.format(f=f)}, weight_{f} * {value.format(f=f)}, 0D)" for f in features)
     bottom = X.plus(f"IF({used.format(f=f)}, weight_{f}, 0D)" for f in features)
-    return X.scale_score(F.expr(f"coalesce(try_divide({top}, {bottom}), 0D)"), scaling)
+    return f"coalesce(try_divide({top}, {bottom}), 0D)"
 
 
-def user_item_pairs(users: DataFrame, items: DataFrame) -> DataFrame:
-    """Users placed by `user_id`, then joined with every item; the placement survives the join."""
-    placed = users.repartition(width(users), "user_id")
-    return meet_rows(placed, items, "item")
+def content_score(features: list[str], normalize: bool = True, scaling: str = "linear") -> Column:
+    return X.scale_score(F.expr(content_sql(features, normalize)), scaling)
 
 
 def content_scores(profiles: DataFrame, items: DataFrame, features: list[str], scaling: str = "linear") -> DataFrame:
-    users = profiles.select("user_id", *[f"weight_{f}" for f in features])
-    pairs = user_item_pairs(users, items.select("item", *features))
+    users = place(profiles.select("user_id", *X.named("weight_", features)))
+    pairs = meet_rows(users, items.select("item", *features), "item")
     return pairs.select("user_id", "item", content_score(features, scaling=scaling).alias("score"))
 
 
@@ -52,22 +49,66 @@ def top_items(scores: DataFrame, n: int) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
+def top_pairs(
+    users: DataFrame, items: DataFrame, score: str, n: int, wanted: str = "true", groups: int = 64
+) -> DataFrame:
+    """Exact top n of `score` over all wanted pairs, sorting only pairs that can be among them.
+
+    Items fall into `groups` hash groups. The n-th largest of a user's group maxima is reached by n
+    different items, so nothing below it can be in the top n. `users` is placed by user.
+    """
+    state = users.columns
+    catalog = items.withColumn("_group", F.pmod(F.xxhash64("item"), F.lit(max(groups, 4 * n))))
+    best = (
+        meet_rows(users, catalog, "item")
+        .where(wanted)
+        .groupBy(*state, "_group")
+        .agg(F.expr(f"max({score})").alias("_best"))
+        .groupBy(*state)
+        .agg(F.sort_array(F.collect_list("_best"), asc=False).alias("_bests"))
+        .withColumn("_floor", F.get("_bests", F.lit(n - 1)))
+        .drop("_bests")
+    )
+    near = (
+        meet_rows(best, items, "item")
+        .where(wanted)
+        .selectExpr("user_id", "item", f"{score} AS score", "_floor")
+        .where("_floor IS NULL OR score >= _floor")
+    )
+    return top_items(near.drop("_floor"), n)
+
+
+def rated_sets(ratings: DataFrame) -> DataFrame:
+    """Per user the set of rated items: at most the catalog, combined map-side."""
+    return ratings.groupBy("user_id").agg(F.collect_set("item").alias("_rated"))
+
+
+UNRATED = "NOT coalesce(array_contains(_rated, item), false)"
+
+
 def without_rated(scores: DataFrame, ratings: DataFrame) -> DataFrame:
+    """Anti-join for stored score tables; the ranking jobs test the user's rated set instead."""
     return scores.join(ratings.select("user_id", "item"), ["user_id", "item"], "left_anti")
 
 
-def baseline_ranking(
-    importance: DataFrame, items: DataFrame, mapping: dict[str, list[str]], n: int
+def content_ranking(
+    profiles: DataFrame, ratings: DataFrame, items: DataFrame, features: list[str], n: int
 ) -> DataFrame:
+    """Best n unrated items per user by content score."""
+    users = profiles.select("user_id", *X.named("weight_", features)).join(rated_sets(ratings), "user_id", "left")
+    score = f"greatest(0D, least(1D, {content_sql(features)}))"
+    return top_pairs(place(users), items.select("item", *features), score, n, UNRATED)
+
+
+def baseline_ranking(importance: DataFrame, items: DataFrame, mapping: dict[str, list[str]], n: int) -> DataFrame:
     """Plain ranker: importance / 10 per mapped feature, unnormalized dot product, top n."""
     features = mapped_features(mapping)
     rows = importance.join(F.broadcast(mapping_table(importance.sparkSession, mapping)), "category")
     weights = rows.groupBy("user_id").agg(
         *[F.expr(f"coalesce(sum(importance / 10D) FILTER (WHERE feature = '{f}'), 0D) AS weight_{f}") for f in features]
     )
-    pairs = user_item_pairs(weights, items.select("item", *features))
     score = X.dot([f"coalesce({f}, 0D)" for f in features], X.named("weight_", features))
-    return top_items(pairs.selectExpr("user_id", "item", f"{score} AS score"), n)
+    return top_pairs(place(weights), items.select("item", *features), score, n)
 
 
 def prototype(features: list[str]) -> list[Column]:
@@ -79,18 +120,17 @@ def prototype(features: list[str]) -> list[Column]:
     ]
 
 
-def similarity(features: list[str], metric: str = "cosine") -> Column:
-    """Similarity of `z_<f>` and `proto_<f>` before clipping; NULL without a prototype."""
+def similarity_sql(features: list[str], metric: str = "cosine") -> str:
+    """0-1 similarity of `z_<f>` and `proto_<f>`, NULL without a prototype; distances are relative
+    to `_farthest`, the user's largest."""
     z, p = X.named("z_", features), X.named("proto_", features)
     if metric == "cosine":
-        raw = F.expr(X.cosine(z, p))
+        raw = X.cosine(z, p)
     elif metric in X.DISTANCES:
-        distance = F.expr(X.DISTANCES[metric](z, p))
-        farthest = F.max(distance).over(by_user())
-        raw = F.lit(1.0) - distance / F.when(farthest > 0, farthest).otherwise(F.lit(1.0))
+        raw = f"1D - {X.DISTANCES[metric](z, p)} / IF(_farthest > 0, _farthest, 1D)"
     else:
         raise ValueError(f"unknown similarity metric: {metric}")
-    return F.when(F.col(p[0]).isNotNull(), raw)
+    return f"IF({p[0]} IS NULL, NULL, greatest(0D, least(1D, {raw})))"
 
 
 def similarity_scores(
@@ -98,14 +138,21 @@ def similarity_scores(
 ) -> DataFrame:
     """0-1 similarity of every item to the user's liked items; users without a liked item have no rows.
 
-    `items` carries `z_<f>`; `targets` (`item`) limits the answer after scoring.
+    `items` carries `z_<f>`; `targets` (`item`) limits the answer, not the scale of the scores.
     """
-    users = sums.where("n_liked > 0").select(
-        "user_id", *[p.alias(f"proto_{f}") for f, p in zip(features, prototype(features))]
+    catalog = items.select("item", *X.named("z_", features))
+    users = place(
+        sums.where("n_liked > 0").select(
+            "user_id", *[p.alias(f"proto_{f}") for f, p in zip(features, prototype(features))]
+        )
     )
-    pairs = user_item_pairs(users, items.select("item", *[f"z_{f}" for f in features]))
-    scored = pairs.select("user_id", "item", X.clip(similarity(features, metric), 0, 1).alias("score"))
-    return scored if targets is None else scored.join(targets.select("item"), "item", "left_semi")
+    if metric in X.DISTANCES:
+        distance = X.DISTANCES[metric](X.named("z_", features), X.named("proto_", features))
+        users = meet_rows(users, catalog, "item").groupBy(*users.columns).agg(F.expr(f"max({distance})").alias("_farthest"))
+    if targets is not None:
+        catalog = catalog.join(targets.select("item"), "item", "left_semi")
+    pairs = meet_rows(users, catalog, "item")
+    return pairs.selectExpr("user_id", "item", f"{similarity_sql(features, metric)} AS score")
 
 
 def most_similar(
@@ -114,7 +161,7 @@ def most_similar(
     """`reference`, `rank`, `item`, `score`: nearest items of each reference item, itself left out."""
     refs = references.select(F.col("item").alias("user_id")).distinct()
     liked = refs.join(items.withColumnRenamed("item", "user_id"), "user_id").select(
-        "user_id", F.lit(1).alias("n_liked"), F.array(*[F.col(f"z_{f}") for f in features]).alias("sliked")
+        "user_id", F.lit(1).alias("n_liked"), F.array(*X.named("z_", features)).alias("sliked")
     )
     scores = similarity_scores(liked, items, features, metric).where("user_id <> item")
     return top_items(scores, top).withColumnRenamed("user_id", "reference")
@@ -154,64 +201,71 @@ def adaptive_weights(
     return F.coalesce(F.try_divide(content, total), content), F.coalesce(F.try_divide(similar, total), similar)
 
 
-def hybrid_scores(
-    profiles: DataFrame,
-    items: DataFrame,
-    features: list[str],
-    settings: Settings = DEFAULTS,
-    carry: list[str] | None = None,
+def catalog_of(items: DataFrame, features: list[str]) -> DataFrame:
+    """`item`, features and whole-table z-scores: what every pair needs of an item."""
+    z = X.named("z_", features)
+    with_z = items if all(c in items.columns for c in z) else z_scores(items, features)
+    return with_z.select("item", *features, *z)
+
+
+def hybrid_users(
+    profiles: DataFrame, catalog: DataFrame, features: list[str], settings: Settings = DEFAULTS, carry: list[str] | None = None
 ) -> DataFrame:
-    """All pairs with `score`, its two parts, their shares and the `strategy`.
+    """One placed row per user with everything `score_sql` needs: weights, prototype, the two shares.
 
-    `carry` names profile columns the next step needs; item features are kept as well. Users
-    without any weight have no rows.
+    The shares depend on the spread of both scores over the whole catalog, found in one pass.
+    Users without any weight have no row. `carry` names further profile columns to keep.
     """
-    carry = carry or []
-    with_z = items if all(f"z_{f}" in items.columns for f in features) else z_scores(items, features)
     blend = (
         F.lit(settings.use_similarity)
         & (F.col("n_given") >= settings.min_ratings_for_similarity)
         & (F.col("confidence") >= settings.similarity_confidence)
         & (F.col("n_liked") > 0)
     )
-    has_weight = F.expr(" OR ".join(f"weight_{f} IS NOT NULL" for f in features))
-    users = profiles.where(has_weight).select(
-        "user_id",
-        "confidence",
-        F.col("n_given").alias("num_ratings"),
-        blend.alias("_blend"),
-        *[F.when(blend, p).alias(f"proto_{f}") for f, p in zip(features, prototype(features))],
-        *[f"weight_{f}" for f in features],
-        *carry,
-    )
-    pairs = user_item_pairs(users, with_z.select("item", *features, *[f"z_{f}" for f in features]))
-    parts = pairs.select(
-        "user_id", "item", "confidence", "num_ratings", "_blend", *features, *carry,
-        content_score(features).alias("content_score"),
-        X.clip(similarity(features), 0, 1).alias("similarity_score"),
+    users = place(
+        profiles.where(" OR ".join(f"weight_{f} IS NOT NULL" for f in features)).select(
+            "user_id", "confidence", F.col("n_given").alias("num_ratings"), blend.alias("_blend"),
+            *[F.when(blend, p).alias(f"proto_{f}") for f, p in zip(features, prototype(features))],
+            *X.named("weight_", features), *(carry or []),
+        )
     )
-    spread = parts.withColumns(
-        {
-            "_vc": F.var_pop("content_score").over(by_user()),
-            "_vs": F.var_pop("similarity_score").over(by_user()),
-        }
+    # Only blended users need the pass over the catalog; one item keeps the others.
+    anchor = catalog.agg(F.min("item").alias("item"))
+    pairs = meet_rows(users, X.attach(catalog, anchor, "_first"), "item").where("_blend OR item = _first.item")
+    spread = pairs.groupBy(*users.columns).agg(
+        F.expr(f"var_pop({content_sql(features)}) AS _vc"), F.expr(f"var_pop({similarity_sql(features)}) AS _vs")
     )
     wc, ws = adaptive_weights(F.col("confidence"), F.col("num_ratings"), F.col("_vc"), F.col("_vs"), settings)
-    weighed = spread.withColumns(
+    return spread.withColumns(
         {
             "content_weight": F.when(F.col("_blend"), wc).otherwise(F.lit(1.0)),
             "similarity_weight": F.when(F.col("_blend"), ws).otherwise(F.lit(0.0)),
         }
+    ).drop("_vc", "_vs")
+
+
+def score_sql(features: list[str]) -> str:
+    return (
+        f"(content_weight * {content_sql(features)}"
+        f" + similarity_weight * coalesce({similarity_sql(features)}, 0D))"
     )
-    return weighed.select(
-        "user_id", "item", "num_ratings", "confidence", *features, *carry, "content_score", "similarity_score",
-        "content_weight", "similarity_weight",
-        F.when(F.col("_blend"), "hybrid").otherwise("content_only").alias("strategy"),
-        (
-            F.col("content_weight") * F.col("content_score")
-            + F.col("similarity_weight") * F.coalesce(F.col("similarity_score"), F.lit(0.0))
-        ).alias("score"),
-    )
+
+
+def strategy() -> Column:
+    return F.when(F.col("_blend"), "hybrid").otherwise("content_only")
+
+
+def hybrid_scores(
+    profiles: DataFrame, items: DataFrame, features: list[str], settings: Settings = DEFAULTS
+) -> DataFrame:
+    """All pairs with `score`, its two parts, their shares and the `strategy`; item features are kept."""
+    catalog = catalog_of(items, features)
+    pairs = meet_rows(hybrid_users(profiles, catalog, features, settings), catalog, "item")
+    return pairs.selectExpr(
+        "user_id", "item", "num_ratings", "confidence", *features, "content_weight", "similarity_weight", "_blend",
+        f"{content_sql(features)} AS content_score", f"{similarity_sql(features)} AS similarity_score",
+        f"{score_sql(features)} AS score",
+    ).withColumn("strategy", strategy()).drop("_blend")
 
 
 def combine_scores(content: DataFrame, similar: DataFrame, content_weight: float, similarity_weight: float) -> DataFrame:
@@ -226,17 +280,22 @@ def combine_scores(content: DataFrame, similar: DataFrame, content_weight: float
     )
 
 
-def score_confidence(scores: DataFrame) -> DataFrame:
-    """0.1-1 per user: base by strategy x spread x rating count x user confidence."""
-    hybrid = F.max(F.col("strategy") == "hybrid")
-    ratings = F.max("num_ratings")
+def score_confidence(
+    profiles: DataFrame, items: DataFrame, features: list[str], settings: Settings = DEFAULTS
+) -> DataFrame:
+    """0.1-1 per user: base by strategy x spread of the scores x rating count x user confidence."""
+    catalog = catalog_of(items, features)
+    users = hybrid_users(profiles, catalog, features, settings)
+    spread = meet_rows(users, catalog, "item").groupBy(*users.columns).agg(
+        F.expr(f"var_pop({score_sql(features)}) AS _v")
+    )
     raw = (
-        F.when(hybrid, 0.8).otherwise(0.6)
-        * F.least(F.lit(1.0), F.var_pop("score") * 4)
-        * F.when(ratings > 0, F.least(F.lit(1.0), ratings / F.lit(8.0))).otherwise(1.0)
-        * F.when(hybrid, F.max("confidence")).otherwise(0.5)
+        F.when(F.col("_blend"), 0.8).otherwise(0.6)
+        * F.least(F.lit(1.0), F.col("_v") * 4)
+        * F.when(F.col("num_ratings") > 0, F.least(F.lit(1.0), F.col("num_ratings") / F.lit(8.0))).otherwise(1.0)
+        * F.when(F.col("_blend"), F.col("confidence")).otherwise(0.5)
     )
-    return scores.groupBy("user_id").agg(X.clip(raw, 0.1, 1.0).alias("score_confidence"))
+    return spread.select("user_id", X.clip(raw, 0.1, 1.0).alias("score_confidence"))
 
 
 def explain_scores(
@@ -247,21 +306,19 @@ def explain_scores(
     `pairs` (`user_id`, `item`) are the results to explain; `items` carries `z_<f>`; `liked`
     (`user_id`, `item`) are ratings of 3.5 stars and more.
     """
-    weights = profiles.select("user_id", *[f"weight_{f}" for f in features])
-    z = [f"z_{f}" for f in features]
-    rows = pairs.join(weights, "user_id").join(items.select("item", *features, *z), "item")
+    z = X.named("z_", features)
+    rows = pairs.join(profiles.select("user_id", *X.named("weight_", features)), "user_id").join(
+        items.select("item", *features, *z), "item"
+    )
     if liked is None:
-        rows = rows.withColumns({f"proto_{f}": F.lit(None).cast("double") for f in features})
+        rows = rows.selectExpr("*", *[f"double(NULL) AS proto_{f}" for f in features])
     else:
         means = liked.join(items.select("item", *z), "item").groupBy("user_id").agg(
-            *[F.avg(f"z_{f}").alias(f"proto_{f}") for f in features]
-        )
-        proto = means.select(
-            "user_id",
-            *[F.when(F.abs(f"proto_{f}") < 1e-9, 0.0).otherwise(F.col(f"proto_{f}")).alias(f"proto_{f}") for f in features],
+            *[F.avg(f"z_{f}").alias(f"m_{f}") for f in features]
         )
+        proto = means.selectExpr("user_id", *[f"IF(abs(m_{f}) < 1e-9D, 0D, m_{f}) AS proto_{f}" for f in features])
         rows = rows.join(proto, "user_id", "left")
-    total = X.total(f"coalesce(weight_{f}, 0D)" for f in features)
+    rows = rows.withColumn("_total", X.total(f"coalesce(weight_{f}, 0D)" for f in features))
 
     def entry(f: str) -> Column:
         t, p = f"z_{f}", f"proto_{f}"
@@ -273,6 +330,6 @@ def explain_scores(
             f" 'feature_similarity', IF({p} IS NOT NULL, {like}, NULL))"
         )
 
-    entries = [entry(f) for f in features]
-    rows = rows.withColumn("_total", total)
-    return rows.select("user_id", "item", F.explode(F.array(*entries)).alias("e")).select("user_id", "item", "e.*")
+    return rows.select("user_id", "item", F.explode(F.array(*[entry(f) for f in features])).alias("e")).select(
+        "user_id", "item", "e.*"
+    )

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from rankflow.config import Settings
 from rankflow.functions import expr as X
+from rankflow.functions.blocks import meet_rows, place
 from rankflow.operators import constrain, diversify, profile, scoring
 from rankflow.operators.scale import z_scores
 from rankflow.plans import evaluate as evaluation
-from rankflow.plans.recommend import recommend, scored_pairs
+from rankflow.plans.recommend import ranking_state, recommend
 from rankflow.queries.data import (
     BASE, CONTENT_SQL, FEATURES, HYBRID, MAPPING, POOLED_SQL, Z, cos, each, fixed_confidence, importance, items,
     mmr_sql, open_pairs, plus, r6, ratings, rd, relax_sql, table,
@@ -55,25 +56,23 @@ def fixed_profiles(spark, d, z_items):
     )
 
 
-def hybrid(spark, d, carry=None):
+def hybrid(spark, d):
     z_items = with_z(spark, d)
-    return scoring.hybrid_scores(fixed_profiles(spark, d, z_items), z_items, FEATURES, S, carry)
+    return scoring.hybrid_scores(fixed_profiles(spark, d, z_items), z_items, FEATURES, S)
 
 
-def open_scores(spark, d):
-    """Pairs with thresholds and requirement order; rated items keep their row but no score."""
+def state(spark, d):
+    """(users, catalog) with thresholds, requirement order and rated sets."""
     z_items = with_z(spark, d)
-    return scored_pairs(None, ratings(spark, d), z_items, MAPPING, S, fixed_profiles(spark, d, z_items)).withColumn(
-        "score", F.when(~F.col("rated"), F.col("score"))
-    )
+    return ranking_state(None, ratings(spark, d), z_items, MAPPING, S, fixed_profiles(spark, d, z_items))
 
 
 def candidates(spark, d):
-    return (
-        hybrid(spark, d)
-        .join(ratings(spark, d).select("user_id", "item"), ["user_id", "item"], "left_anti")
-        .select("user_id", "item", "score", *FEATURES)
-    )
+    """A stored table of unrated scored pairs, as a re-ranker is given it."""
+    z_items = with_z(spark, d)
+    users, catalog = ranking_state(None, ratings(spark, d), z_items, MAPPING, S, fixed_profiles(spark, d, z_items))
+    pairs = meet_rows(users, catalog, "item").where(scoring.UNRATED)
+    return pairs.selectExpr("user_id", "item", f"{scoring.score_sql(FEATURES)} AS score", *FEATURES)
 
 
 CANDIDATES = """candidates AS (
@@ -207,9 +206,9 @@ _CONTENT = f"{BASE}, content AS (SELECT user_id, item, {CONTENT_SQL} AS score FR
 )
 def content_top_n(spark, d):
     """Stated weights -> content score -> without rated items -> best five per user."""
-    scores = scoring.content_scores(stated_profiles(spark, d), items(spark, d), FEATURES)
-    fresh = scoring.without_rated(scores, ratings(spark, d))
-    return scoring.top_items(fresh, 5).select("user_id", "rank", "item", r6("score"))
+    return scoring.content_ranking(stated_profiles(spark, d), ratings(spark, d), items(spark, d), FEATURES, 5).select(
+        "user_id", "rank", "item", r6("score")
+    )
 
 
 @query("content_scores", f"{_CONTENT} SELECT user_id, item, {rd('greatest(0.0, least(1.0, score))', 'score')} FROM content")
@@ -328,10 +327,9 @@ def nearest_vectors(spark, d):
     {rd('content_weight', 'content_weight')}, {rd('similarity_weight', 'similarity_weight')} FROM hybrid""",
 )
 def adaptive_weights(spark, d):
-    return hybrid(spark, d).groupBy("user_id").agg(
-        F.first("strategy").alias("strategy"), r6(F.first("content_weight"), "content_weight"),
-        r6(F.first("similarity_weight"), "similarity_weight"),
-    )
+    z_items = with_z(spark, d)
+    users = scoring.hybrid_users(fixed_profiles(spark, d, z_items), z_items, FEATURES, S)
+    return users.select("user_id", scoring.strategy().alias("strategy"), r6("content_weight"), r6("similarity_weight"))
 
 
 @query(
@@ -366,7 +364,10 @@ def combine_scores(spark, d):
     * CASE WHEN max(blend) THEN max(confidence) ELSE 0.5 END))''', 'score_confidence')} FROM hybrid GROUP BY user_id""",
 )
 def score_confidence(spark, d):
-    return scoring.score_confidence(hybrid(spark, d)).select("user_id", r6("score_confidence"))
+    z_items = with_z(spark, d)
+    return scoring.score_confidence(fixed_profiles(spark, d, z_items), z_items, FEATURES).select(
+        "user_id", r6("score_confidence")
+    )
 
 
 def _likeness(f: str) -> str:
@@ -396,7 +397,7 @@ _PLAIN = f"{BASE}, plain AS (SELECT user_id, item, {CONTENT_SQL} AS score FROM s
 def explain_scores(spark, d):
     """Each customer's five best suppliers by content, feature by feature."""
     z_items, profiles = with_z(spark, d), stated_profiles(spark, d)
-    best = scoring.top_items(scoring.content_scores(profiles, z_items, FEATURES), 5)
+    best = best_five(spark, d, z_items)
     liked = ratings(spark, d).where(X.is_positive(F.col("rating")))
     return scoring.explain_scores(best.select("user_id", "item"), profiles, z_items, FEATURES, liked).select(
         "user_id", "item", "feature", r6("contribution"), r6("feature_similarity")
@@ -419,7 +420,8 @@ def category_thresholds(spark, d):
     f"{HYBRID}, {open_pairs()}, {relax_sql(0)} SELECT user_id, item FROM relaxed WHERE passes",
 )
 def hard_filter(spark, d):
-    return constrain.level_zero(open_scores(spark, d), FEATURES).select("user_id", "item")
+    users, catalog = state(spark, d)
+    return constrain.passing_pairs(users, catalog, FEATURES).select("user_id", "item")
 
 
 @query(
@@ -432,7 +434,7 @@ def hard_filter(spark, d):
     ),
 )
 def constraint_impact(spark, d):
-    return constrain.constraint_impact(open_scores(spark, d), FEATURES)
+    return constrain.constraint_impact(*state(spark, d), FEATURES)
 
 
 @query(
@@ -441,7 +443,8 @@ def constraint_impact(spark, d):
     FROM relaxed WHERE passes""",
 )
 def constraint_relaxation(spark, d):
-    out = constrain.relax(open_scores(spark, d), FEATURES).where("passes")
+    users, catalog = state(spark, d)
+    out = constrain.passing_pairs(constrain.relax(users, catalog, FEATURES), catalog, FEATURES)
     text = F.concat_ws("", F.transform("relaxed", lambda f: F.concat(F.lit(","), f)))
     return out.select("user_id", "item", "relaxation_level", text.alias("relaxed"))
 
@@ -452,13 +455,15 @@ def constraint_relaxation(spark, d):
     max(level) AS relaxation_level FROM relaxed GROUP BY user_id""",
 )
 def constraint_summary(spark, d):
-    summary = constrain.constraint_summary(constrain.relax(open_scores(spark, d), FEATURES), FEATURES)
+    users, catalog = state(spark, d)
+    summary = constrain.constraint_summary(constrain.relax(users, catalog, FEATURES), catalog, FEATURES)
     return summary.select("user_id", "num_results", "relaxation_level")
 
 
 @query("explain_constraints")
 def explain_constraints(spark, d):
-    summary = constrain.constraint_summary(constrain.relax(open_scores(spark, d), FEATURES), FEATURES)
+    users, catalog = state(spark, d)
+    summary = constrain.constraint_summary(constrain.relax(users, catalog, FEATURES), catalog, FEATURES)
     return constrain.explain_constraints(summary, importance(spark, d))
 
 
@@ -488,10 +493,14 @@ def diversity_score(spark, d):
     )
 
 
+def best_five(spark, d, it):
+    users = place(stated_profiles(spark, d).select("user_id", *X.named("weight_", FEATURES)))
+    return scoring.top_pairs(users, it.select("item", *FEATURES), scoring.content_sql(FEATURES), 5)
+
+
 def top_five(spark, d):
     it = items(spark, d)
-    best = scoring.top_items(scoring.content_scores(stated_profiles(spark, d), it, FEATURES), 5)
-    return best.join(it, "item")
+    return best_five(spark, d, it).join(it, "item")
 
 
 _CV = "coalesce(stddev_samp({f}) / nullif(avg({f}), 0), 0)"
@@ -613,10 +622,11 @@ def evaluate_content(spark, d):
     """Held-out error and precision of the content score read as stars."""
     every = ratings(spark, d)
     train, test = evaluation.split(every, (F.col("user_id") * 31 + F.col("item")) % 5 == 0)
-    scores = scoring.content_scores(stated_profiles(spark, d), items(spark, d), FEATURES)
-    stars = scores.select("user_id", "item", X.clip(F.col("score") / F.lit(0.2), 1, 5).alias("stars"))
+    rows = test.select("user_id", "item").join(stated_profiles(spark, d), "user_id").join(items(spark, d), "item")
+    score = scoring.content_score(FEATURES)
+    stars = rows.select("user_id", "item", X.clip(score / F.lit(0.2), 1, 5).alias("stars"))
     mae = evaluation.mean_absolute_error(stars, test)
-    top = scoring.top_items(scoring.without_rated(scores, train), 5)
+    top = scoring.content_ranking(stated_profiles(spark, d), train, items(spark, d), FEATURES, 5)
     precision = evaluation.precision_at(top, test, 5)
     return mae.select(F.lit("mae").alias("metric"), r6("mae", "value")).unionByName(
         precision.select(F.lit("precision_at_5").alias("metric"), r6("precision", "value"))
