@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rankflow.config import Settings
 from rankflow.functions import expr as X
 from rankflow.functions.blocks import meet_rows
+from rankflow.operators.scoring import _packed, anchored
 
 DEFAULTS = Settings()
 
@@ -95,52 +96,44 @@ def mmr_over_catalog(
     greatest worth and one for the item that reaches it (smallest item on a tie).
     """
     n, lam = n or settings.top_n, settings.diversity_lambda
-    base = users.columns
-    first = X.attach(catalog, catalog.agg(F.min("item").alias("item")), "_f").selectExpr(
-        *catalog.columns, "item = _f.item AS _anchor"
-    )
+    base, ids = users.columns, range(len(features))
+    marked = anchored(catalog)
     moments = meet_rows(users, catalog, "item").where(wanted).groupBy(*base).agg(
         F.count(F.lit(1)).alias("_count"),
-        *[F.expr(f"avg(coalesce({f}, 0D)) AS _m{i}") for i, f in enumerate(features)],
-        *[F.expr(f"stddev_pop(coalesce({f}, 0D)) AS _d{i}") for i, f in enumerate(features)],
-    )
-    ids = range(len(features))
-    state = moments.selectExpr(
-        *base, "_count", *[f"_m{i}" for i in ids], *[f"coalesce(try_divide(1D, _d{i}), 0D) AS _d{i}" for i in ids],
-        f"CAST(array() AS array<struct<rank:int,item:{dict(catalog.dtypes)['item']},score:double>>) AS _picks",
+        *[F.expr(f"avg(_i.x{i}) AS _a{i}") for i in ids],
+        *[F.expr(f"stddev_pop(_i.x{i}) AS _d{i}") for i in ids],
     )
-    v = [f"(coalesce({f}, 0D) - _m{i}) * _d{i}" for i, f in enumerate(features)]
+    spread = {f"m{i}": f"coalesce(_a{i}, 0D)" for i in ids} | {f"d{i}": f"coalesce(try_divide(1D, _d{i}), 0D)" for i in ids}
+    nothing = f"CAST(array() AS array<struct<rank:int,item:{dict(catalog.dtypes)['item']},score:double>>) AS _picks"
+    state = moments.select(*base, "_count", _packed("_m", spread), F.expr(nothing))
+    v = [f"((_i.x{i} - _m.m{i}) * _m.d{i})" for i in ids]
     for number in range(1, n + 1):
-        earlier = [[f"_p{k}[{i}]" for i in ids] for k in range(1, number)]
-
-        def valued(rows: DataFrame, keep: list[str]) -> DataFrame:
-            """Pairs with their worth; picked items and pairs that are no candidates have none."""
-            vectors = rows.selectExpr(
-                *keep, "item", "_anchor", f"{score} AS _score", *[f"{x} AS _v{i}" for i, x in enumerate(v)],
-                f"({wanted}) AND NOT exists(_picks, p -> p.item = item) AS _open",
-            ).selectExpr("*", f"{X.norm([f'_v{i}' for i in ids])} AS _len")
-            near = [X.dot([f"_v{i}" for i in ids], p) for p in earlier]
-            highest = f"greatest({', '.join(near)})" if len(near) > 1 else near[0] if near else "0D"
-            penalty = f"coalesce(try_divide({highest}, _len), 0D)"
-            worth = f"IF(_count > {n}, {lam!r}D * _score - {1 - lam!r}D * {penalty}, _score)"
-            return vectors.selectExpr("*", f"IF(_open, {worth}, NULL) AS _worth")
-
+        earlier = [X.dot(v, [f"_p{k}.v{i}" for i in ids]) for k in range(1, number)]
+        highest = f"greatest({', '.join(earlier)})" if len(earlier) > 1 else earlier[0] if earlier else "0D"
+        penalty = f"coalesce(try_divide({highest}, {X.norm(v)}), 0D)" if earlier else "0D"
+        worth = f"IF(_count > {n}, {lam!r}D * {score} - {1 - lam!r}D * {penalty}, {score})"
+        still = f"({wanted}) AND NOT exists(_picks, p -> p.item = item)" if earlier else wanted
         keep = state.columns
-        best = valued(meet_rows(state, first, "item"), keep).groupBy(*keep).agg(F.max("_worth").alias("_best"))
-        found = valued(meet_rows(best, first, "item"), [*keep, "_best"]).where(
-            "_worth = _best OR (_best IS NULL AND _anchor)"
+        # Users whose candidates are used up are kept by the anchor, with nothing picked.
+        pairs = meet_rows(state, marked, "item").selectExpr(*keep, "_i", f"IF({still}, {worth}, NULL) AS _worth")
+        best = pairs.groupBy(*keep).agg(F.max("_worth").alias("_best"))
+        found = (
+            meet_rows(best, marked, "item")
+            .selectExpr(*keep, "_best", "item", "_i", "_anchor", f"IF({still}, {worth}, NULL) AS _worth")
+            .where("_worth = _best OR (_best IS NULL AND _anchor)")
+            .selectExpr(*keep, "_best", "item", f"{score} AS _score", f"{X.norm(v)} AS _len", f"array({', '.join(v)}) AS _v")
         )
         pick = found.groupBy(*keep, "_best").agg(
-            F.expr(
-                f"min(named_struct('item', item, 'score', _score, 'len', _len, 'v', array({', '.join(f'_v{i}' for i in ids)})))"
-                " AS _pick"
-            )
+            F.expr("min(named_struct('item', item, 'score', _score, 'len', _len, 'v', _v)) AS _pick")
         )
-        state = pick.selectExpr(
+        direction = {f"v{i}": f"coalesce(try_divide(_pick.v[{i}], _pick.len), 0D)" for i in ids}
+        state = pick.select(
             *[c for c in keep if c != "_picks"],
-            f"IF(_best IS NULL, _picks, array_append(_picks, named_struct('rank', {number}, 'item', _pick.item, 'score',"
-            " _pick.score))) AS _picks",
-            f"IF(_best IS NULL, NULL, transform(_pick.v, x -> coalesce(try_divide(x, _pick.len), 0D))) AS _p{number}",
+            F.expr(
+                f"IF(_best IS NULL, _picks, array_append(_picks, named_struct('rank', {number}, 'item', _pick.item,"
+                " 'score', _pick.score))) AS _picks"
+            ),
+            _packed(f"_p{number}", direction),
         )
     return state.select("user_id", F.explode("_picks").alias("p")).select("user_id", "p.rank", "p.item", "p.score")
 

@@ -24,23 +24,77 @@ def by_user():
     return Window.partitionBy("user_id")
 
 
-def content_sql(features: list[str], normalize: bool = True) -> str:
-    """Weighted mean of the known features with a positive weight; from `weight_<f>` and `<f>`."""
-    value = "greatest(0D, least(1D, {f}))" if normalize else "{f}"
-    used = "weight_{f} > 0 AND {f} IS NOT NULL"
-    top = X.plus(f"IF({used.format(f=f)}, weight_{f} * {value.format(f=f)}, 0D)" for f in features)
-    bottom = X.plus(f"IF({used.format(f=f)}, weight_{f}, 0D)" for f in features)
+# Users and items meet as packed rows: numbers that are never NULL, so that the code generated for
+# a pair stays small enough to be compiled. `_i` (item): c = clipped value or 0, k = value known,
+# x = value or 0, u = direction of the z-vector. `_u` (user): w = weight or 0, q = direction of the
+# liked prototype, wc and ws = the two shares.
+
+
+def _packed(name: str, fields: dict[str, str]) -> Column:
+    return F.expr(f"named_struct({', '.join(f"'{k}', {v}" for k, v in fields.items())}) AS {name}")
+
+
+def pack_items(items: DataFrame, features: list[str], normalize: bool = True) -> DataFrame:
+    """`item`, `_i` (and the columns of `items`, for results)."""
+    z = X.named("z_", features)
+    fields = {}
+    for i, f in enumerate(features):
+        clipped = f"greatest(0D, least(1D, {f}))" if normalize else f"coalesce({f}, 0D)"
+        fields[f"c{i}"] = f"IF({f} IS NULL, 0D, {clipped})"
+        fields[f"k{i}"] = f"IF({f} IS NULL, 0D, 1D)"
+        fields[f"x{i}"] = f"coalesce({f}, 0D)"
+        fields[f"u{i}"] = f"coalesce(try_divide({z[i]}, {X.norm(z)}), 0D)" if z[i] in items.columns else "0D"
+    return items.withColumn("_i", _packed("_i", fields))
+
+
+def pack_weights(features: list[str], shares: bool = False) -> Column:
+    """`_u` from `weight_<f>` (and, with shares, `proto_<f>` and the two share columns)."""
+    p = X.named("proto_", features)
+    fields = {f"w{i}": f"IF(weight_{f} > 0, weight_{f}, 0D)" for i, f in enumerate(features)}
+    if shares:
+        fields |= {f"q{i}": f"coalesce(try_divide({c}, {X.norm(p)}), 0D)" for i, c in enumerate(p)}
+        fields |= {"wc": "coalesce(content_weight, 1D)", "ws": "coalesce(similarity_weight, 0D)"}
+    return _packed("_u", fields)
+
+
+def repack(df: DataFrame, name: str) -> DataFrame:
+    """Tell the optimizer again, after a table was stored, that a packed column has no NULL."""
+    fields = {f.name: f"coalesce({name}.{f.name}, 0D)" for f in df.schema[name].dataType.fields}
+    return df.withColumn(name, _packed(name, fields))
+
+
+def content_sql(features: list[str]) -> str:
+    """Weighted mean of the known features with a positive weight."""
+    ids = range(len(features))
+    top = X.dot([f"_u.w{i}" for i in ids], [f"_i.c{i}" for i in ids])
+    bottom = X.dot([f"_u.w{i}" for i in ids], [f"_i.k{i}" for i in ids])
     return f"coalesce(try_divide({top}, {bottom}), 0D)"
 
 
-def content_score(features: list[str], normalize: bool = True, scaling: str = "linear") -> Column:
-    return X.scale_score(F.expr(content_sql(features, normalize)), scaling)
+def cosine_sql(features: list[str]) -> str:
+    ids = range(len(features))
+    return f"greatest(0D, least(1D, {X.dot([f'_u.q{i}' for i in ids], [f'_i.u{i}' for i in ids])}))"
+
 
+def score_sql(features: list[str]) -> str:
+    """Hybrid score; a user without a prototype has similarity 0 at share 0."""
+    return f"(_u.wc * {content_sql(features)} + _u.ws * {cosine_sql(features)})"
+
+
+def content_score(features: list[str], scaling: str = "linear") -> Column:
+    return X.scale_score(F.expr(content_sql(features)), scaling)
 
-def content_scores(profiles: DataFrame, items: DataFrame, features: list[str], scaling: str = "linear") -> DataFrame:
-    users = place(profiles.select("user_id", *X.named("weight_", features)))
-    pairs = meet_rows(users, items.select("item", *features), "item")
-    return pairs.select("user_id", "item", content_score(features, scaling=scaling).alias("score"))
+
+def content_users(profiles: DataFrame, features: list[str]) -> DataFrame:
+    return profiles.select("user_id", pack_weights(features))
+
+
+def content_scores(
+    profiles: DataFrame, items: DataFrame, features: list[str], scaling: str = "linear", normalize: bool = True
+) -> DataFrame:
+    catalog = pack_items(items.select("item", *features), features, normalize).select("item", "_i")
+    pairs = meet_rows(place(content_users(profiles, features)), catalog, "item")
+    return pairs.select("user_id", "item", content_score(features, scaling).alias("score"))
 
 
 def top_items(scores: DataFrame, n: int) -> DataFrame:
@@ -95,9 +149,9 @@ def content_ranking(
     profiles: DataFrame, ratings: DataFrame, items: DataFrame, features: list[str], n: int
 ) -> DataFrame:
     """Best n unrated items per user by content score."""
-    users = profiles.select("user_id", *X.named("weight_", features)).join(rated_sets(ratings), "user_id", "left")
-    score = f"greatest(0D, least(1D, {content_sql(features)}))"
-    return top_pairs(place(users), items.select("item", *features), score, n, UNRATED)
+    users = content_users(profiles, features).join(rated_sets(ratings), "user_id", "left")
+    catalog = pack_items(items.select("item", *features), features).select("item", "_i")
+    return top_pairs(place(users), catalog, content_sql(features), n, UNRATED)
 
 
 def baseline_ranking(importance: DataFrame, items: DataFrame, mapping: dict[str, list[str]], n: int) -> DataFrame:
@@ -107,8 +161,10 @@ def baseline_ranking(importance: DataFrame, items: DataFrame, mapping: dict[str,
     weights = rows.groupBy("user_id").agg(
         *[F.expr(f"coalesce(sum(importance / 10D) FILTER (WHERE feature = '{f}'), 0D) AS weight_{f}") for f in features]
     )
-    score = X.dot([f"coalesce({f}, 0D)" for f in features], X.named("weight_", features))
-    return top_pairs(place(weights), items.select("item", *features), score, n)
+    users = weights.select("user_id", pack_weights(features))
+    catalog = pack_items(items.select("item", *features), features).select("item", "_i")
+    ids = range(len(features))
+    return top_pairs(place(users), catalog, X.dot([f"_u.w{i}" for i in ids], [f"_i.x{i}" for i in ids]), n)
 
 
 def prototype(features: list[str]) -> list[Column]:
@@ -202,16 +258,23 @@ def adaptive_weights(
 
 
 def catalog_of(items: DataFrame, features: list[str]) -> DataFrame:
-    """`item`, features and whole-table z-scores: what every pair needs of an item."""
+    """`item`, features, whole-table z-scores and the packed `_i`."""
     z = X.named("z_", features)
     with_z = items if all(c in items.columns for c in z) else z_scores(items, features)
-    return with_z.select("item", *features, *z)
+    return pack_items(with_z.select("item", *features, *z), features)
+
+
+def anchored(catalog: DataFrame) -> DataFrame:
+    """Marks one item: its pair keeps a user in an aggregate that skips the user's other pairs."""
+    return X.attach(catalog, catalog.agg(F.min("item").alias("item")), "_f").selectExpr(
+        *catalog.columns, "item = _f.item AS _anchor"
+    )
 
 
 def hybrid_users(
     profiles: DataFrame, catalog: DataFrame, features: list[str], settings: Settings = DEFAULTS, carry: list[str] | None = None
 ) -> DataFrame:
-    """One placed row per user with everything `score_sql` needs: weights, prototype, the two shares.
+    """One placed row per user with the packed `_u`, `confidence`, `num_ratings`, `_blend` and the shares.
 
     The shares depend on the spread of both scores over the whole catalog, found in one pass.
     Users without any weight have no row. `carry` names further profile columns to keep.
@@ -222,32 +285,33 @@ def hybrid_users(
         & (F.col("confidence") >= settings.similarity_confidence)
         & (F.col("n_liked") > 0)
     )
-    users = place(
-        profiles.where(" OR ".join(f"weight_{f} IS NOT NULL" for f in features)).select(
-            "user_id", "confidence", F.col("n_given").alias("num_ratings"), blend.alias("_blend"),
-            *[F.when(blend, p).alias(f"proto_{f}") for f, p in zip(features, prototype(features))],
-            *X.named("weight_", features), *(carry or []),
-        )
+    known = profiles.where(" OR ".join(f"weight_{f} IS NOT NULL" for f in features)).select(
+        "user_id", "confidence", F.col("n_given").alias("num_ratings"), F.coalesce(blend, F.lit(False)).alias("_blend"),
+        *[F.when(blend, p).alias(f"proto_{f}") for f, p in zip(features, prototype(features))],
+        *X.named("weight_", features), F.lit(1.0).alias("content_weight"), F.lit(0.0).alias("similarity_weight"),
+        *(carry or []),
     )
+    users = place(known.select("user_id", "confidence", "num_ratings", "_blend", pack_weights(features, True), *(carry or [])))
     # Only blended users need the pass over the catalog; one item keeps the others.
-    anchor = catalog.agg(F.min("item").alias("item"))
-    pairs = meet_rows(users, X.attach(catalog, anchor, "_first"), "item").where("_blend OR item = _first.item")
+    pairs = meet_rows(users, anchored(catalog).select("item", "_i", "_anchor"), "item").where("_blend OR _anchor")
     spread = pairs.groupBy(*users.columns).agg(
-        F.expr(f"var_pop({content_sql(features)}) AS _vc"), F.expr(f"var_pop({similarity_sql(features)}) AS _vs")
+        F.expr(f"var_pop({content_sql(features)}) AS _vc"), F.expr(f"var_pop({cosine_sql(features)}) AS _vs")
     )
     wc, ws = adaptive_weights(F.col("confidence"), F.col("num_ratings"), F.col("_vc"), F.col("_vs"), settings)
-    return spread.withColumns(
+    shared = spread.withColumns(
         {
             "content_weight": F.when(F.col("_blend"), wc).otherwise(F.lit(1.0)),
             "similarity_weight": F.when(F.col("_blend"), ws).otherwise(F.lit(0.0)),
         }
     ).drop("_vc", "_vs")
-
-
-def score_sql(features: list[str]) -> str:
-    return (
-        f"(content_weight * {content_sql(features)}"
-        f" + similarity_weight * coalesce({similarity_sql(features)}, 0D))"
+    fields = [f.name for f in users.schema["_u"].dataType.fields if f.name not in ("wc", "ws")]
+    return shared.withColumn(
+        "_u",
+        _packed(
+            "_u",
+            {n: f"_u.{n}" for n in fields}
+            | {"wc": "coalesce(content_weight, 1D)", "ws": "coalesce(similarity_weight, 0D)"},
+        ),
     )
 
 
@@ -258,12 +322,13 @@ def strategy() -> Column:
 def hybrid_scores(
     profiles: DataFrame, items: DataFrame, features: list[str], settings: Settings = DEFAULTS
 ) -> DataFrame:
-    """All pairs with `score`, its two parts, their shares and the `strategy`; item features are kept."""
+    """All pairs with `score`, its two parts, their shares and the `strategy`."""
     catalog = catalog_of(items, features)
-    pairs = meet_rows(hybrid_users(profiles, catalog, features, settings), catalog, "item")
+    users = hybrid_users(profiles, catalog, features, settings)
+    pairs = meet_rows(users, catalog.select("item", "_i"), "item")
     return pairs.selectExpr(
-        "user_id", "item", "num_ratings", "confidence", *features, "content_weight", "similarity_weight", "_blend",
-        f"{content_sql(features)} AS content_score", f"{similarity_sql(features)} AS similarity_score",
+        "user_id", "item", "num_ratings", "confidence", "content_weight", "similarity_weight", "_blend",
+        f"{content_sql(features)} AS content_score", f"IF(_blend, {cosine_sql(features)}, NULL) AS similarity_score",
         f"{score_sql(features)} AS score",
     ).withColumn("strategy", strategy()).drop("_blend")
 
@@ -286,7 +351,7 @@ def score_confidence(
     """0.1-1 per user: base by strategy x spread of the scores x rating count x user confidence."""
     catalog = catalog_of(items, features)
     users = hybrid_users(profiles, catalog, features, settings)
-    spread = meet_rows(users, catalog, "item").groupBy(*users.columns).agg(
+    spread = meet_rows(users, catalog.select("item", "_i"), "item").groupBy(*users.columns).agg(
         F.expr(f"var_pop({score_sql(features)}) AS _v")
     )
     raw = (

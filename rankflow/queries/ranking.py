@@ -328,7 +328,7 @@ def nearest_vectors(spark, d):
 )
 def adaptive_weights(spark, d):
     z_items = with_z(spark, d)
-    users = scoring.hybrid_users(fixed_profiles(spark, d, z_items), z_items, FEATURES, S)
+    users = scoring.hybrid_users(fixed_profiles(spark, d, z_items), scoring.catalog_of(z_items, FEATURES), FEATURES, S)
     return users.select("user_id", scoring.strategy().alias("strategy"), r6("content_weight"), r6("similarity_weight"))
 
 
@@ -494,8 +494,9 @@ def diversity_score(spark, d):
 
 
 def best_five(spark, d, it):
-    users = place(stated_profiles(spark, d).select("user_id", *X.named("weight_", FEATURES)))
-    return scoring.top_pairs(users, it.select("item", *FEATURES), scoring.content_sql(FEATURES), 5)
+    users = place(scoring.content_users(stated_profiles(spark, d), FEATURES))
+    catalog = scoring.pack_items(it.select("item", *FEATURES), FEATURES).select("item", "_i")
+    return scoring.top_pairs(users, catalog, scoring.content_sql(FEATURES), 5)
 
 
 def top_five(spark, d):
@@ -622,7 +623,8 @@ def evaluate_content(spark, d):
     """Held-out error and precision of the content score read as stars."""
     every = ratings(spark, d)
     train, test = evaluation.split(every, (F.col("user_id") * 31 + F.col("item")) % 5 == 0)
-    rows = test.select("user_id", "item").join(stated_profiles(spark, d), "user_id").join(items(spark, d), "item")
+    users = scoring.content_users(stated_profiles(spark, d), FEATURES)
+    rows = test.select("user_id", "item").join(users, "user_id").join(scoring.pack_items(items(spark, d), FEATURES), "item")
     score = scoring.content_score(FEATURES)
     stars = rows.select("user_id", "item", X.clip(score / F.lit(0.2), 1, 5).alias("stars"))
     mae = evaluation.mean_absolute_error(stars, test)
