@@ -1,8 +1,8 @@
 """Registered queries: each reads the whole tables and has its SQL twin beside it where SQL can say it."""
 
-from rankflow.queries import ranking
+from rankflow.queries import cleaning, ingesting, ranking
 
-FAMILIES = (ranking,)
+FAMILIES = (cleaning, ingesting, ranking)
 
 
 def all_queries() -> dict:
