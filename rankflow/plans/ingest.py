@@ -16,6 +16,7 @@ from rankflow.operators.match import match_report, resolve_names, resolve_rows
 from rankflow.operators.merge import first_per_entity, merge_steps, number_entities, outer_merge
 from rankflow.operators.scale import _unit, is_inverted
 from rankflow.operators.schema_rules import numeric_columns, standard_names, to_warehouse_names
+from rankflow.session import store
 from rankflow.sources.csv_folder import CsvFile, FolderReport, entity_dictionary, open_folder, validate_folder
 from rankflow.sources.reports import long_report
 from rankflow.sources.warehouse import (
@@ -65,7 +66,8 @@ def clean_table(
         F.col("std_name").alias(entity), *columns, *[F.col(o).alias(o) if isinstance(o, str) else o for o in order]
     )
     once = first_per_entity(matched, entity, [F.col(o) for o in order]).select(entity, *columns)
-    return clean_columns(once, columns, settings, lower_is_better)
+    # Three statistics passes read the deduplicated rows, and merge, fill and reports the result.
+    return store(clean_columns(store(once, "deduplicated"), columns, settings, lower_is_better), "cleaned")
 
 
 @dataclass
@@ -91,7 +93,7 @@ def clean_files(
     for f in usable:
         one = f.data.select(F.col(f"`{f.entity}`").cast("string").alias("name"), F.lit(f.name).alias("file"))
         names = one if names is None else names.unionByName(one)
-    resolved = resolve_names(names, dictionary, method, settings.fuzzy_threshold)
+    resolved = store(resolve_names(names, dictionary, method, settings.fuzzy_threshold), "resolved-names")
     cleaned = {}
     for f in usable:
         numbers = [c for c in numeric_columns(f.data) if c != f.entity]
@@ -114,7 +116,7 @@ def ingest(
     files = open_folder(spark, folder)
     report = validate_folder(spark, files, settings)
     cleaned, matches = clean_files(spark, files, settings, method)
-    merged = outer_merge(cleaned, "country")
+    merged = store(outer_merge(cleaned, "country"), "merged")
     values = [c for c in merged.columns if c != "country"]
     complete = to_warehouse_names(fill_every_gap(merged, values))
     table = number_entities(complete, "country_name")
