@@ -37,9 +37,11 @@ def meet(left: DataFrame, catalog: DataFrame, key: str, blocks: int | None = Non
 def place(users: DataFrame, key: str = "user_id") -> DataFrame:
     """Spread the rows by key over a fixed number of partitions; joins with a catalog keep the placement.
 
-    The number is not left to adaptive coalescing: few bytes per user still mean a catalog's worth of work.
+    The number is not left to adaptive coalescing: few bytes per user still mean a catalog's worth of
+    work. It differs from the session's own number, because an equal partitioning below would be
+    reused as it is, coalesced.
     """
-    return users.repartition(width(users), key)
+    return users.repartition(2 * width(users) + 1, key)
 
 
 def meet_rows(left: DataFrame, catalog: DataFrame, key: str, blocks: int | None = None) -> DataFrame:

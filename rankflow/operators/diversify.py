@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from rankflow.config import Settings
 from rankflow.functions import expr as X
-from rankflow.functions.blocks import meet_rows
-from rankflow.operators.scoring import _packed, anchored
+from rankflow.functions.blocks import meet_rows, place
+from rankflow.operators.scoring import _packed, repack_all
+from rankflow.session import store
 
 DEFAULTS = Settings()
 
@@ -92,47 +93,47 @@ def mmr_over_catalog(
 ) -> DataFrame:
     """The same ranking (cosine) without a candidate table: candidates are the pairs where `wanted` holds.
 
-    The state is one placed row per user with the vectors picked so far. A round is one pass for the
-    greatest worth and one for the item that reaches it (smallest item on a tie).
+    The state is one row per user with the vectors picked so far. A round is one pass for the greatest
+    worth and one for the item that reaches it (smallest item on a tie).
     """
     n, lam = n or settings.top_n, settings.diversity_lambda
-    base, ids = users.columns, range(len(features))
-    marked = anchored(catalog)
-    moments = meet_rows(users, catalog, "item").where(wanted).groupBy(*base).agg(
+    ids, kind = range(len(features)), dict(catalog.dtypes)["item"]
+    moments = meet_rows(users, catalog, "item").where(wanted).groupBy("user_id").agg(
         F.count(F.lit(1)).alias("_count"),
         *[F.expr(f"avg(_i.x{i}) AS _a{i}") for i in ids],
         *[F.expr(f"stddev_pop(_i.x{i}) AS _d{i}") for i in ids],
     )
     spread = {f"m{i}": f"coalesce(_a{i}, 0D)" for i in ids} | {f"d{i}": f"coalesce(try_divide(1D, _d{i}), 0D)" for i in ids}
-    nothing = f"CAST(array() AS array<struct<rank:int,item:{dict(catalog.dtypes)['item']},score:double>>) AS _picks"
-    state = moments.select(*base, "_count", _packed("_m", spread), F.expr(nothing))
+    state = users.join(moments, "user_id").select(
+        *users.columns, "_count", _packed("_m", spread), F.expr(f"CAST(array() AS array<{kind}>) AS _taken"),
+        F.expr(f"CAST(array() AS array<struct<rank:int,item:{kind},score:double>>) AS _picks"),
+    )
     v = [f"((_i.x{i} - _m.m{i}) * _m.d{i})" for i in ids]
+    still = f"({wanted}) AND NOT array_contains(_taken, item)"
     for number in range(1, n + 1):
+        # Stored per round: both passes read the state, and a lost executor costs one round.
+        state = place(repack_all(store(state, "picks")))
         earlier = [X.dot(v, [f"_p{k}.v{i}" for i in ids]) for k in range(1, number)]
         highest = f"greatest({', '.join(earlier)})" if len(earlier) > 1 else earlier[0] if earlier else "0D"
         penalty = f"coalesce(try_divide({highest}, {X.norm(v)}), 0D)" if earlier else "0D"
         worth = f"IF(_count > {n}, {lam!r}D * {score} - {1 - lam!r}D * {penalty}, {score})"
-        still = f"({wanted}) AND NOT exists(_picks, p -> p.item = item)" if earlier else wanted
-        keep = state.columns
-        # Users whose candidates are used up are kept by the anchor, with nothing picked.
-        pairs = meet_rows(state, marked, "item").selectExpr(*keep, "_i", f"IF({still}, {worth}, NULL) AS _worth")
-        best = pairs.groupBy(*keep).agg(F.max("_worth").alias("_best"))
-        found = (
-            meet_rows(best, marked, "item")
-            .selectExpr(*keep, "_best", "item", "_i", "_anchor", f"IF({still}, {worth}, NULL) AS _worth")
-            .where("_worth = _best OR (_best IS NULL AND _anchor)")
-            .selectExpr(*keep, "_best", "item", f"{score} AS _score", f"{X.norm(v)} AS _len", f"array({', '.join(v)}) AS _v")
+        best = meet_rows(state.where(f"_count >= {number}"), catalog, "item").where(still).groupBy("user_id").agg(
+            F.expr(f"max({worth}) AS _best")
         )
-        pick = found.groupBy(*keep, "_best").agg(
-            F.expr("min(named_struct('item', item, 'score', _score, 'len', _len, 'v', _v)) AS _pick")
+        found = (
+            meet_rows(state.join(best, "user_id"), catalog, "item")
+            .where(still)
+            .where(f"{worth} = _best")
+            .selectExpr("user_id", "item", f"{score} AS _score", f"{X.norm(v)} AS _len", f"array({', '.join(v)}) AS _v")
+            .groupBy("user_id")
+            .agg(F.expr("min(named_struct('item', item, 'score', _score, 'len', _len, 'v', _v)) AS _pick"))
         )
         direction = {f"v{i}": f"coalesce(try_divide(_pick.v[{i}], _pick.len), 0D)" for i in ids}
-        state = pick.select(
-            *[c for c in keep if c != "_picks"],
-            F.expr(
-                f"IF(_best IS NULL, _picks, array_append(_picks, named_struct('rank', {number}, 'item', _pick.item,"
-                " 'score', _pick.score))) AS _picks"
-            ),
+        more = f"named_struct('rank', {number}, 'item', _pick.item, 'score', _pick.score)"
+        state = state.join(found, "user_id", "left").select(
+            *[c for c in state.columns if c not in ("_picks", "_taken")],
+            F.expr("IF(_pick IS NULL, _taken, array_append(_taken, _pick.item)) AS _taken"),
+            F.expr(f"IF(_pick IS NULL, _picks, array_append(_picks, {more})) AS _picks"),
             _packed(f"_p{number}", direction),
         )
     return state.select("user_id", F.explode("_picks").alias("p")).select("user_id", "p.rank", "p.item", "p.score")

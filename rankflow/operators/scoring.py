@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rankflow.config import Settings
 from rankflow.functions import expr as X
@@ -63,6 +64,13 @@ def repack(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn(name, _packed(name, fields))
 
 
+def repack_all(df: DataFrame) -> DataFrame:
+    for f in df.schema:
+        if isinstance(f.dataType, T.StructType):
+            df = repack(df, f.name)
+    return df
+
+
 def content_sql(features: list[str]) -> str:
     """Weighted mean of the known features with a positive weight."""
     ids = range(len(features))
