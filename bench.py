@@ -18,7 +18,7 @@ from rankflow.queries import all_queries
 HEADLINE = [
     "numeric_profile", "winsor_scale", "treat_outliers", "forward_fill", "first_per_entity", "outer_merge",
     "fuzzy_edit_match", "rating_sums", "learned_weights", "content_top_n", "similarity_cosine", "hybrid_scores",
-    "constraint_relaxation", "mmr", "recommend",
+    "constraint_relaxation", "recommend",
 ]
 
 

@@ -60,34 +60,34 @@ def _bracketed(df: DataFrame, columns: list[str], probs: list[float], keys: list
 
     entries = [
         F.struct(
-            F.lit(c).alias("column"), F.col(c).alias("v"), F.col(f"_b_{c}")["n"].alias("n"), bracket(c).alias("k")
+            F.lit(c).alias("_column_"), F.col(c).alias("_v_"), F.col(f"_b_{c}")["n"].alias("_n_"), bracket(c).alias("_k_")
         )
         for c in columns
     ]
-    rows = marked.select(*keys, F.explode(F.array(*entries)).alias("e")).select(*keys, "e.*").where("v IS NOT NULL")
+    rows = marked.select(*keys, F.explode(F.array(*entries)).alias("e")).select(*keys, "e.*").where("_v_ IS NOT NULL")
 
-    at = [F.lit(float(p)) * (F.col("n") - 1) for p in probs]
+    at = [F.lit(float(p)) * (F.col("_n_") - 1) for p in probs]
     ranks = F.array(*[f(h).cast("long") for h in at for f in (F.floor, F.ceil)])
-    counted = rows.groupBy(*keys, "column", "n", "k").agg(F.count(F.lit(1)).alias("m"))
-    up_to = Window.partitionBy(*keys, "column").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    counted = rows.groupBy(*keys, "_column_", "_n_", "_k_").agg(F.count(F.lit(1)).alias("_m_"))
+    up_to = Window.partitionBy(*keys, "_column_").orderBy("_k_").rowsBetween(Window.unboundedPreceding, 0)
     wanted = (
-        counted.withColumn("start", F.sum("m").over(up_to) - F.col("m"))
-        .where(F.exists(ranks, lambda r: (r >= F.col("start")) & (r < F.col("start") + F.col("m"))))
-        .select(*keys, "column", "k", "start")
+        counted.withColumn("_start_", F.sum("_m_").over(up_to) - F.col("_m_"))
+        .where(F.exists(ranks, lambda r: (r >= F.col("_start_")) & (r < F.col("_start_") + F.col("_m_"))))
+        .select(*keys, "_column_", "_k_", "_start_")
     )
     values = (
-        rows.join(wanted, [*keys, "column", "k"])
-        .groupBy(*keys, "column", "k", "start", "n", "v")
-        .agg(F.count(F.lit(1)).alias("c"))
+        rows.join(wanted, [*keys, "_column_", "_k_"])
+        .groupBy(*keys, "_column_", "_k_", "_start_", "_n_", "_v_")
+        .agg(F.count(F.lit(1)).alias("_c_"))
     )
-    inside = Window.partitionBy(*keys, "column", "k").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    placed = values.withColumn("first", F.col("start") + F.sum("c").over(inside) - F.col("c"))
+    inside = Window.partitionBy(*keys, "_column_", "_k_").orderBy("_v_").rowsBetween(Window.unboundedPreceding, 0)
+    placed = values.withColumn("_first_", F.col("_start_") + F.sum("_c_").over(inside) - F.col("_c_"))
 
     def value_at(rank):
-        hit = (F.col("first") <= rank) & (rank < F.col("first") + F.col("c"))
-        return F.max(F.when(hit, F.col("v")))
+        hit = (F.col("_first_") <= rank) & (rank < F.col("_first_") + F.col("_c_"))
+        return F.max(F.when(hit, F.col("_v_")))
 
-    found = placed.groupBy(*keys, "column", "n").agg(
+    found = placed.groupBy(*keys, "_column_", "_n_").agg(
         *[value_at(F.floor(h)).alias(f"lo{i}") for i, h in enumerate(at)],
         *[value_at(F.ceil(h)).alias(f"hi{i}") for i, h in enumerate(at)],
     )
@@ -97,5 +97,5 @@ def _bracketed(df: DataFrame, columns: list[str], probs: list[float], keys: list
         )
         for i, h in enumerate(at)
     ]
-    exact = found.select(*keys, "column", F.array(*answers).alias("q"))
-    return exact.groupBy(*keys).agg(*[F.max(F.when(F.col("column") == c, F.col("q"))).alias(c) for c in columns])
+    exact = found.select(*keys, "_column_", F.array(*answers).alias("q"))
+    return exact.groupBy(*keys).agg(*[F.max(F.when(F.col("_column_") == c, F.col("q"))).alias(c) for c in columns])

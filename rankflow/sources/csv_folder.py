@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,22 +20,24 @@ MISSING_TEXT = [
 
 
 def discover(spark: SparkSession, folder: str) -> DataFrame:
-    """`path`, `length`, `modificationTime` of every CSV below the folder; no file content is read."""
-    try:
-        files = (
-            spark.read.format("binaryFile")
-            .option("recursiveFileLookup", True)
-            .option("pathGlobFilter", "*.csv")
-            .load(folder)
-            .select("path", "length", "modificationTime")
-        )
-    except AnalysisException as error:
-        raise FileNotFoundError(f"input folder not found: {folder}") from error
-    if folder.rstrip("/").endswith(".csv"):
+    """`path`, `length`, `modificationTime` (ms) of every CSV below the folder, empty files included.
+
+    One row per topic file; Spark's own file sources would hide the empty ones.
+    """
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(root):
+        raise FileNotFoundError(f"input folder not found: {folder}")
+    if not system.getFileStatus(root).isDirectory():
         raise ValueError(f"not a directory: {folder}")
-    if files.isEmpty():
+    found, entries = [], system.listFiles(root, True)
+    while entries.hasNext():
+        e = entries.next()
+        if e.getPath().getName().endswith(".csv"):
+            found.append((e.getPath().toString(), e.getLen(), e.getModificationTime()))
+    if not found:
         raise ValueError(f"no CSV files found in: {folder}")
-    return files.orderBy("path")
+    return spark.createDataFrame(sorted(found), "path string, length long, modificationTime long")
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -95,7 +96,7 @@ class CsvFile:
 def open_folder(spark: SparkSession, folder: str) -> list[CsvFile]:
     """Every file, opened or with its error. The file list is one entry per topic."""
     out = []
-    for row in discover(spark, folder).toLocalIterator():
+    for row in discover(spark, folder).collect():
         one = CsvFile(row["path"], row["length"])
         try:
             one.data = read_csv(spark, one.path)
