@@ -128,14 +128,14 @@ def rating_rejects(spark, d):
 @query(
     "rating_sums",
     f"""{BASE}, x AS (SELECT user_id, item, rating * 0.2 AS y, {each('{f}')} FROM ratings JOIN items USING (item))
-    SELECT user_id, count(*) AS n, {rd('sum(y)', 'sy')}, {rd('sum(y * y)', 'syy')}, {rd('sum(balance_rate)', 'sx0')},
+    SELECT user_id, count(*) AS n, {rd('sum(y)', 'sy')}, {rd('sum(y * y)', 'syy')}, round(sum(balance_rate), 9) + 0.0 AS sx0,
     {rd('sum(balance_rate * balance_rate)', 'sxx0')}, {rd('sum(balance_rate * open_rate)', 'sxx8')},
     {rd('sum(open_rate * y)', 'sxy8')} FROM x GROUP BY user_id""",
 )
 def rating_sums(spark, d):
     sums = profile.rating_sums(ratings(spark, d), items(spark, d), FEATURES)
     return sums.select(
-        "user_id", "n", r6("sy"), r6("syy"), r6(F.col("sx")[0], "sx0"), r6(F.col("sxx")[0], "sxx0"),
+        "user_id", "n", r6("sy"), r6("syy"), (F.round(F.col("sx")[0], 9) + F.lit(0.0)).alias("sx0"), r6(F.col("sxx")[0], "sxx0"),
         r6(F.col("sxx")[8], "sxx8"), r6(F.col("sxy")[8], "sxy8"),
     )
 
