@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankflow.llm import decontaminate
+from rankflow.llm import decontaminate, quality
 from rankflow.llm.common import table
 
 
@@ -15,5 +15,15 @@ def op8_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.digest(found)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op8_decontaminate": op8_decontaminate}
-SQL: dict[str, str] = {}
+def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.judge(table(spark, folder, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "n_lines", "n_echo_words",
+    )
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_rules": op1_quality_rules,
+    "op8_decontaminate": op8_decontaminate,
+}
+SQL: dict[str, str] = {"op1_quality_rules": quality.SQL}
