@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankflow.llm import decontaminate, quality
+from rankflow.llm import decontaminate, quality, warc
 from rankflow.llm.common import table
 
 
@@ -22,8 +22,15 @@ def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.round_trip(table(spark, folder, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op8_decontaminate": op8_decontaminate,
+    "op10_warc": op10_warc,
 }
-SQL: dict[str, str] = {"op1_quality_rules": quality.SQL}
+SQL: dict[str, str] = {"op1_quality_rules": quality.SQL, "op10_warc": warc.SQL}
