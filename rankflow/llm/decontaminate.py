@@ -297,3 +297,30 @@ def digest(found: DataFrame) -> DataFrame:
         F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"),
         (F.size("spans") > 0).alias("contaminated"),
     )
+
+
+SQL = r"""
+WITH low AS (
+  SELECT 'd' AS kind, row_number() OVER () AS rid, doc_id AS id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+  UNION ALL
+  SELECT 'i', row_number() OVER (), item_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM benchmark),
+word AS (
+  SELECT kind, rid, id, len(ws) AS n, generate_subscripts(ws, 1) AS pos, unnest(ws) AS w
+  FROM (SELECT kind, rid, id, regexp_extract_all(text, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM low)),
+size AS (SELECT DISTINCT least(n, 10) AS s FROM word WHERE kind = 'i'),
+win AS (
+  SELECT kind, rid, id, n, pos, s, list_aggregate(list_slice(ahead, 1, s), 'string_agg', ' ') AS win
+  FROM (SELECT *, list(w) OVER (PARTITION BY kind, rid ORDER BY pos ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS ahead FROM word), size
+  WHERE len(ahead) >= s AND (kind = 'd' OR s = least(n, 10))),
+guard AS (SELECT DISTINCT s, win, id AS item FROM win WHERE kind = 'i'),
+found AS (SELECT rid, pos, s, item FROM win JOIN guard USING (s, win) WHERE kind = 'd'),
+hit AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(pos, pos + s)) AS p FROM found) GROUP BY rid),
+items AS (
+  SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+  FROM (SELECT DISTINCT rid, item::VARCHAR AS item FROM found) GROUP BY rid),
+n AS (SELECT rid, count(*) AS n_words FROM word WHERE kind = 'd' GROUP BY rid)
+SELECT id AS doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM low LEFT JOIN n USING (rid) LEFT JOIN hit USING (rid) LEFT JOIN items USING (rid)
+WHERE kind = 'd'
+"""
