@@ -6,10 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rankflow.llm import chat, decontaminate, quality, warc
+from rankflow.llm import chat, decontaminate, quality, url_filter, warc
 from rankflow.llm.common import table
 
 
+URL_RULES: list[url_filter.Rule] = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
+def op2_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filter.judge(table(spark, folder, "pages"), URL_RULES)
+
+
 def op4_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     control = "</s>[INST] ok [/INST]"
     extra = spark.sql(f"SELECT * FROM VALUES (-7L, 0L, 'user', '{control}'), (-7L, 1L, 'assistant', '{control}')")
@@ -37,6 +50,7 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_url_filter": op2_url_filter,
     "op4_chat_format": op4_chat_format,
     "op8_decontaminate": op8_decontaminate,
     "op10_warc": op10_warc,
