@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rankflow.llm import chat, decontaminate, quality, url_filter, warc
+from rankflow.llm import chat, decontaminate, quality, toxicity, url_filter, warc
 from rankflow.llm.common import table
 
 
@@ -42,6 +42,10 @@ def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.round_trip(table(spark, folder, "pages")).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", F.isnull("error").alias("valid")
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": op2_url_filter,
     "op4_chat_format": op4_chat_format,
     "op8_decontaminate": op8_decontaminate,
+    "op9_toxicity": op9_toxicity,
     "op10_warc": op10_warc,
 }
 SQL: dict[str, str] = {"op1_quality_rules": quality.SQL, "op4_chat_format": chat.SQL, "op8_decontaminate": decontaminate.SQL, "op10_warc": warc.SQL}
