@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rankflow.llm import chat, decontaminate, quality, toxicity, url_filter, warc
+from rankflow.llm import chat, decontaminate, html, quality, toxicity, url_filter, warc
 from rankflow.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op4_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return chat.digest(chat.read_back(chat.render(chat.fold(chat.log_of(rows)))))
 
 
+def op5_html_extract(spark: SparkSession, folder: str) -> DataFrame:
+    return html.extract(table(spark, folder, "pages"))
+
+
 def op8_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.find_contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return decontaminate.digest(found)
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_url_filter": op2_url_filter,
     "op4_chat_format": op4_chat_format,
+    "op5_html_extract": op5_html_extract,
     "op8_decontaminate": op8_decontaminate,
     "op9_toxicity": op9_toxicity,
     "op10_warc": op10_warc,
