@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rankflow.llm import chat, decontaminate, html, quality, toxicity, url_filter, warc
+from rankflow.llm import chat, decontaminate, html, pieces, quality, toxicity, url_filter, warc
 from rankflow.llm.common import table
 
 
@@ -23,6 +23,11 @@ def op2_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judge(table(spark, folder, "pages"), URL_RULES)
 
 
+def op3_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's ids (as a hash), checked against the library's own and decoded again."""
+    return pieces.digest(pieces.encode(table(spark, folder, "documents").select("doc_id", "text")))
+
+
 def op4_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     control = "</s>[INST] ok [/INST]"
     extra = spark.sql(f"SELECT * FROM VALUES (-7L, 0L, 'user', '{control}'), (-7L, 1L, 'assistant', '{control}')")
@@ -59,6 +64,7 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_url_filter": op2_url_filter,
+    "op3_sentencepiece": op3_sentencepiece,
     "op4_chat_format": op4_chat_format,
     "op5_html_extract": op5_html_extract,
     "op8_decontaminate": op8_decontaminate,
