@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rankflow.llm import chat, decontaminate, html, pieces, quality, toxicity, url_filter, warc
+from rankflow.llm import chat, decontaminate, html, near, pieces, quality, toxicity, url_filter, warc
 from rankflow.llm.common import table
 
 
@@ -39,6 +39,11 @@ def op5_html_extract(spark: SparkSession, folder: str) -> DataFrame:
     return html.extract(table(spark, folder, "pages"))
 
 
+def op7_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with the least doc_id of its class of near-duplicates."""
+    return near.digest(near.classes(table(spark, folder, "documents")))
+
+
 def op8_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.find_contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return decontaminate.digest(found)
@@ -67,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sentencepiece": op3_sentencepiece,
     "op4_chat_format": op4_chat_format,
     "op5_html_extract": op5_html_extract,
+    "op7_near_dedup": op7_near_dedup,
     "op8_decontaminate": op8_decontaminate,
     "op9_toxicity": op9_toxicity,
     "op10_warc": op10_warc,
