@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rankflow.llm import chat, decontaminate, html, near, pieces, quality, toxicity, url_filter, warc
+from rankflow.llm import chat, decontaminate, html, near, pieces, quality, suffixes, toxicity, url_filter, warc
 from rankflow.llm.common import table
 
 
@@ -39,6 +39,10 @@ def op5_html_extract(spark: SparkSession, folder: str) -> DataFrame:
     return html.extract(table(spark, folder, "pages"))
 
 
+def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.digest(suffixes.find_repeats(table(spark, folder, "documents").select("doc_id", "text")))
+
+
 def op7_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with the least doc_id of its class of near-duplicates."""
     return near.digest(near.classes(table(spark, folder, "documents")))
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sentencepiece": op3_sentencepiece,
     "op4_chat_format": op4_chat_format,
     "op5_html_extract": op5_html_extract,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_near_dedup": op7_near_dedup,
     "op8_decontaminate": op8_decontaminate,
     "op9_toxicity": op9_toxicity,
