@@ -36,15 +36,17 @@ class Scorer:
         scored = self.raw(rows, "_raw")
         if self.calibrator is None:
             return scored.withColumnRenamed("_raw", to)
-        fitted = self.calibrator.transform(scored.withColumn("_one", F.col("_raw")))
+        fitted = self.calibrator.transform(scored)
         value = F.least(F.greatest(F.col("prediction"), F.lit(0.0)), F.lit(1.0))
-        return fitted.withColumn(to, value).drop("_raw", "_one", "prediction")
+        return fitted.withColumn(to, value).drop("_raw", "prediction")
 
     def calibrate(self, rows: DataFrame, label: str) -> None:
         """Isotonic regression of the label on the raw score of rows the trees have not seen."""
         scored = self.raw(rows, "_raw").select(F.col("_raw"), F.col(label).cast("double").alias("_label"))
         if self.trees is not None and scored.agg(F.count_distinct("_label")).first()[0] > 1:
-            self.calibrator = IsotonicRegression(featuresCol="_raw", labelCol="_label").fit(scored)
+            # trees give few different scores: rows of one score count as one with a weight
+            merged = scored.groupBy("_raw").agg(F.avg("_label").alias("_label"), F.count("*").cast("double").alias("_weight"))
+            self.calibrator = IsotonicRegression(featuresCol="_raw", labelCol="_label", weightCol="_weight").fit(merged)
 
 
 def fit(rows: DataFrame, names: list[str], label: str, trees: int = 30, depth: int = 4) -> Scorer:
