@@ -1,35 +1,47 @@
-"""Let every row of one side meet every row of a catalog, a packed block at a time.
+"""Let every row of one side meet every row of a catalog, cell by cell.
 
-The catalog is hashed on its key into blocks of similar size. Each left row is sent once per
-block (not once per catalog row) through an equi-join that adaptive execution broadcasts only
-if the packed catalog is small enough, and shuffles otherwise.
+The catalog is hashed on its key into blocks and the left side on its key into shards; each left
+row is sent once per block, each catalog row once per shard, through an equi-join on both numbers.
+So shards x blocks cells share the work, whatever the size of either side; adaptive execution
+broadcasts the catalog only if it is small enough. The number of cells follows the session's
+parallelism, never an estimate of bytes.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankflow.session import estimated_bytes, width
+from rankflow.session import width
+
 
-BLOCK_BYTES = 1024 * 1024
-MAX_BLOCKS = 1024
+def side(df: DataFrame) -> int:
+    """Blocks, and as many shards: their product is at least twice the session's partitions."""
+    return math.ceil(math.sqrt(2 * width(df)))
 
 
-def block_count(catalog: DataFrame) -> int:
-    return max(1, min(MAX_BLOCKS, -(-estimated_bytes(catalog) // BLOCK_BYTES)))
+def block_of(key: str, blocks: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
 
 
 def pack(catalog: DataFrame, key: str, blocks: int) -> DataFrame:
-    """`_block`, `_rows`: at most one row per block; the hash spreads unique keys evenly."""
-    return catalog.groupBy(F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("_block")).agg(
-        F.collect_list(F.struct(*catalog.columns)).alias("_rows")
-    )
+    """`_block`, `_rows`: at most `PACKED` rows or so in one row; the hash spreads unique keys evenly."""
+    rows = F.struct(*catalog.columns)
+    return catalog.groupBy(block_of(key, blocks).alias("_block")).agg(F.collect_list(rows).alias("_rows"))
+
+
+#: Catalog rows in one packed array, on average.
+PACKED = 4096
 
 
 def meet(left: DataFrame, catalog: DataFrame, key: str, blocks: int | None = None) -> DataFrame:
-    """Left rows once per block, with the block's rows in the array column `_rows`."""
-    blocks = blocks or block_count(catalog)
+    """Left rows once per block, with the block's rows in the array column `_rows`.
+
+    The number of blocks follows the catalog's row count, so an array stays small.
+    """
+    blocks = blocks or max(side(catalog), -(-catalog.count() // PACKED))
     numbers = F.sequence(F.lit(0), F.lit(blocks - 1))
     return left.withColumn("_block", F.explode(numbers)).join(pack(catalog, key, blocks), "_block").drop("_block")
 
@@ -44,13 +56,35 @@ def place(users: DataFrame, key: str = "user_id") -> DataFrame:
     return users.repartition(2 * width(users) + 1, key)
 
 
-def meet_rows(left: DataFrame, catalog: DataFrame, key: str, blocks: int | None = None) -> DataFrame:
+def meet_rows(
+    left: DataFrame, catalog: DataFrame, key: str, cells: DataFrame | None = None, left_key: str = "user_id"
+) -> DataFrame:
     """Every left row with every catalog row, for operators that look at each pair once.
 
     The pairs are consumed where they arise (an aggregate per left row, a filter, the result
-    itself); they are not sorted, buffered or shuffled.
+    itself); they are not sorted, buffered or shuffled. `cells` (`left_key`, `_block` and more) has
+    what else belongs to a left row in each block; see `rated_cells`.
     """
-    blocks = blocks or block_count(catalog)
-    sent = left.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    placed = catalog.withColumn("_block", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
-    return sent.join(placed, "_block").drop("_block")
+    n = side(left)
+    if cells is None:
+        sent = left.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    else:
+        more = [c for c in cells.columns if c != left_key]
+        sent = left.drop(*more).join(place(cells, left_key), left_key)
+    sent = sent.withColumn("_shard", F.pmod(F.xxhash64(F.lit("shard"), left_key), F.lit(n)).cast("int"))
+    shards = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    placed = catalog.withColumn("_block", block_of(key, n)).withColumn("_shard", shards)
+    return sent.join(placed, ["_shard", "_block"]).drop("_shard", "_block")
+
+
+def rated_cells(users: DataFrame, ratings: DataFrame) -> DataFrame:
+    """`user_id`, `_block`, `_rated`: what a user rated among the items of a block, a row for every block.
+
+    A set holds at most a block of the catalog, however much one user rated.
+    """
+    n = side(users)
+    numbers = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    sets = ratings.select("user_id", "item", block_of("item", n).alias("_block")).groupBy("user_id", "_block").agg(
+        F.collect_set("item").alias("_rated")
+    )
+    return users.select("user_id", numbers.alias("_block")).join(sets, ["user_id", "_block"], "left")

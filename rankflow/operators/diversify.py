@@ -89,7 +89,7 @@ def mmr(
 
 def mmr_over_catalog(
     users: DataFrame, catalog: DataFrame, features: list[str], score: str, wanted: str,
-    settings: Settings = DEFAULTS, n: int | None = None,
+    settings: Settings = DEFAULTS, n: int | None = None, cells: DataFrame | None = None,
 ) -> DataFrame:
     """The same ranking (cosine) without a candidate table: candidates are the pairs where `wanted` holds.
 
@@ -98,7 +98,7 @@ def mmr_over_catalog(
     """
     n, lam = n or settings.top_n, settings.diversity_lambda
     ids, kind = range(len(features)), dict(catalog.dtypes)["item"]
-    moments = meet_rows(users, catalog, "item").where(wanted).groupBy("user_id").agg(
+    moments = meet_rows(users, catalog, "item", cells).where(wanted).groupBy("user_id").agg(
         F.count(F.lit(1)).alias("_count"),
         *[F.expr(f"avg(_i.x{i}) AS _a{i}") for i in ids],
         *[F.expr(f"stddev_pop(_i.x{i}) AS _d{i}") for i in ids],
@@ -117,11 +117,11 @@ def mmr_over_catalog(
         highest = f"greatest({', '.join(earlier)})" if len(earlier) > 1 else earlier[0] if earlier else "0D"
         penalty = f"coalesce(try_divide({highest}, {X.norm(v)}), 0D)" if earlier else "0D"
         worth = f"IF(_count > {n}, {lam!r}D * {score} - {1 - lam!r}D * {penalty}, {score})"
-        best = meet_rows(state.where(f"_count >= {number}"), catalog, "item").where(still).groupBy("user_id").agg(
+        best = meet_rows(state.where(f"_count >= {number}"), catalog, "item", cells).where(still).groupBy("user_id").agg(
             F.expr(f"max({worth}) AS _best")
         )
         found = (
-            meet_rows(state.join(best, "user_id"), catalog, "item")
+            meet_rows(state.join(best, "user_id"), catalog, "item", cells)
             .where(still)
             .where(f"{worth} = _best")
             .selectExpr("user_id", "item", f"{score} AS _score", f"{X.norm(v)} AS _len", f"array({', '.join(v)}) AS _v")

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from rankflow.config import Settings
 from rankflow.functions import expr as X
-from rankflow.functions.blocks import meet, meet_rows, place
+from rankflow.functions.blocks import meet, meet_rows, place, rated_cells
 from rankflow.operators.profile import mapped_features, mapping_table
 from rankflow.operators.scale import z_scores
 
@@ -112,27 +112,26 @@ def top_items(scores: DataFrame, n: int) -> DataFrame:
 
 
 def top_pairs(
-    users: DataFrame, items: DataFrame, score: str, n: int, wanted: str = "true", groups: int = 64
+    users: DataFrame, items: DataFrame, score: str, n: int, wanted: str = "true", groups: int = 64,
+    cells: DataFrame | None = None,
 ) -> DataFrame:
     """Exact top n of `score` over all wanted pairs, sorting only pairs that can be among them.
 
     Items fall into `groups` hash groups. The n-th largest of a user's group maxima is reached by n
     different items, so nothing below it can be in the top n. `users` is placed by user.
     """
-    state = users.columns
     catalog = items.withColumn("_group", F.pmod(F.xxhash64("item"), F.lit(max(groups, 4 * n))))
     best = (
-        meet_rows(users, catalog, "item")
+        meet_rows(users, catalog, "item", cells)
         .where(wanted)
-        .groupBy(*state, "_group")
+        .groupBy("user_id", "_group")
         .agg(F.expr(f"max({score})").alias("_best"))
-        .groupBy(*state)
+        .groupBy("user_id")
         .agg(F.sort_array(F.collect_list("_best"), asc=False).alias("_bests"))
-        .withColumn("_floor", F.get("_bests", F.lit(n - 1)))
-        .drop("_bests")
+        .select("user_id", F.get("_bests", F.lit(n - 1)).alias("_floor"))
     )
     near = (
-        meet_rows(best, items, "item")
+        meet_rows(users.join(best, "user_id"), items, "item", cells)
         .where(wanted)
         .selectExpr("user_id", "item", f"{score} AS score", "_floor")
         .where("_floor IS NULL OR score >= _floor")
@@ -140,11 +139,6 @@ def top_pairs(
     return top_items(near.drop("_floor"), n)
 
 
-def rated_sets(ratings: DataFrame) -> DataFrame:
-    """Per user the set of rated items: at most the catalog, combined map-side."""
-    return ratings.groupBy("user_id").agg(F.collect_set("item").alias("_rated"))
-
-
 UNRATED = "NOT coalesce(array_contains(_rated, item), false)"
 
 
@@ -157,9 +151,9 @@ def content_ranking(
     profiles: DataFrame, ratings: DataFrame, items: DataFrame, features: list[str], n: int
 ) -> DataFrame:
     """Best n unrated items per user by content score."""
-    users = content_users(profiles, features).join(rated_sets(ratings), "user_id", "left")
+    users = content_users(profiles, features)
     catalog = pack_items(items.select("item", *features), features).select("item", "_i")
-    return top_pairs(place(users), catalog, content_sql(features), n, UNRATED)
+    return top_pairs(place(users), catalog, content_sql(features), n, UNRATED, cells=rated_cells(users, ratings))
 
 
 def baseline_ranking(importance: DataFrame, items: DataFrame, mapping: dict[str, list[str]], n: int) -> DataFrame:
@@ -212,7 +206,8 @@ def similarity_scores(
     )
     if metric in X.DISTANCES:
         distance = X.DISTANCES[metric](X.named("z_", features), X.named("proto_", features))
-        users = meet_rows(users, catalog, "item").groupBy(*users.columns).agg(F.expr(f"max({distance})").alias("_farthest"))
+        farthest = meet_rows(users, catalog, "item").groupBy("user_id").agg(F.expr(f"max({distance})").alias("_farthest"))
+        users = users.join(farthest, "user_id")
     if targets is not None:
         catalog = catalog.join(targets.select("item"), "item", "left_semi")
     pairs = meet_rows(users, catalog, "item")
@@ -272,13 +267,6 @@ def catalog_of(items: DataFrame, features: list[str]) -> DataFrame:
     return pack_items(with_z.select("item", *features, *z), features)
 
 
-def anchored(catalog: DataFrame) -> DataFrame:
-    """Marks one item: its pair keeps a user in an aggregate that skips the user's other pairs."""
-    return X.attach(catalog, catalog.agg(F.min("item").alias("item")), "_f").selectExpr(
-        *catalog.columns, "item = _f.item AS _anchor"
-    )
-
-
 def hybrid_users(
     profiles: DataFrame, catalog: DataFrame, features: list[str], settings: Settings = DEFAULTS, carry: list[str] | None = None
 ) -> DataFrame:
@@ -300,11 +288,11 @@ def hybrid_users(
         *(carry or []),
     )
     users = place(known.select("user_id", "confidence", "num_ratings", "_blend", pack_weights(features, True), *(carry or [])))
-    # Only blended users need the pass over the catalog; one item keeps the others.
-    pairs = meet_rows(users, anchored(catalog).select("item", "_i", "_anchor"), "item").where("_blend OR _anchor")
-    spread = pairs.groupBy(*users.columns).agg(
+    # Only blended users need the pass over the catalog.
+    spread = meet_rows(users.where("_blend"), catalog.select("item", "_i"), "item").groupBy("user_id").agg(
         F.expr(f"var_pop({content_sql(features)}) AS _vc"), F.expr(f"var_pop({cosine_sql(features)}) AS _vs")
     )
+    spread = users.join(spread, "user_id", "left")
     wc, ws = adaptive_weights(F.col("confidence"), F.col("num_ratings"), F.col("_vc"), F.col("_vs"), settings)
     shared = spread.withColumns(
         {
@@ -359,9 +347,10 @@ def score_confidence(
     """0.1-1 per user: base by strategy x spread of the scores x rating count x user confidence."""
     catalog = catalog_of(items, features)
     users = hybrid_users(profiles, catalog, features, settings)
-    spread = meet_rows(users, catalog.select("item", "_i"), "item").groupBy(*users.columns).agg(
+    spread = meet_rows(users, catalog.select("item", "_i"), "item").groupBy("user_id").agg(
         F.expr(f"var_pop({score_sql(features)}) AS _v")
     )
+    spread = users.join(spread, "user_id")
     raw = (
         F.when(F.col("_blend"), 0.8).otherwise(0.6)
         * F.least(F.lit(1.0), F.col("_v") * 4)

@@ -62,7 +62,7 @@ def hybrid(spark, d):
 
 
 def state(spark, d):
-    """(users, catalog) with thresholds, requirement order and rated sets."""
+    """(users, catalog, cells) with thresholds, requirement order and rated items."""
     z_items = with_z(spark, d)
     return ranking_state(None, ratings(spark, d), z_items, MAPPING, S, fixed_profiles(spark, d, z_items))
 
@@ -70,8 +70,8 @@ def state(spark, d):
 def candidates(spark, d):
     """A stored table of unrated scored pairs, as a re-ranker is given it."""
     z_items = with_z(spark, d)
-    users, catalog = ranking_state(None, ratings(spark, d), z_items, MAPPING, S, fixed_profiles(spark, d, z_items))
-    pairs = meet_rows(users, catalog, "item").where(scoring.UNRATED)
+    users, catalog, cells = ranking_state(None, ratings(spark, d), z_items, MAPPING, S, fixed_profiles(spark, d, z_items))
+    pairs = meet_rows(users, catalog, "item", cells).where(scoring.UNRATED)
     return pairs.selectExpr("user_id", "item", f"{scoring.score_sql(FEATURES)} AS score", *FEATURES)
 
 
@@ -420,7 +420,7 @@ def category_thresholds(spark, d):
     f"{HYBRID}, {open_pairs()}, {relax_sql(0)} SELECT user_id, item FROM relaxed WHERE passes",
 )
 def hard_filter(spark, d):
-    users, catalog = state(spark, d)
+    users, catalog, cells = state(spark, d)
     return constrain.passing_pairs(users, catalog, FEATURES).select("user_id", "item")
 
 
@@ -434,7 +434,8 @@ def hard_filter(spark, d):
     ),
 )
 def constraint_impact(spark, d):
-    return constrain.constraint_impact(*state(spark, d), FEATURES)
+    users, catalog, cells = state(spark, d)
+    return constrain.constraint_impact(users, catalog, FEATURES, cells)
 
 
 @query(
@@ -443,8 +444,8 @@ def constraint_impact(spark, d):
     FROM relaxed WHERE passes""",
 )
 def constraint_relaxation(spark, d):
-    users, catalog = state(spark, d)
-    out = constrain.passing_pairs(constrain.relax(users, catalog, FEATURES), catalog, FEATURES)
+    users, catalog, cells = state(spark, d)
+    out = constrain.passing_pairs(constrain.relax(users, catalog, FEATURES, S, cells), catalog, FEATURES)
     text = F.concat_ws("", F.transform("relaxed", lambda f: F.concat(F.lit(","), f)))
     return out.select("user_id", "item", "relaxation_level", text.alias("relaxed"))
 
@@ -455,15 +456,15 @@ def constraint_relaxation(spark, d):
     max(level) AS relaxation_level FROM relaxed GROUP BY user_id""",
 )
 def constraint_summary(spark, d):
-    users, catalog = state(spark, d)
-    summary = constrain.constraint_summary(constrain.relax(users, catalog, FEATURES), catalog, FEATURES)
+    users, catalog, cells = state(spark, d)
+    summary = constrain.constraint_summary(constrain.relax(users, catalog, FEATURES, S, cells), catalog, FEATURES)
     return summary.select("user_id", "num_results", "relaxation_level")
 
 
 @query("explain_constraints")
 def explain_constraints(spark, d):
-    users, catalog = state(spark, d)
-    summary = constrain.constraint_summary(constrain.relax(users, catalog, FEATURES), catalog, FEATURES)
+    users, catalog, cells = state(spark, d)
+    summary = constrain.constraint_summary(constrain.relax(users, catalog, FEATURES, S, cells), catalog, FEATURES)
     return constrain.explain_constraints(summary, importance(spark, d))
 
 
