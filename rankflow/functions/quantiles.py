@@ -1,10 +1,10 @@
 """Exact, linearly interpolated percentiles.
 
-Small inputs use the built-in `percentile`, which keeps one count per distinct value in the
-final task. Beyond `IN_MEMORY_BYTES` the same answer is found in two scans: a bounded sketch
-brackets every wanted rank, rows are counted per bracket, and only the rows inside the
-brackets are sorted. A poor sketch costs time, never correctness, because the ranks are
-counted exactly.
+A bounded sketch brackets every wanted rank, rows are counted per bracket, and only the rows inside
+the brackets that hold a wanted rank are looked at again: by how many of them each of `BINS` equal
+steps of a bracket holds, and then sorted in the steps that hold a wanted rank. A poor sketch
+costs time, never correctness, because the ranks are counted exactly. (The built-in `percentile`
+keeps one count per distinct value in its final task.)
 """
 
 from __future__ import annotations
@@ -13,9 +13,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankflow.functions.expr import attach, total
-from rankflow.session import estimated_bytes
 
-IN_MEMORY_BYTES = 64 * 1024 * 1024
+BINS = 1024
 
 
 def quantiles(
@@ -23,7 +22,6 @@ def quantiles(
     columns: list[str],
     probs: list[float],
     keys: list[str] | None = None,
-    in_memory_bytes: int = IN_MEMORY_BYTES,
     accuracy: int = 10000,
 ) -> DataFrame:
     """One row per key (one row in all without keys); each column becomes an array, one entry per prob.
@@ -31,16 +29,10 @@ def quantiles(
     NaN must have become NULL before; key columns must not be NULL.
     """
     keys = keys or []
-    if estimated_bytes(df.select(*keys, *columns)) <= in_memory_bytes:
-        wanted = F.array(*[F.lit(float(p)) for p in probs])
-        return df.groupBy(*keys).agg(*[F.percentile(F.col(c).cast("double"), wanted).alias(c) for c in columns])
-    return _bracketed(df, columns, probs, keys, accuracy)
-
-
-def _bracketed(df: DataFrame, columns: list[str], probs: list[float], keys: list[str], accuracy: int) -> DataFrame:
     margin = 2.0 / accuracy
     grid = [min(1.0, max(0.0, p + d)) for p in probs for d in (-margin, margin)]
-    wide = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns])
+    names, columns = columns, [f"_x{i}" for i in range(len(columns))]  # names may have blanks
+    wide = df.select(*keys, *[F.col(c).cast("double").alias(x) for c, x in zip(names, columns)])
     rough = wide.groupBy(*keys).agg(
         *[
             F.struct(F.count(c).alias("n"), F.percentile_approx(c, grid, accuracy).alias("b")).alias(f"_b_{c}")
@@ -68,20 +60,33 @@ def _bracketed(df: DataFrame, columns: list[str], probs: list[float], keys: list
 
     at = [F.lit(float(p)) * (F.col("_n_") - 1) for p in probs]
     ranks = F.array(*[f(h).cast("long") for h in at for f in (F.floor, F.ceil)])
-    counted = rows.groupBy(*keys, "_column_", "_n_", "_k_").agg(F.count(F.lit(1)).alias("_m_"))
-    up_to = Window.partitionBy(*keys, "_column_").orderBy("_k_").rowsBetween(Window.unboundedPreceding, 0)
-    wanted = (
-        counted.withColumn("_start_", F.sum("_m_").over(up_to) - F.col("_m_"))
-        .where(F.exists(ranks, lambda r: (r >= F.col("_start_")) & (r < F.col("_start_") + F.col("_m_"))))
-        .select(*keys, "_column_", "_k_", "_start_")
-    )
+
+    def holding(counted: DataFrame, by: list[str], place: str) -> DataFrame:
+        """Of the counted steps, those that hold a wanted rank, with the rank of their first row."""
+        up_to = Window.partitionBy(*by).orderBy(place).rowsBetween(Window.unboundedPreceding, 0)
+        first = counted.withColumn("_first_", F.col("_start_") + F.sum("_m_").over(up_to) - F.col("_m_"))
+        held = F.exists(ranks, lambda r: (r >= F.col("_first_")) & (r < F.col("_first_") + F.col("_m_")))
+        found = first.where(held).drop("_start_", "_m_").withColumnRenamed("_first_", "_start_")
+        # at most two steps a probability and column: few rows, unless there are keys
+        return found if keys else F.broadcast(found)
+
+    brackets = [*keys, "_column_", "_k_"]
+    counted = rows.groupBy(*brackets, "_n_").agg(
+        F.count(F.lit(1)).alias("_m_"), F.min("_v_").alias("_low_"), F.max("_v_").alias("_high_")
+    ).withColumn("_start_", F.lit(0).cast("long"))
+    wanted = holding(counted, [*keys, "_column_"], "_k_").drop("_n_")
+    span = F.nullif(F.col("_high_") - F.col("_low_"), F.lit(0.0))
+    step = F.coalesce(F.floor((F.col("_v_") - F.col("_low_")) / span * BINS), F.lit(0)).cast("int").alias("_bin_")
+    inner = rows.join(wanted, brackets).select(*brackets, "_n_", "_v_", "_start_", step)
+    finer = inner.groupBy(*brackets, "_n_", "_start_", "_bin_").agg(F.count(F.lit(1)).alias("_m_"))
+    bins = holding(finer, brackets, "_bin_").drop("_n_").withColumnRenamed("_start_", "_from_")
     values = (
-        rows.join(wanted, [*keys, "_column_", "_k_"])
-        .groupBy(*keys, "_column_", "_k_", "_start_", "_n_", "_v_")
+        inner.drop("_start_").join(bins, [*brackets, "_bin_"])
+        .groupBy(*brackets, "_bin_", "_from_", "_n_", "_v_")
         .agg(F.count(F.lit(1)).alias("_c_"))
     )
-    inside = Window.partitionBy(*keys, "_column_", "_k_").orderBy("_v_").rowsBetween(Window.unboundedPreceding, 0)
-    placed = values.withColumn("_first_", F.col("_start_") + F.sum("_c_").over(inside) - F.col("_c_"))
+    inside = Window.partitionBy(*brackets, "_bin_").orderBy("_v_").rowsBetween(Window.unboundedPreceding, 0)
+    placed = values.withColumn("_first_", F.col("_from_") + F.sum("_c_").over(inside) - F.col("_c_"))
 
     def value_at(rank):
         hit = (F.col("_first_") <= rank) & (rank < F.col("_first_") + F.col("_c_"))
@@ -98,4 +103,6 @@ def _bracketed(df: DataFrame, columns: list[str], probs: list[float], keys: list
         for i, h in enumerate(at)
     ]
     exact = found.select(*keys, "_column_", F.array(*answers).alias("q"))
-    return exact.groupBy(*keys).agg(*[F.max(F.when(F.col("_column_") == c, F.col("q"))).alias(c) for c in columns])
+    return exact.groupBy(*keys).agg(
+        *[F.max(F.when(F.col("_column_") == x, F.col("q"))).alias(c) for c, x in zip(names, columns)]
+    )

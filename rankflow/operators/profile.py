@@ -29,6 +29,14 @@ def mapped_features(mapping: dict[str, list[str]]) -> list[str]:
     return list(dict.fromkeys(f for fs in mapping.values() for f in fs))
 
 
+def available_features(mapping: dict[str, list[str]], items: DataFrame) -> list[str]:
+    """The mapped features that the table has; weights on others count for nothing."""
+    found = [f for f in mapped_features(mapping) if f in items.columns]
+    if not found:
+        raise ValueError(f"the items have none of the features {mapped_features(mapping)}")
+    return found
+
+
 def stated_weights(importance: DataFrame, mapping: dict[str, list[str]], settings: Settings = DEFAULTS) -> DataFrame:
     """Per user: `stated_<f>` summing to 1 (NULL: not mentioned), plus hard-constraint marks.
 
@@ -36,9 +44,10 @@ def stated_weights(importance: DataFrame, mapping: dict[str, list[str]], setting
     its position among the user's requirements.
     """
     features = mapped_features(mapping)
+    widest = max(map(len, mapping.values()), default=0) + 1
     rows = importance.join(F.broadcast(mapping_table(importance.sparkSession, mapping)), "category")
     rows = rows.select(
-        "user_id", "feature", "category", "ord", (F.col("ord") * 1000 + F.col("place")).alias("_place"),
+        "user_id", "feature", "category", "ord", (F.col("ord") * widest + F.col("place")).alias("_place"),
         (X.importance_weight(F.col("importance")) / F.col("n_features")).alias("_share"),
         (F.col("importance") >= settings.hard_importance).alias("_hard"),
     )

@@ -15,12 +15,27 @@ def is_inverted(column: str, lower_is_better=LOWER_IS_BETTER) -> bool:
 
 
 def _unit(x: Column, low: Column, high: Column, inverted: bool) -> Column:
-    """Winsorized min-max; a constant column becomes 0.5 on every row, missing rows included."""
-    moved = clip((clip(x, low, high) - low) / F.nullif(high - low, F.lit(0.0)), 0, 1)
-    scaled = F.when(low == high, F.lit(0.5)).otherwise(moved)
+    """Winsorized min-max; a constant column becomes 0.5 on every row, missing rows included.
+
+    Clipping the moved value to [0, 1] is the same as clipping the value to its bounds first.
+    """
+    moved = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (x - low) / (high - low)))
+    scaled = F.when(low == high, F.lit(0.5)).when(x.isNotNull(), moved)
     return F.lit(1.0) - scaled if inverted else scaled
 
 
+def with_bounds(df: DataFrame, bounds: DataFrame, columns: list[str]) -> tuple[DataFrame, dict[str, tuple[Column, Column]]]:
+    """Adds each column's two bounds as plain numbers `_low<i>`, `_high<i>`, read once from the one-row `bounds`."""
+    flat = attach(df, bounds).withColumns(
+        {f"_low{i}": F.col(f"_s.{c}")[0] for i, c in enumerate(columns)} | {f"_high{i}": F.col(f"_s.{c}")[1] for i, c in enumerate(columns)}
+    )
+    return flat.drop("_s"), {c: (F.col(f"_low{i}"), F.col(f"_high{i}")) for i, c in enumerate(columns)}
+
+
+def without_bounds(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.drop(*[f"_{end}{i}" for i in range(len(columns)) for end in ("low", "high")])
+
+
 def winsor_scale(
     df: DataFrame,
     columns: list[str],
@@ -31,13 +46,9 @@ def winsor_scale(
 ) -> DataFrame:
     """Clip to two percentiles, move to [0, 1], flip the lower-is-better columns."""
     bounds = quantiles(df, columns, [lower / 100, upper / 100], **quantile_options)
-    scaled = {
-        c: _unit(
-            F.col(c).cast("double"), F.col(f"_s.{c}")[0], F.col(f"_s.{c}")[1], is_inverted(c, lower_is_better)
-        )
-        for c in columns
-    }
-    return attach(df, bounds).withColumns(scaled).drop("_s")
+    flat, ends = with_bounds(df, bounds, columns)
+    scaled = {c: _unit(F.col(c).cast("double"), *ends[c], is_inverted(c, lower_is_better)) for c in columns}
+    return without_bounds(flat.withColumns(scaled), columns)
 
 
 def winsor_report(
@@ -45,10 +56,10 @@ def winsor_report(
 ) -> DataFrame:
     """One row per column: original statistics, bounds, clipped counts, statistics after scaling."""
     bounds = quantiles(df, columns, [lower / 100, upper / 100])
-    marked = attach(df.select(*columns), bounds)
+    marked, ends = with_bounds(df.select(*columns), bounds, columns)
     parts = []
     for c in columns:
-        x, low, high = F.col(c).cast("double"), F.col(f"_s.{c}")[0], F.col(f"_s.{c}")[1]
+        x, (low, high) = F.col(c).cast("double"), ends[c]
         inverted = is_inverted(c, lower_is_better)
         y = _unit(x, low, high, inverted)
         parts.append(

@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from rankflow.config import LOWER_IS_BETTER, WAREHOUSE_NAMES, Settings
 from rankflow.functions import expr as X
 from rankflow.functions.quantiles import quantiles
-from rankflow.operators.impute import fill_every_gap, medians
+from rankflow.operators.impute import fill_every_gap, medians, require_complete
 from rankflow.operators.match import match_report, resolve_names, resolve_rows
 from rankflow.operators.merge import first_per_entity, merge_steps, number_entities, outer_merge
-from rankflow.operators.scale import _unit, is_inverted
+from rankflow.operators.scale import _unit, is_inverted, with_bounds, without_bounds
 from rankflow.operators.schema_rules import numeric_columns, standard_names, to_warehouse_names
 from rankflow.session import store
 from rankflow.sources.csv_folder import CsvFile, FolderReport, entity_dictionary, open_folder, validate_folder
@@ -44,14 +44,14 @@ def clean_columns(
         }
     ).drop("_median")
     bounds = quantiles(filled, columns, [settings.winsor_lower / 100, settings.winsor_upper / 100])
+    flat, ends = with_bounds(filled, bounds, columns)
     scaled = {
         c: F.when(
-            F.col(f"_rate.{c}") < settings.high_missing,
-            _unit(F.col(c), F.col(f"_s.{c}")[0], F.col(f"_s.{c}")[1], is_inverted(c, lower_is_better)),
+            F.col(f"_rate.{c}") < settings.high_missing, _unit(F.col(c), *ends[c], is_inverted(c, lower_is_better))
         ).otherwise(F.col(c))
         for c in columns
     }
-    return X.attach(filled, bounds).withColumns(scaled).drop("_s", "_rate")
+    return without_bounds(flat.withColumns(scaled), columns).drop("_rate")
 
 
 def clean_table(
@@ -118,7 +118,7 @@ def ingest(
     cleaned, matches = clean_files(spark, files, settings, method)
     merged = store(outer_merge(cleaned, "country"), "merged")
     values = [c for c in merged.columns if c != "country"]
-    complete = to_warehouse_names(fill_every_gap(merged, values))
+    complete = to_warehouse_names(require_complete(store(fill_every_gap(merged, values), "filled"), values))
     table = number_entities(complete, "country_name")
     result = Ingest(table, report, cleaned, matches, merge_steps(cleaned, "country"))
     if out:

@@ -1,4 +1,4 @@
-"""Session defaults, shared scratch space and plan-size helpers."""
+"""Session defaults and shared scratch space."""
 
 from __future__ import annotations
 
@@ -57,11 +57,6 @@ def store(df: DataFrame, name: str = "stored") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of the plan; starts no job."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def width(df: DataFrame) -> int:
     """Partitions to use where the number must not shrink with the byte size."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
