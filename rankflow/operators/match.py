@@ -88,14 +88,14 @@ def close_names(leftovers: DataFrame, dictionary: DataFrame, threshold: float =
     edits = f"int(floor(_len * {(1 - t) / t!r}D + 1e-9D))"
     known = (
         dictionary.select("std_name").where("std_name <> ''").distinct()
-        .selectExpr("std_name", "lower(std_name) AS _d", "length(std_name) AS _len")
+        .selectExpr("std_name", "lower(std_name) AS _d", "length(lower(std_name)) AS _len")
         .selectExpr("*", f"explode(sequence(0, {edits})) AS _seg", f"{edits} + 1 AS _parts")
         .selectExpr("*", "int(floor(_seg * _len / _parts)) AS _from", "int(floor((_seg + 1) * _len / _parts)) AS _to")
         .selectExpr("std_name", "_d", "_len", "_seg", "substring(_d, _from + 1, _to - _from) AS _text")
     )
     asked = (
         leftovers.select("name").where("name <> ''").distinct()
-        .selectExpr("name", "lower(name) AS _q", "length(name) AS _n")
+        .selectExpr("name", "lower(name) AS _q", "length(lower(name)) AS _n")
         .selectExpr(
             "*", f"explode(sequence(int(ceil(_n * {t!r}D - 1e-9D)), int(floor(_n / {t!r}D + 1e-9D)))) AS _len"
         )

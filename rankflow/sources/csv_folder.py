@@ -43,9 +43,12 @@ def discover(spark: SparkSession, folder: str) -> DataFrame:
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """One file. A column is numeric if every cell that is not missing parses as a number.
 
-    `_pos` is the row's place in the file: the start of its block, then its order in the block.
+    `_pos` is the row's place in the file: the start of its block, then its order in the block. A file
+    with a line break inside quotes (a line with an odd number of quotes) is read as one block.
     """
-    raw = spark.read.csv(path, header=True, escape='"', multiLine=False, mode="PERMISSIVE")
+    lines = spark.read.text(path)
+    broken_lines = not lines.where("length(value) % 2 != length(replace(value, '\"', '')) % 2").isEmpty()
+    raw = spark.read.csv(path, header=True, escape='"', multiLine=broken_lines, mode="PERMISSIVE")
     columns = raw.columns
     if not columns:
         raise ValueError(f"no columns to parse from file: {path}")

@@ -2,32 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def newest_version(spark: SparkSession, path: str) -> int | None:
+    """Greatest version that was written to its end (its folder holds `_SUCCESS`), empty ones included."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    marks = files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(root, "version=*/_SUCCESS"))
+    found = [m.getPath().getParent().getName().split("=", 1)[1] for m in marks or []]
+    return max((int(v) for v in found if v.isdigit()), default=None)
+
+
 def read_table(spark: SparkSession, path: str) -> DataFrame | None:
-    """Newest version of a table, or None. Older versions are pruned as partitions."""
-    try:
-        every = spark.read.parquet(path)
-    except AnalysisException:
-        return None
-    newest = every.agg(F.max("version")).first()[0]
-    return every.where(F.col("version") == newest).drop("version")
+    """Newest version of a table, or None. No other version is listed or read."""
+    newest = newest_version(spark, path)
+    return None if newest is None else spark.read.parquet(f"{path}/version={newest}")
 
 
 def write_table(df: DataFrame, path: str, replace: bool = True) -> int:
-    """Store a new version. Readers of the old version, this job included, are not disturbed."""
-    spark, newest = df.sparkSession, None
-    try:
-        newest = spark.read.parquet(path).agg(F.max("version")).first()[0]
-    except AnalysisException:
-        pass
+    """Store a new version. Readers of the old version, this job included, are not disturbed.
+
+    What a failed attempt left behind under the same version is overwritten.
+    """
+    newest = newest_version(df.sparkSession, path)
     if newest is not None and not replace:
         raise ValueError(f"table exists: {path}")
     version = (newest or 0) + 1
-    df.write.parquet(f"{path}/version={version}")
+    df.write.mode("overwrite").parquet(f"{path}/version={version}")
     return version
 
 

@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from rankflow.plans.ingest import ingest, ingest_report
+from rankflow.plans.recommend import recommend
 from rankflow.operators import profile
+from rankflow.operators.match import close_names
 from rankflow.operators.scale import z_scores
 from rankflow.sources.csv_folder import discover, open_folder, read_csv, validate_folder
 from rankflow.sources.reports import save_report
@@ -82,3 +84,38 @@ def test_versions(spark, tmp_path):
     assert read_table(spark, path).count() == 2
     with pytest.raises(ValueError):
         write_table(spark.range(1), path, replace=False)
+
+
+def test_newest_version_may_be_empty_and_half_written_ones_are_skipped(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id long, name string")
+    assert read_table(spark, path) is None
+    assert write_table(rows, path) == 1 and read_table(spark, path).count() == 3
+    assert write_table(rows.where("false"), path) == 2 and read_table(spark, path).count() == 0
+    assert write_table(rows.limit(1), path) == 3 and read_table(spark, path).columns == ["id", "name"]
+    (tmp_path / "t" / "version=4").mkdir()
+    assert read_table(spark, path).count() == 1 and write_table(rows, path) == 4
+
+
+def test_quoted_line_break_stays_in_its_cell(spark, tmp_path):
+    for name, text in (("plain", 'country,x,note\n"A",1,"say ""hi"""\nB,2,z\n'), ("broken", 'country,x,note\n"A",1,"x\ny"\nB,2,z\n')):
+        file = tmp_path / f"{name}.csv"
+        file.write_text(text)
+        got = read_csv(spark, str(file)).orderBy("_pos").collect()
+        assert [(r.country, r.x) for r in got] == [("A", 1.0), ("B", 2.0)]
+        assert got[0].note == ('say "hi"' if name == "plain" else "x\ny")
+
+
+def test_close_names_measures_lower_cased_text(spark):
+    left = spark.createDataFrame([("İİİİİİİİİİabc",)], "name string")
+    known = spark.createDataFrame([("İİİİİİİİİİ",)], "std_name string")
+    assert [r.std_name for r in close_names(left, known, 80).collect()] == ["İİİİİİİİİİ"]
+
+
+def test_recommend_with_some_of_the_features(spark):
+    importance = spark.createDataFrame([(1, "Safety level", 95.0, 0), (1, "English speaking level", 40.0, 1)], "user_id long, category string, importance double, ord int")
+    items = spark.createDataFrame([(f"i{k}", k / 9, k / 18) for k in range(10)], "item string, crime_rate double, safety_rate double")
+    got = recommend(importance, None, items, n=3).collect()
+    assert [r.rank for r in got] == [1, 2, 3]
+    with pytest.raises(ValueError):
+        recommend(importance, None, items.select("item"))
