@@ -146,16 +146,21 @@ class Codec:
         self.whole = model.tokenizer()
         self.words = model.tokenizer(dummy_prefix=False) if model.by_word() else None
         self.lead = " " if model.dummy_prefix else ""
+        # bytes of each id; None where the library has to decide
+        self.bytes = [
+            bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() if kind in (NORMAL, USER, UNUSED) else None
+            for p, _, kind in model.pieces
+        ]
         self.own = sentencepiece.SentencePieceProcessor(model_proto=data)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if self.words is None or any(MARK in t for t in texts):
             return _joined([e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)])
-        known: dict[str, int] = {}
-        number = lambda w: known.setdefault(w, len(known))
-        places = [list(map(number, WORD.findall(self.lead + t if t else t))) for t in texts]
-        words, counts = _joined(places)
-        pieces, sizes = _joined([e.ids for e in self.words.encode_batch_fast(list(known), add_special_tokens=False)])
+        found = [WORD.findall(self.lead + t if t else t) for t in texts]
+        counts = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        known = pa.array(itertools.chain.from_iterable(found), pa.string()).dictionary_encode()
+        words = known.indices.to_numpy()
+        pieces, sizes = _joined([e.ids for e in self.words.encode_batch_fast(known.dictionary.to_pylist(), add_special_tokens=False)])
         long = sizes[words]  # pieces of each word of the texts
         begin = (np.cumsum(sizes) - sizes)[words]
         upto = np.cumsum(long)
@@ -163,6 +168,17 @@ class Codec:
         ends = np.r_[0, upto][np.cumsum(counts)]
         return ids, np.diff(ends, prepend=0)
 
+    def decode(self, lists: list[list[int]]) -> list[str]:
+        """The pieces' bytes in a row; the library decodes what these are no whole text of (special ids, cut characters)."""
+        out: list[str | None] = []
+        for ids in lists:
+            try:
+                text = b"".join(map(self.bytes.__getitem__, ids)).decode()
+                out.append(text[1:] if self.lead and text.startswith(" ") else text)
+            except (TypeError, UnicodeDecodeError):
+                out.append(self.whole.decode(ids, skip_special_tokens=False))
+        return out
+
 
 #: A word with the spaces before it, or spaces at the end.
 WORD = re.compile(" *[^ ]+| +")
@@ -225,7 +241,7 @@ def encode(documents: DataFrame, model: str = MODEL, verify: bool = True) -> Dat
             some = texts[part]
             ids, counts = codec.encode(some)
             lists = [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
-            back += [a == b for a, b in zip(codec.whole.decode_batch(lists, skip_special_tokens=False), some, strict=True)]
+            back += [a == b for a, b in zip(codec.decode(lists), some, strict=True)]
             if verify:
                 same += [a == b for a, b in zip(codec.own.encode(some, num_threads=threads), lists, strict=True)]
             sizes += counts.tolist()
@@ -247,7 +263,7 @@ def decode(encoded: DataFrame, model: str = MODEL, ids: str = "ids", to: str = "
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         lists = batch.column(ids).to_pylist()
-        texts = _codec(shared.value, threads).whole.decode_batch([x or [] for x in lists], skip_special_tokens=False)
+        texts = _codec(shared.value, threads).decode([x or [] for x in lists])
         said = pa.array([None if x is None else t for x, t in zip(lists, texts, strict=True)], pa.string())
         return pa.RecordBatch.from_arrays([*batch.columns, said], [*batch.schema.names, to])
 

@@ -65,6 +65,16 @@ def test_unigram_parity(trim, prefix):
     same(unigram(trim, prefix), random_texts("abc") + random_texts("aabbcc  éz") + ["", "a  b ", " x"])
 
 
+def test_decoding_parity():
+    for data in (p.read_model(), unigram(0, 1), unigram(0, 0)):
+        own, codec = sentencepiece.SentencePieceProcessor(model_proto=data), p.Codec(data)
+        rng = random.Random(3)
+        lists = [own.encode(t) for t in TEXTS + random_texts("abcé日 \n")]
+        lists += [rng.choices(range(3, own.vocab_size()), k=20) for _ in range(50)]
+        assert codec.decode(lists) == codec.whole.decode_batch(lists, skip_special_tokens=False)
+        assert codec.decode(lists[:300]) == own.decode(lists[:300])
+
+
 def test_frames(spark):
     rows = [(i, t, "s", i, None) for i, t in enumerate(TEXTS)] + [(None, None, None, None, None), (0, "", "again", 1, None)]
     table = spark.createDataFrame(rows, "doc_id long, text string, IDS string, n_tokens long, n_chars long")
