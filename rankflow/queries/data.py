@@ -246,11 +246,11 @@ x0 AS (SELECT *, coalesce(score >= cutoff, false) AS is_top, {required} > 0 AS r
             for f in FEATURES
         )
         out += f""",
-n{k} AS (SELECT *, count(*) FILTER ({PASSES}) OVER (PARTITION BY user_id) AS n,
+n{k} AS MATERIALIZED (SELECT *, count(*) FILTER ({PASSES}) OVER (PARTITION BY user_id) AS n,
   {each('count(*) FILTER (is_top AND coalesce({f} < t_{f}, false)) OVER (PARTITION BY user_id) AS i_{f}')} FROM x{k - 1}),
 c{k} AS (SELECT *, CASE WHEN required AND n < 3 THEN list_max(list_filter([{choices}], lambda e: e IS NOT NULL)).f END AS loose
   FROM n{k}),
-x{k} AS (SELECT user_id, item, score, {each('{f}')}, {each('place_{f}')}, is_top, cutoff, required,
+x{k} AS MATERIALIZED (SELECT user_id, item, score, {each('{f}')}, {each('place_{f}')}, is_top, cutoff, required,
   {', '.join(f"CASE WHEN coalesce(loose = '{f}', false) THEN t_{f} * {0.9 ** k!r}::DOUBLE ELSE t_{f} END AS t_{f}" for f in FEATURES)},
   CASE WHEN loose IS NOT NULL THEN {k} ELSE level END AS level,
   CASE WHEN loose IS NOT NULL THEN relaxed || ',' || loose ELSE relaxed END AS relaxed FROM c{k})"""
@@ -259,7 +259,7 @@ x{k} AS (SELECT user_id, item, score, {each('{f}')}, {each('place_{f}')}, is_top
 
 def mmr_sql(source: str, n: int = 5, lam: float = 0.7) -> str:
     """`picks`: user_id, rank, item, score, z_<f>; `source` has user_id, item, score and the features."""
-    out = f"""m0 AS (SELECT user_id, item, score,
+    out = f"""m0 AS MATERIALIZED (SELECT user_id, item, score,
   {each('coalesce(({f} - avg({f}) OVER (PARTITION BY user_id)) / nullif(stddev_pop({f}) OVER (PARTITION BY user_id), 0), 0) AS z_{f}')},
   count(*) OVER (PARTITION BY user_id) AS cnt,
   row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item) AS by_score,
@@ -267,10 +267,10 @@ def mmr_sql(source: str, n: int = 5, lam: float = 0.7) -> str:
     keep = ", ".join(f"m.{c}" for c in ["user_id", "item", "score", *Z, "cnt", "by_score"])
     for k in range(1, n + 1):
         out += f""",
-p{k} AS (SELECT * FROM (SELECT user_id, item, {', '.join(Z)}, row_number() OVER (PARTITION BY user_id
+p{k} AS MATERIALIZED (SELECT * FROM (SELECT user_id, item, {', '.join(Z)}, row_number() OVER (PARTITION BY user_id
   ORDER BY {lam} * score - {1 - lam!r}::DOUBLE * coalesce(near, 0) DESC, item) AS rn
   FROM m{k - 1} WHERE rnk IS NULL AND cnt > {n}) WHERE rn = 1),
-m{k} AS (SELECT {keep}, CASE WHEN p.item = m.item THEN {k} ELSE m.rnk END AS rnk,
+m{k} AS MATERIALIZED (SELECT {keep}, CASE WHEN p.item = m.item THEN {k} ELSE m.rnk END AS rnk,
   greatest(m.near, {cos([f'm.{z}' for z in Z], [f'p.{z}' for z in Z])}) AS near
   FROM m{k - 1} m LEFT JOIN p{k} p ON m.user_id = p.user_id)"""
     return out + f""",

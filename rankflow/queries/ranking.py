@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations_with_replacement
+
 from pyspark.sql import functions as F
 
 from rankflow.config import Settings
@@ -125,18 +127,28 @@ def rating_rejects(spark, d):
     return profile.rejected_ratings(stars)
 
 
+_SUMS = {
+    "sx": FEATURES,
+    "sxx": [f"{a} * {b}" for a, b in combinations_with_replacement(FEATURES, 2)],
+    "sxy": [f"{f} * y" for f in FEATURES],
+}
+
+
 @query(
     "rating_sums",
-    f"""{BASE}, x AS (SELECT user_id, item, rating * 0.2 AS y, {each('{f}')} FROM ratings JOIN items USING (item))
-    SELECT user_id, count(*) AS n, {rd('sum(y)', 'sy')}, {rd('sum(y * y)', 'syy')}, round(sum(balance_rate), 9) + 0.0 AS sx0,
-    {rd('sum(balance_rate * balance_rate)', 'sxx0')}, {rd('sum(balance_rate * open_rate)', 'sxx8')},
-    {rd('sum(open_rate * y)', 'sxy8')} FROM x GROUP BY user_id""",
+    f"""{BASE}, x AS (SELECT user_id, item, rating * 0.2 AS y, {each('{f}')}, {', '.join(Z)} FROM ratings JOIN itemz USING (item)),
+    g AS (SELECT user_id, count(*) AS n_given FROM ratings GROUP BY user_id)
+    SELECT user_id, n_given, count(*) AS n, count(*) FILTER (y >= 0.6) AS n_liked, {rd('sum(y)', 'sy')}, {rd('sum(y * y)', 'syy')},
+    {', '.join(f"round(sum({v}), 6) + 0.0 AS {name}{i}" for name, values in _SUMS.items() for i, v in enumerate(values))},
+    {', '.join(f"round(coalesce(sum({z}) FILTER (y >= 0.6), 0), 6) + 0.0 AS sliked{i}" for i, z in enumerate(Z))}
+    FROM x JOIN g USING (user_id) GROUP BY user_id, n_given""",
 )
 def rating_sums(spark, d):
-    sums = profile.rating_sums(ratings(spark, d), items(spark, d), FEATURES)
+    sums = profile.rating_sums(ratings(spark, d), with_z(spark, d), FEATURES)
+    sizes = {name: len(values) for name, values in _SUMS.items()} | {"sliked": len(FEATURES)}
     return sums.select(
-        "user_id", "n", r6("sy"), r6("syy"), (F.round(F.col("sx")[0], 9) + F.lit(0.0)).alias("sx0"), r6(F.col("sxx")[0], "sxx0"),
-        r6(F.col("sxx")[8], "sxx8"), r6(F.col("sxy")[8], "sxy8"),
+        "user_id", "n_given", "n", "n_liked", r6("sy"), r6("syy"),
+        *[r6(F.col(name)[i], f"{name}{i}") for name, n in sizes.items() for i in range(n)],
     )
 
 
@@ -478,15 +490,12 @@ def mmr(spark, d):
     return diversify.mmr(candidates(spark, d), FEATURES).select("user_id", "rank", "item", r6("score"))
 
 
-_UNIT = f"""{_MMR}, u AS (SELECT user_id, sqrt{plus(f'{z}*{z}' for z in Z)} AS len, {', '.join(Z)} FROM picks),
-sums AS (SELECT user_id, count(*) AS n, count(*) FILTER (len > 0) AS diag,
-{', '.join(f'sum(coalesce({z} / nullif(len, 0), 0)) AS {z}' for z in Z)} FROM u GROUP BY user_id)"""
-
-
 @query(
     "diversity_score",
-    f"""{_UNIT} SELECT user_id, round(CASE WHEN n < 2 THEN 1.0 ELSE greatest(0.0, least(1.0,
-    1 - ({plus(f'{z}*{z}' for z in Z)} - diag) / (n * (n - 1)))) END, 6) + 0.0 AS diversity_score FROM sums""",
+    f"""{_MMR}, near AS (SELECT a.user_id, avg({cos([f'a.{z}' for z in Z], [f'b.{z}' for z in Z])}) AS near
+    FROM picks a JOIN picks b ON a.user_id = b.user_id AND a.item < b.item GROUP BY a.user_id)
+    SELECT user_id, round(greatest(0.0, least(1.0, 1 - coalesce(near, 0))), 6) + 0.0 AS diversity_score
+    FROM (SELECT DISTINCT user_id FROM picks) LEFT JOIN near USING (user_id)""",
 )
 def diversity_score(spark, d):
     return diversify.diversity_score(diversify.mmr(candidates(spark, d), FEATURES), FEATURES).select(
