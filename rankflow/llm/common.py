@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from rankflow.session import store
+
 #: ASCII bytes that separate words; `bytes.split()` splits on exactly these.
 SPACES = rb" \t\n\r\x0b\x0c"
 
@@ -54,3 +57,21 @@ def salted(rows: DataFrame, small: DataFrame, keys: list[str], by: Column, salts
     left = rows.withColumn(salt, F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
     right = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [*keys, salt], how).drop(salt)
+
+
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files go as soon as the query that made them ends."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """A table written to the shared folder and read back; the shuffles on the way leave no files."""
+    with tidy(df.sparkSession):
+        return store(df, name)

@@ -32,40 +32,28 @@ Empty tables give empty results.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from rankflow.llm.common import fresh
-from rankflow.session import new_folder, store
+from rankflow.llm.common import fresh, stored, tidy
+from rankflow.session import new_folder
 
 MATCH = 50
 #: A perfect difference set: each residue but 0 is one difference of two of its members.
 PERIOD, COVER = 21, (0, 1, 4, 14, 16)
 SEED = MATCH - PERIOD + 1
-PART_BYTES, BUCKET_STRINGS, LEAST_PARTS = 12 << 20, 4 << 20, 64
-CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+PART_BYTES, BUCKET_STRINGS, LEAST_PARTS = 6 << 20, 2 << 20, 64
 
 _M1, _M2, _G = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
-@contextmanager
-def tidy(spark: SparkSession):
-    """Shuffle files go as soon as the query that made them ends."""
-    before = spark.conf.get(CLEAN)
-    spark.conf.set(CLEAN, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(CLEAN, before)
-
-
 def encode(sorted_keys: np.ndarray) -> bytes:
     """Ascending unsigned integers as compressed differences, byte planes apart."""
     steps = np.diff(sorted_keys, prepend=sorted_keys.dtype.type(0))
@@ -95,8 +83,13 @@ class Strings:
         owners = part.owner(at)[self.order]
         self.owners = owners
         self.least = np.minimum.reduceat(owners, begin) if len(at) else owners
-        self.asked = np.logical_or.reduceat(asks[self.order], begin) if asks is not None and len(at) else np.ones(len(begin), bool)
-        self.shared = self.least != (np.maximum.reduceat(owners, begin) if len(at) else owners)
+        if asks is None or not len(at):
+            self.asked = np.ones(len(begin), bool)
+            self.inner = self.least != (np.maximum.reduceat(owners, begin) if len(at) else owners)
+        else:
+            asks = asks[self.order]
+            self.asked = np.logical_or.reduceat(asks, begin)
+            self.inner = np.logical_or.reduceat(asks & (owners > self.least[self.group]), begin)
 
     def questions(self, part: int, bits: int, short: bool) -> list[dict]:
         """A row for each bucket that has strings."""
@@ -108,14 +101,12 @@ class Strings:
                 keys = self.keys[a:b]
                 if short:
                     keys = ((keys << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
-                rows.append({"bucket": int(buckets[a]), "part": part, "n": b - a, "keys": encode(keys), "shared": np.packbits(self.shared[a:b]).tobytes(), "asked": np.packbits(self.asked[a:b]).tobytes()})
+                rows.append({"bucket": int(buckets[a]), "part": part, "n": b - a, "keys": encode(keys), "inner": np.packbits(self.inner[a:b]).tobytes(), "asked": np.packbits(self.asked[a:b]).tobytes()})
         return rows
 
-    def spread(self, per_string: np.ndarray) -> np.ndarray:
-        """A value for each string, at the positions."""
-        out = np.empty(len(self.at), dtype=per_string.dtype)
-        out[self.order] = per_string[self.group]
-        return out
+    def having(self, yes: np.ndarray) -> np.ndarray:
+        """The positions of the strings for which the answer is yes."""
+        return self.at[self.order[yes[self.group]]]
 
     def repeated(self, smaller: np.ndarray) -> np.ndarray:
         """At each position: does its string also start in a document of smaller doc_id?"""
@@ -184,33 +175,55 @@ class Part:
 
 
 class State:
-    """A part before pass `turn` (5: after all), given the answers to the passes before."""
+    """A part before pass `turn` (5: after all): what it asks then, and what it has to remember until the answers come.
+
+    `answers` are those to the pass before, with what was remembered.
+    """
 
     def __init__(self, part: Part, answers: pa.Table, turn: int):
-        self.part = part
-        self.asked = part.seeds()
-        passes = answers.column("pass").to_pylist()
-        rows = sorted(zip(passes, answers["bucket"].to_pylist(), answers["n"].to_pylist(), answers["bits"].to_pylist(), strict=True))
-        told = {k: [np.unpackbits(np.frombuffer(b, np.uint8), count=n) for p, _, n, b in rows if p == k] for k in range(1, 5)}
-        said = lambda k, n: np.concatenate(told[k]).astype(bool) if told[k] else np.zeros(n, bool)
-        self.covered = np.zeros(part.size, bool)
+        rows = sorted(zip(answers["bucket"].to_pylist(), answers["n"].to_pylist(), answers["bits"].to_pylist(), strict=True))
+        notes = pickle.loads(rows[0][2]) if rows and rows[0][0] < 0 else {}
+        told = [np.unpackbits(np.frombuffer(b, np.uint8), count=n) for k, n, b in rows if k >= 0]
+        said = np.concatenate(told).astype(bool) if told else np.zeros(0, bool)
+        alive, left = (decode(notes[k], np.uint32).astype(np.int64) if k in notes else np.zeros(0, np.int64) for k in ("alive", "left"))
+        covered = np.unpackbits(np.frombuffer(_unzip(notes["covered"]), np.uint8), count=part.size).astype(bool) if "covered" in notes else np.zeros(part.size, bool)
         if turn == 1:
-            return
-        alive = np.sort(self.asked.at[self.asked.spread(said(1, len(self.asked.keys)))])
-        self.asked = ties = part.ties(alive)
+            self.asked = part.seeds()
         if turn == 2:
-            return
-        self.covered = part.covered(ties.at[ties.repeated(said(2, len(ties.keys)))])
-        self.asked = near = part.near(alive, self.covered)
+            alive = np.sort(part.seeds().having(said))
+            self.asked = part.ties(alive)
         if turn == 3:
-            return
-        left = np.sort(near.at[near.spread(said(3, len(near.keys)))])
-        self.asked = rest = Strings(part, left, MATCH)
+            ties = part.ties(alive)
+            covered = part.covered(ties.at[ties.repeated(said)])
+            self.asked = part.near(alive, covered)
+        if turn == 4:
+            left = np.sort(part.near(alive, covered).having(said))
+            self.asked = Strings(part, left, MATCH)
         if turn == 5:
-            self.covered |= part.covered(rest.at[rest.repeated(said(4, len(rest.keys)))])
+            rest = Strings(part, left, MATCH)
+            covered |= part.covered(rest.at[rest.repeated(said)])
+        self.covered = covered
+        self.notes = {
+            2: {"alive": encode(alive.astype(np.uint32))}, 4: {"left": encode(left.astype(np.uint32)), "covered": _zip(np.packbits(covered).tobytes())},
+            3: {"alive": encode(alive.astype(np.uint32)), "covered": _zip(np.packbits(covered).tobytes())},
+        }.get(turn)
+
+    def questions(self, part: int, bits: int, short: bool) -> list[dict]:
+        rows = self.asked.questions(part, bits, short)
+        if self.notes:
+            rows.append({"bucket": -1 - part, "part": part, "n": 0, "keys": pickle.dumps(self.notes), "inner": b"", "asked": b""})
+        return rows
+
+
+def _zip(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(data)
+
+
+def _unzip(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
 
 
-QUESTION = "bucket int, part long, n int, keys binary, shared binary, asked binary"
+QUESTION = "bucket int, part long, n int, keys binary, inner binary, asked binary"
 #: Passes that send 32 bits of a hash and look for any other document.
 SHORT = (1, 3)
 ANSWER = "pass int, part long, bucket int, n int, bits binary"
@@ -225,10 +238,10 @@ def _ask(turn: int, bits: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """A part's questions, given the answers so far."""
 
     def work(documents: pa.Table, answers: pa.Table) -> pa.Table:
-        if not documents.num_rows:
+        if not documents.num_rows:  # answers to a part there is not
             return _table([], QUESTION)
         state = State(Part(documents, "id", "data"), answers, turn)
-        return _table(state.asked.questions(documents["part"][0].as_py(), bits, turn in SHORT), QUESTION)
+        return _table(state.questions(documents["part"][0].as_py(), bits, turn in SHORT), QUESTION)
 
     return work
 
@@ -238,6 +251,8 @@ def _answer(turn: int) -> Callable[[pa.Table], pa.Table]:
 
     def work(bucket: pa.Table) -> pa.Table:
         rows = sorted(bucket.to_pylist(), key=lambda r: r["part"])
+        if rows[0]["bucket"] < 0:  # what a part has found so far goes along with its answers
+            return _table([{"pass": turn, "part": r["part"], "bucket": -1, "n": 0, "bits": r["keys"]} for r in rows], ANSWER)
         keys = [decode(r["keys"], np.uint32 if turn in SHORT else np.uint64) for r in rows]
         sizes = np.array([r["n"] for r in rows])
         every = np.concatenate(keys)
@@ -245,10 +260,9 @@ def _answer(turn: int) -> Callable[[pa.Table], pa.Table]:
         same = every[order][1:] == every[order][:-1]
         begin = np.flatnonzero(np.r_[True, ~same])
         if turn in SHORT:
-            flags = lambda c: np.concatenate([np.unpackbits(np.frombuffer(r[c], np.uint8), count=r["n"]) for r in rows])[order]
-            any_of = lambda c: np.logical_or.reduceat(flags(c).astype(bool), begin)
-            sizes_of = np.diff(np.r_[begin, len(every)])
-            yes = np.repeat(((sizes_of > 1) | any_of("shared")) & any_of("asked"), sizes_of)
+            flags = lambda c: np.concatenate([np.unpackbits(np.frombuffer(r[c], np.uint8), count=r["n"]) for r in rows])[order].astype(bool)
+            wanted = flags("inner") | flags("asked") & np.r_[False, same]
+            yes = np.repeat(np.logical_or.reduceat(wanted, begin), np.diff(np.r_[begin, len(every)]))
         else:
             yes = np.r_[False, same]
         out = np.empty(len(every), dtype=bool)
@@ -261,7 +275,7 @@ def _answer(turn: int) -> Callable[[pa.Table], pa.Table]:
 
 
 def mark(documents: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
-    """The bucketed parts, the answers of all passes, and the parts' columns: part, data, doc_id, then the given ones."""
+    """The bucketed parts, the answers to the last pass, and the parts' columns: part, data, doc_id, then the given ones."""
     spark = documents.sparkSession
     columns = documents.columns
     part, data, ids = (fresh(columns, c) for c in ("_part", "_data", "_id"))
@@ -286,9 +300,7 @@ def mark(documents: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
     slim = table.select(F.col(part).alias("part"), F.col(ids).alias("id"), F.col(data).alias("data"))
     for turn in (1, 2, 3, 4):
         asked = slim.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_ask(turn, bits), QUESTION)
-        with tidy(spark):
-            told = store(asked.groupBy("bucket").applyInArrow(_answer(turn), ANSWER), "answers")
-        answers = told if turn == 1 else answers.unionAll(told)
+        answers = stored(asked.groupBy("bucket").applyInArrow(_answer(turn), ANSWER), "answers")
     return table, answers, [part, data, ids, *rest]
 
 
