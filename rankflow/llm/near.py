@@ -31,9 +31,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from rankflow.llm.common import by_batch, fresh, salted
+from rankflow.llm.common import by_batch, fresh, salted, stored
 from rankflow.llm.decontaminate import words_of
-from rankflow.session import cut, store
 
 SHINGLE, LEAST = 5, 0.8
 #: 24 bands of 5 values: a pair at 0.8 shares none with probability 7e-5.
@@ -198,20 +197,21 @@ def check(pairs: DataFrame, table: DataFrame, least: float) -> DataFrame:
         good = [similarity(*x) >= least - 1e-12 for x in zip(*columns, strict=True)]
         return pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(good, pa.bool_())], ["a", "b", "good"])
 
-    met = salted(salted(pairs, one("a"), ["a"], F.col("b"), 16, "inner"), one("b"), ["b"], F.col("a"), 16, "inner")
+    # elements are too large to repeat for salts: adaptive execution splits the rows of a hub in these joins
+    met = pairs.join(one("a"), "a").join(one("b"), "b")
     return by_batch(met, work, "a binary, b binary, good boolean")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the least node of each connected component; labels spread along edges and jump along labels."""
-    both = store(edges.unionAll(edges.select("b", "a")).toDF("node", "near").distinct(), "edges")
-    labels = store(both.groupBy("node").agg(F.least("node", F.min("near")).alias("label")), "labels")
+    both = stored(edges.unionAll(edges.select("b", "a")).toDF("node", "near").distinct(), "edges")
+    labels = stored(both.groupBy("node").agg(F.least("node", F.min("near")).alias("label")), "labels")
     while True:
         seen = salted(both, labels.toDF("near", "l"), ["near"], F.col("node"), 16).groupBy("node").agg(F.min("l").alias("l"))
         least = labels.join(seen, "node").select("node", F.least("label", "l").alias("label"), F.col("label").alias("old"))
         jump = least.select(F.col("node").alias("label"), F.col("label").alias("next"))
         after = salted(least, jump, ["label"], F.col("node"), 16).select("node", F.coalesce("next", "label").alias("label"), "old")
-        after = store(after, "labels")
+        after = stored(after, "labels")
         labels = after.drop("old")
         if after.where("label != old").isEmpty():
             return labels
@@ -219,17 +219,17 @@ def components(edges: DataFrame) -> DataFrame:
 
 def classes(documents: DataFrame, least: float = LEAST) -> DataFrame:
     """row, mark, doc_id, node, label (of the component) and class_id (its least doc_id) of every row."""
-    sketched = store(sketch(documents), "sketch")
+    sketched = stored(sketch(documents), "sketch")
     per_node = sketched.groupBy("node").agg(F.min("row").alias("row"), F.min("doc_id").alias("doc_id"))
-    first = store(per_node, "nodes")
+    first = stored(per_node, "nodes")
     reps = sketched.select("row", F.col("node").alias("its"), "bands").join(first.select("row", "node"), "row").where("its = node")
     banded = reps.select("node", F.explode("bands").alias("bucket")).distinct()
     sizes = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    members = store(salted(banded, sizes, ["bucket"], F.col("node"), 16, "inner"), "members")
+    members = stored(salted(banded, sizes, ["bucket"], F.col("node"), 16, "inner"), "members")
     scores = members.groupBy("node").agg(F.sum("n").alias("score"))
-    members = store(members.select("node", "bucket").join(scores, "node"), "members")
+    members = stored(members.select("node", "bucket").join(scores, "node"), "members")
     wanted = first.select("row", "node").join(scores.select("node"), "node", "left_semi")
-    table = store(element_table(documents, wanted), "elements")
+    table = stored(element_table(documents, wanted), "elements")
     labels, tried = None, None
     while True:
         placed = members.withColumn("label", F.col("node"))
@@ -237,7 +237,7 @@ def classes(documents: DataFrame, least: float = LEAST) -> DataFrame:
             placed = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         order = F.struct("score", "node")
         heads = placed.groupBy("bucket", "label").agg(F.max(order).alias("head"), F.max(F.struct(F.xxhash64("node"), "node")).alias("other"))
-        heads = store(heads.select("bucket", "head", "other"), "heads")
+        heads = stored(heads.select("bucket", "head", "other"), "heads")
         hubs = heads.groupBy("bucket").agg(F.max("head").alias("hub"), F.max("other").alias("hub2"), F.count("*").alias("n")).where("n > 1").drop("n")
         met = salted(heads, hubs, ["bucket"], F.col("head.node"), 16, "inner")
         pair = lambda x, y: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
@@ -245,7 +245,7 @@ def classes(documents: DataFrame, least: float = LEAST) -> DataFrame:
         pairs = pairs.select("p.a", "p.b").where("a != b").distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        checked = store(check(pairs, table, least), "checked")
+        checked = stored(check(pairs, table, least), "checked")
         tried = checked if tried is None else tried.unionAll(checked)
         if checked.where("good").isEmpty():
             break
