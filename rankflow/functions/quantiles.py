@@ -1,4 +1,4 @@
-"""Exact, linearly interpolated percentiles.
+"""Exact, linearly interpolated percentiles (of whole columns by a few aggregates, of keyed rows in one plan).
 
 A bounded sketch brackets every wanted rank, rows are counted per bracket, and only the rows inside
 the brackets that hold a wanted rank are looked at again: by how many of them each of `BINS` equal
@@ -9,12 +9,16 @@ keeps one count per distinct value in its final task.)
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankflow.functions.expr import attach, total
+from rankflow.functions.expr import total
 
 BINS = 1024
+#: Rows of a bracket that are sorted; a bracket with more is narrowed first.
+SORTED = 100_000
 
 
 def quantiles(
@@ -28,7 +32,8 @@ def quantiles(
 
     NaN must have become NULL before; key columns must not be NULL.
     """
-    keys = keys or []
+    if not keys:
+        return _of_all(df, columns, probs, accuracy)
     margin = 2.0 / accuracy
     grid = [min(1.0, max(0.0, p + d)) for p in probs for d in (-margin, margin)]
     names, columns = columns, [f"_x{i}" for i in range(len(columns))]  # names may have blanks
@@ -39,10 +44,7 @@ def quantiles(
             for c in columns
         ]
     )
-    if keys:
-        marked = wide.join(rough, keys)
-    else:
-        marked = attach(wide, rough).select("*", "_s.*").drop("_s")
+    marked = wide.join(rough, keys)
 
     def bracket(c: str):
         steps = []
@@ -66,9 +68,7 @@ def quantiles(
         up_to = Window.partitionBy(*by).orderBy(place).rowsBetween(Window.unboundedPreceding, 0)
         first = counted.withColumn("_first_", F.col("_start_") + F.sum("_m_").over(up_to) - F.col("_m_"))
         held = F.exists(ranks, lambda r: (r >= F.col("_first_")) & (r < F.col("_first_") + F.col("_m_")))
-        found = first.where(held).drop("_start_", "_m_").withColumnRenamed("_first_", "_start_")
-        # at most two steps a probability and column: few rows, unless there are keys
-        return found if keys else F.broadcast(found)
+        return first.where(held).drop("_start_", "_m_").withColumnRenamed("_first_", "_start_")
 
     brackets = [*keys, "_column_", "_k_"]
     counted = rows.groupBy(*brackets, "_n_").agg(
@@ -106,3 +106,77 @@ def quantiles(
     return exact.groupBy(*keys).agg(
         *[F.max(F.when(F.col("_column_") == x, F.col("q"))).alias(c) for c, x in zip(names, columns)]
     )
+
+
+def _of_all(df: DataFrame, columns: list[str], probs: list[float], accuracy: int) -> DataFrame:
+    """Percentiles of whole columns. Only brackets, counts and answers (a few numbers a column) reach the driver."""
+    wide = df.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
+    margin = 2.0 / accuracy
+
+    def sketched(wanted: dict[tuple[int, int], tuple[float, str]]) -> dict[tuple[int, int], list[float]]:
+        """Two values around a relative position among the rows that meet a condition."""
+        parts = [
+            F.expr(
+                f"percentile_approx(x{i}, array({max(0.0, at - margin)!r}D, {min(1.0, at + margin)!r}D), {accuracy})"
+                f" FILTER (WHERE {where}) AS p{i}_{j}"
+            )
+            for (i, j), (at, where) in wanted.items()
+        ]
+        row = wide.agg(*parts).first()
+        return {(i, j): row[f"p{i}_{j}"] for i, j in wanted}
+
+    counts = wide.agg(*[F.count(f"x{i}").alias(f"n{i}") for i in range(len(columns))]).first()
+    known = {(i, j): probs[j] * (counts[i] - 1) for i in range(len(columns)) for j in range(len(probs)) if counts[i]}
+    ends = sketched({k: (probs[k[1]], "true") for k in known}) if known else {}
+    below: dict[tuple[int, int], int] = {}
+    todo = dict(known)
+    while todo:
+        row = wide.agg(
+            *[F.expr(f"count_if(x{i} < {_sql(ends[i, j][0])}) AS b{i}_{j}") for i, j in todo],
+            *[F.expr(f"count_if(x{i} <= {_sql(ends[i, j][1])}) AS u{i}_{j}") for i, j in todo],
+        ).first()
+        narrow = {}
+        for k in list(todo):
+            i, j = k
+            below[k], upto, h = row[f"b{i}_{j}"], row[f"u{i}_{j}"], known[k]
+            if below[k] > math.floor(h) or upto <= math.ceil(h):  # a poor bracket
+                low, high = ends[k]
+                ends[k] = [-math.inf if below[k] > math.floor(h) else low, math.inf if upto <= math.ceil(h) else high]
+            elif upto - below[k] > SORTED and ends[k][0] < ends[k][1]:
+                low, high = map(_sql, ends[k])
+                narrow[k] = ((h - below[k]) / (upto - below[k] - 1), f"x{i} BETWEEN {low} AND {high}")
+            else:
+                del todo[k]
+        for k, found in (sketched(narrow) if narrow else {}).items():
+            if found == ends[k]:
+                del todo[k]  # as narrow as it gets: few different values
+            ends[k] = found
+    values: dict[tuple[int, int], list[float]] = {}
+    if known:
+        entries = [
+            F.expr(f"IF(x{i} BETWEEN {_sql(ends[i, j][0])} AND {_sql(ends[i, j][1])}, struct({i} AS i, {j} AS j, x{i} AS v), NULL)")
+            for i, j in known
+        ]
+        each = wide.select(F.explode(F.array_compact(F.array(*entries))).alias("e")).select("e.*").groupBy("i", "j", "v").agg(
+            F.count(F.lit(1)).alias("m")
+        )
+        upto = Window.partitionBy("i", "j").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+        ranks = F.create_map(*(F.lit(x) for k, h in known.items() for x in (f"{k[0]}_{k[1]}", h - below[k])))
+        at = ranks[F.concat_ws("_", "i", "j")]
+        last = each.withColumn("upto", F.sum("m").over(upto))
+        pick = lambda r: F.min(F.when(F.col("upto") > r, F.col("v")))
+        for r in last.groupBy("i", "j").agg(pick(F.floor(at)).alias("lo"), pick(F.ceil(at)).alias("hi")).collect():
+            values[r.i, r.j] = [r.lo, r.hi]
+    out = []
+    for i, c in enumerate(columns):
+        answers = []
+        for j in range(len(probs)):
+            if (i, j) in values:
+                (low, high), h = values[i, j], known[i, j]
+                answers.append(low if low == high else (math.ceil(h) - h) * low + (h - math.floor(h)) * high)
+        out.append((F.array(*map(F.lit, answers)) if answers else F.lit(None).cast("array<double>")).alias(c))
+    return df.sparkSession.range(1).select(*out)
+
+
+def _sql(x: float) -> str:
+    return f"double('{'-' * (x < 0)}Infinity')" if math.isinf(x) else f"{x!r}D"

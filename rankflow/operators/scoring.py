@@ -17,6 +17,7 @@ from rankflow.functions import expr as X
 from rankflow.functions.blocks import meet, meet_rows, place, rated_cells
 from rankflow.operators.profile import mapped_features, mapping_table
 from rankflow.operators.scale import z_scores
+from rankflow.session import store
 
 DEFAULTS = Settings()
 
@@ -151,9 +152,11 @@ def content_ranking(
     profiles: DataFrame, ratings: DataFrame, items: DataFrame, features: list[str], n: int
 ) -> DataFrame:
     """Best n unrated items per user by content score."""
-    users = content_users(profiles, features)
+    # Stored: two passes read the state, and the cells are made from it.
+    users = store(content_users(profiles, features), "content-users")
+    cells = store(rated_cells(users, ratings), "rated-cells")
     catalog = pack_items(items.select("item", *features), features).select("item", "_i")
-    return top_pairs(place(users), catalog, content_sql(features), n, UNRATED, cells=rated_cells(users, ratings))
+    return top_pairs(place(repack_all(users)), catalog, content_sql(features), n, UNRATED, cells=cells)
 
 
 def baseline_ranking(importance: DataFrame, items: DataFrame, mapping: dict[str, list[str]], n: int) -> DataFrame:

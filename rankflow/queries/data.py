@@ -60,7 +60,7 @@ def raw_items(spark: SparkSession, folder: str) -> DataFrame:
 
 def items(spark: SparkSession, folder: str) -> DataFrame:
     """Scaled to [0, 1], high is good, complete; stored, because every step after it reads it."""
-    full = fill_every_gap(store(raw_items(spark, folder), "raw-items"), FEATURES)
+    full = store(fill_every_gap(store(raw_items(spark, folder), "raw-items"), FEATURES), "filled-items")
     scaled = winsor_scale(full, FEATURES, lower_is_better=LOWER)
     return store(scaled.select("item", *[F.round(f, 9).alias(f) for f in FEATURES]), "items")
 
