@@ -207,7 +207,7 @@ def _threads(spark: SparkSession) -> int:
 
 
 #: Characters encoded at a time, so that the library's intermediate results stay small.
-AT_ONCE = 8 << 20
+AT_ONCE = 3 << 20
 
 
 def _portions(texts: list[str]) -> Iterator[slice]:
