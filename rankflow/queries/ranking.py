@@ -169,16 +169,15 @@ def user_profiles(spark, d):
 
 @query("profile_update")
 def profile_update(spark, d):
-    """Ratings of even-numbered orders are stored as sums; the others arrive later and are added."""
+    """Profiles after an update: sums of the ratings with an odd user + item are stored, the others' are added, weights blended anew."""
     every = ratings(spark, d)
-    later = F.pmod(F.xxhash64("user_id", "item"), F.lit(2)) == 0
+    later = (F.col("user_id") + F.col("item")) % 2 == 0
     it = items(spark, d)
-    stored = profile.rating_sums(every.where(~later), it, FEATURES)
-    new = profile.rating_sums(every.where(later), it, FEATURES)
-    merged = profile.add_sums(stored, new, FEATURES)
-    return profile.learned_weights(merged, FEATURES).select(
-        "user_id", "n_given", r6("confidence"), *[r6(f"learned_{f}") for f in FEATURES]
+    merged = profile.add_sums(
+        profile.rating_sums(every.where(~later), it, FEATURES), profile.rating_sums(every.where(later), it, FEATURES), FEATURES
     )
+    profiles = profile.build_profiles(importance(spark, d), None, it, MAPPING, FEATURES, S, merged)
+    return profiles.select("user_id", "n_given", r6("confidence"), *[r6(f"{kind}_{f}") for kind in ("learned", "weight") for f in FEATURES])
 
 
 @query("explain_profiles")
