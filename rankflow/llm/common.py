@@ -61,14 +61,19 @@ def salted(rows: DataFrame, small: DataFrame, keys: list[str], by: Column, salts
 
 @contextmanager
 def tidy(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files go as soon as the query that made them ends."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "true")
+    """Shuffle files go as soon as the query that made them ends, and Arrow batches are small, since rows hold whole texts."""
+    held = {
+        "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    }
+    before = {key: spark.conf.get(key) for key in held}
+    for key, value in held.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

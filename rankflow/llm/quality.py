@@ -21,8 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from rankflow.llm.common import by_batch, fresh, salted
-from rankflow.session import store
+from rankflow.llm.common import by_batch, fresh, salted, stored
 
 MIN_WORDS, MOST_REPEATED_PERCENT, REPEAT_WINDOW = 20, 30, 8
 SYMBOLS = b"#*$%&|<>"
@@ -139,7 +138,7 @@ def fences(sketched: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
 
 def judge(documents: DataFrame) -> DataFrame:
     """What `measure` gives, each row's fences, and `kept`."""
-    measured = store(measure(documents), "quality")
+    measured = stored(measure(documents), "quality")
     joined = salted(measured, fences(sketch(measured)), ["lang", "source"], F.col("row_key"))
     inside = " AND ".join(
         [f"{r} <= most_{r}" for r in SLACK] + [f"{r} >= least_{r}" for r, (_, both) in SLACK.items() if both]
