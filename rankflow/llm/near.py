@@ -77,9 +77,9 @@ def signatures(texts: list[np.ndarray]) -> np.ndarray:
     for i, hashes in enumerate(texts):
         if len(hashes):
             found, weights = elements(hashes)
-            if len(found) < len(hashes):  # one cell a unit of weight
-                unit = np.arange(len(hashes)) - np.repeat(np.cumsum(weights) - weights, weights)
-                found = mix(np.repeat(found, weights) + unit.astype(np.uint64) * _G)
+            # one cell a unit of weight, in texts without repeats too: their darts must be the same
+            unit = np.arange(len(hashes)) - np.repeat(np.cumsum(weights) - weights, weights)
+            found = mix(np.repeat(found, weights) + unit.astype(np.uint64) * _G)
             cells.append(found)
             owner.append(np.full(len(found), i, dtype=np.int64))
     out = np.zeros((len(texts), SIZE), dtype=np.uint32)

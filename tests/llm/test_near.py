@@ -93,3 +93,17 @@ def test_classes_of_given_documents(spark):
     docs = table(spark, "/root/testdata/sf0.001", "documents")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     assert sorted(map(tuple, near.digest(near.classes(docs)).collect())) == sorted(brute(rows)[0])
+
+
+def test_a_doubled_sentence_keeps_the_darts():
+    rng = random.Random(9)
+    for n in (200, 1000):
+        plain = [f"{rng.random()}".encode() for _ in range(n)]
+        doubled = [*plain[:100], *plain[90:100], *plain[100:]]
+        hashes = [near.shingles(w, {}) for w in (plain, doubled)]
+        assert len(set(hashes[0].tolist())) == len(hashes[0]) and len(set(hashes[1].tolist())) < len(hashes[1])
+        want = jaccard(Counter(hashes[0].tolist()), Counter(hashes[1].tolist()))
+        a, b = near.signatures(hashes)
+        assert want > 0.9 and abs(np.mean(a == b) - want) < 0.1
+        x, y = near.bands_of(near.signatures(hashes))
+        assert (x == y).any()
