@@ -13,9 +13,12 @@ signature values share a bucket. No bucket emits its pairs: each component with
 tried, by its most central member, against the bucket's most central member (the node whose
 buckets hold most nodes: the text that others were copied from) and against a second one fixed by
 hash. Tried pairs are checked exactly (similarity of the shingle multisets at least `LEAST`);
-components grow by accepted pairs, and rounds go on until no bucket has an untried pair. Counts and
-hubs are aggregates, joins with hot buckets and classes are salted, and components are labels
-propagated in Spark; nothing about all documents reaches the driver.
+components grow by accepted pairs. When hubs give nothing more, the buckets that still hold several
+components are dealt out into cells of two shards. A cell compares the signatures of all its pairs of
+different components, each pair in the least bucket it shares; rounds first try the likeliest pair
+of two components in a cell, until none is accepted, and at last all pairs. Counts and hubs are
+aggregates, joins with hot buckets and classes are salted, and components are labels propagated in
+Spark; nothing about all documents reaches the driver.
 
 Null texts count as empty. Texts without words are in one class only if they are equal. Repeated
 doc_ids and null doc_ids are classed by their texts; a class whose doc_ids are all null has a null
@@ -25,6 +28,7 @@ class_id. Empty tables give empty results.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +42,10 @@ SHINGLE, LEAST = 5, 0.8
 #: 24 bands of 5 values: a pair at 0.8 shares none with probability 7e-5.
 BANDS, ROWS = 24, 5
 SIZE = BANDS * ROWS
+#: Nodes of a bucket in a shard.
+SHARD = 64
+#: Signature values that a pair must agree in to be checked after the hubs: at 0.8 fewer agree with probability 2e-10.
+AGREE = 66
 #: Texts sketched at a time.
 TOGETHER = 1000
 
@@ -142,22 +150,27 @@ def row_id() -> Column:
 
 
 def sketch(documents: DataFrame) -> DataFrame:
-    """row, mark (of the text), doc_id, node and bands (none for texts without words) of every row."""
+    """row, mark (of the text), doc_id, node, size, signature and bands (none for texts without words) of every row."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, nodes, bands = batch.column("text").to_pylist(), [], []
+        sizes, signed = [], []
         for at in range(0, len(texts), TOGETHER):
             known: dict[bytes, int] = {}
             split = [words_of(t) for t in texts[at : at + TOGETHER]]
             nodes += [node_of(w, t) for w, t in zip(split, texts[at : at + TOGETHER], strict=True)]
-            made = bands_of(signatures([shingles(w, known) for w in split])).tolist()
+            hashes = [shingles(w, known) for w in split]
+            found = signatures(hashes)
+            sizes += map(len, hashes)
+            signed += [s.tobytes() for s in found]
+            made = bands_of(found).tolist()
             bands += [b if w else [] for b, w in zip(made, split, strict=True)]
         kept = ["row", "mark", "doc_id"]
-        columns = [*(batch.column(c) for c in kept), pa.array(nodes, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays(columns, [*kept, "node", "bands"])
+        made = [pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(signed, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *made], [*kept, "node", "size", "signature", "bands"])
 
     rows = documents.select(row_id().alias("row"), F.xxhash64("text").alias("mark"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return by_batch(rows, work, "row long, mark long, doc_id long, node binary, bands array<long>")
+    return by_batch(rows, work, "row long, mark long, doc_id long, node binary, size long, signature binary, bands array<long>")
 
 
 def element_table(documents: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -217,12 +230,96 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def hub_pairs(placed: DataFrame) -> DataFrame:
+    """(a, b): of each bucket's components a member against the most central one, another against one fixed by hash."""
+    order = F.struct("score", "node")
+    heads = placed.groupBy("bucket", "label").agg(F.max(order).alias("head"), F.max(F.struct(F.xxhash64("node"), "node")).alias("other"))
+    heads = stored(heads.select("bucket", "head", "other"), "heads")
+    hubs = heads.groupBy("bucket").agg(F.max("head").alias("hub"), F.max("other").alias("hub2"), F.count("*").alias("n")).where("n > 1").drop("n")
+    met = salted(heads, hubs, ["bucket"], F.col("head.node"), 16, "inner")
+    pair = lambda x, y: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    pairs = met.select(F.explode(F.array(pair(F.col("head.node"), F.col("hub.node")), pair(F.col("other.node"), F.col("hub2.node")))).alias("p"))
+    return pairs.select("p.a", "p.b").where("a != b").distinct()
+
+
+def cell_pairs(cell: list[tuple], least: float, likeliest: bool) -> list[tuple[bytes, bytes]]:
+    """Pairs of a cell (rows of bucket, i, j, side, node, label, size, signature) that may be similar enough."""
+    bucket, i, j = cell[0][:3]
+    _, _, _, side, nodes, label, size, signed = zip(*cell, strict=True)
+    side, size = np.array(side), np.array(size)
+    number: dict[bytes, int] = {}
+    label = np.array([number.setdefault(x, len(number)) for x in label])
+    signature = np.frombuffer(b"".join(signed), np.uint32).reshape(-1, SIZE)
+    bands = bands_of(signature)
+    a, b = np.triu_indices(len(cell), 1)
+    live = (label[a] != label[b]) & ((side[a] != side[b]) | (j == -1 - i))
+    live &= np.minimum(size[a], size[b]) >= (least - 1e-12) * np.maximum(size[a], size[b])
+    a, b = a[live], b[live]
+    shared = np.where(bands[a] == bands[b], bands[a], np.iinfo(np.int64).max).min(axis=1)
+    a, b = a[shared == bucket], b[shared == bucket]
+    agree = (signature[a] == signature[b]).sum(axis=1)
+    a, b, agree = a[agree >= AGREE], b[agree >= AGREE], agree[agree >= AGREE]
+    if likeliest:
+        x, y = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
+        order = np.argsort(-agree, kind="stable")
+        first = order[np.unique((x * len(cell) + y)[order], return_index=True)[1]]
+        a, b = a[first], b[first]
+    return [tuple(sorted((nodes[x], nodes[y]))) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+
+
+def open_pairs(placed: DataFrame, signed: DataFrame, least: float, likeliest: bool) -> DataFrame:
+    """(a, b): pairs of different components in a bucket, all or the likeliest of each two components in a cell.
+
+    Buckets of two nodes are left out: hubs have tried these. In a large bucket the greatest component is
+    shards of its own, which meet the shards of the others but not one another.
+    """
+    parts = placed.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    split = parts.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("parts"))
+    shards = lambda n: F.ceil(n / SHARD).cast("int")
+    large = F.col("n") > 2 * SHARD
+    split = split.where("parts > 1 AND n > 2").select(
+        "bucket", F.when(large, F.col("main.label")).alias("main"), F.when(large, shards(F.col("main.n"))).otherwise(0).alias("n_main"),
+        F.when(large, shards(F.col("n") - F.col("main.n"))).otherwise(1).alias("n_rest"),
+    )
+    rows = salted(placed.select("node", "bucket", "label"), stored(split, "contested"), ["bucket"], F.col("node"), 16, "inner")
+    inner = F.coalesce(F.col("label") == F.col("main"), F.lit(False))
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("node", "bucket"), F.when(inner, F.col("n_main")).otherwise(F.col("n_rest"))).cast("int"))
+    to = lambda n, i, j: F.expr(f"transform(filter(sequence(0, {n}), k -> k < {n}), k -> struct(int({i}) AS i, int({j}) AS j))")
+    met = F.concat(to("n_main", "shard", "k"), to("n_rest", "least(shard, k)", "-1 - greatest(shard, k)"))
+    rows = rows.withColumns({"cells": F.when(inner, to("n_rest", "k", "shard")).otherwise(met), "side": F.when(inner, -1).otherwise(F.col("shard"))})
+    cells = rows.join(signed, "node").withColumn("cell", F.explode("cells"))
+    cells = cells.select("bucket", "cell.i", "cell.j", "side", "node", "label", "size", "signature")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell: list[tuple] = []
+        made: list[tuple[bytes, bytes]] = []
+
+        def pairs() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array([p[k] for p in made], pa.binary()) for k in (0, 1)], ["a", "b"])
+            made.clear()
+            return out
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if cell and cell[0][:3] != row[:3]:
+                    made += cell_pairs(cell, least, likeliest)
+                    cell.clear()
+                    if len(made) > 10_000:
+                        yield pairs()
+                cell.append(row)
+        if cell:
+            made += cell_pairs(cell, least, likeliest)
+        yield pairs()
+
+    return cells.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(work, "a binary, b binary")
+
+
 def classes(documents: DataFrame, least: float = LEAST) -> DataFrame:
     """row, mark, doc_id, node, label (of the component) and class_id (its least doc_id) of every row."""
     sketched = stored(sketch(documents), "sketch")
     per_node = sketched.groupBy("node").agg(F.min("row").alias("row"), F.min("doc_id").alias("doc_id"))
     first = stored(per_node, "nodes")
-    reps = sketched.select("row", F.col("node").alias("its"), "bands").join(first.select("row", "node"), "row").where("its = node")
+    reps = sketched.select("row", F.col("node").alias("its"), "size", "signature", "bands").join(first.select("row", "node"), "row").where("its = node")
     banded = reps.select("node", F.explode("bands").alias("bucket")).distinct()
     sizes = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = stored(salted(banded, sizes, ["bucket"], F.col("node"), 16, "inner"), "members")
@@ -230,26 +327,21 @@ def classes(documents: DataFrame, least: float = LEAST) -> DataFrame:
     members = stored(members.select("node", "bucket").join(scores, "node"), "members")
     wanted = first.select("row", "node").join(scores.select("node"), "node", "left_semi")
     table = stored(element_table(documents, wanted), "elements")
-    labels, tried = None, None
-    while True:
+    signed = stored(reps.select("node", "size", "signature").dropDuplicates(["node"]).join(scores.select("node"), "node", "left_semi"), "signed")
+    labels, tried, step = None, None, 0
+    while step < 3:  # hubs, then the likeliest pairs, then all
         placed = members.withColumn("label", F.col("node"))
         if labels is not None:
             placed = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        order = F.struct("score", "node")
-        heads = placed.groupBy("bucket", "label").agg(F.max(order).alias("head"), F.max(F.struct(F.xxhash64("node"), "node")).alias("other"))
-        heads = stored(heads.select("bucket", "head", "other"), "heads")
-        hubs = heads.groupBy("bucket").agg(F.max("head").alias("hub"), F.max("other").alias("hub2"), F.count("*").alias("n")).where("n > 1").drop("n")
-        met = salted(heads, hubs, ["bucket"], F.col("head.node"), 16, "inner")
-        pair = lambda x, y: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-        pairs = met.select(F.explode(F.array(pair(F.col("head.node"), F.col("hub.node")), pair(F.col("other.node"), F.col("hub2.node")))).alias("p"))
-        pairs = pairs.select("p.a", "p.b").where("a != b").distinct()
+        pairs = open_pairs(placed, signed, least, step == 1) if step else hub_pairs(placed)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         checked = stored(check(pairs, table, least), "checked")
         tried = checked if tried is None else tried.unionAll(checked)
-        if checked.where("good").isEmpty():
-            break
-        labels = components(tried.where("good").select("a", "b"))
+        none = checked.where("good").isEmpty()
+        if not none:
+            labels = components(tried.where("good").select("a", "b"))
+        step += none or step == 2
     named = first.select("node", "doc_id", F.col("node").alias("label"))
     if labels is not None:
         named = first.join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))

@@ -107,3 +107,45 @@ def test_a_doubled_sentence_keeps_the_darts():
         assert want > 0.9 and abs(np.mean(a == b) - want) < 0.1
         x, y = near.bands_of(near.signatures(hashes))
         assert (x == y).any()
+
+
+def test_links_that_no_hub_has(spark):
+    rng = random.Random(4)
+    more = lambda n: [f"{rng.random()}"[2:] for _ in range(n)]
+    words = more(340)
+    rows = [" ".join(words[20 * k : 20 * k + 202]) for k in range(6)]  # a chain: 0.82 to the next, 0.66 to the one after
+    common = more(356)
+    for _ in range(2):  # of two crowds only the first texts are at 0.8 of each other; the others are more central
+        first = common + more(43)
+        near_first = first + more(4)
+        rows += [" ".join(first), *(" ".join(near_first + more(3)) for _ in range(20))]
+    rows = list(enumerate(rows))
+    want, n = brute(rows)
+    assert n == 2
+    frame = spark.createDataFrame([(i, t, "n", "l", 1) for i, t in rows], SCHEMA)
+    assert sorted(map(tuple, near.digest(near.classes(frame)).collect())) == sorted(want)
+
+
+def test_cells_hold_each_pair_of_components_once(spark):
+    rng = random.Random(2)
+    words = [f"w{i}".encode() for i in range(120)]
+    rows = []
+    for k in range(300):
+        text = list(words)
+        text[rng.randrange(120)] = text[rng.randrange(120)] = f"x{k}".encode()
+        found = near.signatures([near.shingles(text, {})])
+        rows.append((bytes([k // 256, k % 256]), found, b"big" if k % 3 else bytes([k % 7]), len(text) - 4))
+    signed = spark.createDataFrame([(n, z, s.tobytes()) for n, s, _, z in rows], "node binary, size long, signature binary")
+    banded = [(n, int(b), lab) for n, s, lab, _ in rows for b in near.bands_of(s)[0]]
+    placed = spark.createDataFrame(banded, "node binary, bucket long, label binary")
+    got = [tuple(map(bytes, r)) for r in near.open_pairs(placed, signed, 0.8, False).collect()]
+    tiny = {b for b, n in Counter(b for _, b, _ in banded).items() if n < 3}
+    want = set()
+    sets = {n: set(near.bands_of(s)[0].tolist()) for n, s, _, _ in rows}
+    for n, s, lab, _ in rows:
+        for m, t, other, _ in rows:
+            if n < m and lab != other and (both := sets[n] & sets[m]) and min(both) not in tiny and (s == t).sum() >= near.AGREE:
+                want.add((n, m))
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 1000
+    few = near.open_pairs(placed, signed, 0.8, True)
+    assert {tuple(map(bytes, r)) for r in few.collect()} < want
