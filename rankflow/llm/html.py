@@ -194,12 +194,13 @@ def shape_of(root: Node) -> tuple[tuple, list[list[Node]]]:
     return fold([root]), groups
 
 
-# A wrapper node is a list: name, tag, skip, kids, pages, characters, link characters, least and greatest hash of its text.
-NAME, TAGGED, SKIP, KIDS, PAGES, CHARS, LINKS, LOW, HIGH = range(9)
+# A wrapper node is a list: name, tag, skip, kids, pages, characters, link characters, least and greatest hash of its text,
+# hashes of up to LEAST_PAGES different pages that hold it.
+NAME, TAGGED, SKIP, KIDS, PAGES, CHARS, LINKS, LOW, HIGH, SOME = range(10)
 
 
 def wrapper_of(shape: tuple, stats: list[list]) -> list:
-    """A wrapper of one shape; `stats` has pages, characters, links, low and high of its nodes in preorder."""
+    """A wrapper of one shape; `stats` has pages, characters, links, low, high and some pages of its nodes in preorder."""
     rows = iter(stats)
 
     def build(node: tuple) -> list:
@@ -241,6 +242,7 @@ def absorb(a: list, b: list, pairs: list) -> None:
     for k in (PAGES, CHARS, LINKS):
         a[k] += b[k]
     a[LOW], a[HIGH] = min(a[LOW], b[LOW]), max(a[HIGH], b[HIGH])
+    a[SOME] = sorted({*a[SOME], *b[SOME]})[:LEAST_PAGES]
     partner = {j: (a[KIDS][i], inner) for i, j, inner in pairs}
     place = 0
     for j, kid in enumerate(b[KIDS]):
@@ -291,7 +293,7 @@ def content_of(shape: tuple, wrapper: list | None, pages: int, own: list[int]) -
     n = len(flat)
     out = [False] * n
     template = [
-        (w := known.get(k)) is not None and pages >= LEAST_PAGES and w[LOW] == w[HIGH] and w[CHARS] > 0 and 2 * w[PAGES] > wrapper[PAGES]
+        (w := known.get(k)) is not None and len(w[SOME]) >= LEAST_PAGES and w[LOW] == w[HIGH] and w[CHARS] > 0 and 2 * w[PAGES] > wrapper[PAGES]
         for k in range(n)
     ]
     linked = [(w := known.get(k)) is not None and flat[k][0][1] in LISTS and w[CHARS] > 0 and _total(w, LINKS) > MOST_LINKS * _total(w, CHARS) for k in range(n)]
@@ -363,13 +365,16 @@ def wrappers_of(pages: DataFrame, salts: int = 16) -> DataFrame:
             for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
                 shape, groups = shape_of(parse(page))
                 stats = _measured(groups)
-                seen, some = held.setdefault((host, shape), ([[0, 0, 0, s[3], s[4]] for s in stats], set()))
+                seen, some = held.setdefault((host, shape), ([[0, 0, 0, s[3], s[4], []] for s in stats], set()))
+                mark = _digest("".join(str(s[3]) for s in stats))
                 for a, b in zip(seen, stats, strict=True):
                     a[0] += 1
                     a[1] += b[1]
                     a[2] += b[2]
                     a[3], a[4] = min(a[3], b[3]), max(a[4], b[4])
-                some.add(_digest("".join(str(s[3]) for s in stats)))
+                    if mark not in a[5]:
+                        a[5] = sorted([*a[5], mark])[:LEAST_PAGES]
+                some.add(mark)
                 if len(some) > LEAST_PAGES:
                     some.remove(max(some))
             if len(held) > 2000:

@@ -71,3 +71,11 @@ def test_articles_of_the_given_pages(spark):
         want[r.page_id] = "\n".join(filter(None, blocks))
     for r in h.extract(pages).collect():
         assert r.text == want[r.page_id], r.page_id
+
+
+def test_copies_of_one_page_make_no_template(spark):
+    page = lambda k, more: f"<body><div class=foot0>Same on all.</div><article><h1>t{k}</h1><p>own {k}</p>{more}</article></body>"
+    rows = [(i, f"http://h.org/{i}", page(0, "<blockquote>only here</blockquote>"), "c", 1) for i in range(20)]
+    rows += [(i, f"http://h.org/{i}", page(i, ""), "c", 1) for i in range(100, 105)]
+    got = {r.page_id: r.text for r in h.extract(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[3] == "t0\nown 0\nonly here" and got[101] == "t101\nown 101"
