@@ -51,6 +51,10 @@ BOILER_TAGS = frozenset("nav header footer aside form menu dialog head".split())
 BOILER_NAMES = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert\w*|adbox|banner\w*|breadcrumbs?|comments?|comment\w*|respond|replies|cookies?|consent|gdpr|disqus|footer|header|masthead|menu|nav|navbar|navigation|newsletter|notice|notices|pagination|pager|popup|modal|promo\w*|related|recommend\w*|share|sharing|sidebar|side|social|sponsor\w*|subscribe|subscription|signup|login|toolbar|widget|alert|disclaimer|copyright|legal|toc|skip|search)(?:$|[\s_-])"
 )
+#: Parts of names that say what a page has or lacks, or that a state is on, and name no boilerplate.
+LAYOUT = re.compile(r"(?<![^\s_])(?:no|has|with|without)[-_]\S+|\S+[-_](?:open|closed)(?!\S)")
+#: Elements that hold a page or its content: no name makes them boilerplate.
+NEVER_BOILER = frozenset("html body main article".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 ROOTS = ("article", "main")
 TAG = re.compile(r"""<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
@@ -84,7 +88,7 @@ def _named(tag: str, rest: str) -> tuple[str, bool]:
     for m in ATTRIBUTE.finditer(rest) if rest else ():
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key in ("class", "id"):
-            skip = skip or bool(BOILER_NAMES.search(value))
+            skip = skip or tag not in NEVER_BOILER and bool(BOILER_NAMES.search(LAYOUT.sub(" ", value)))
             name += "." + re.sub(r"\d+", "0", " ".join(value.split()))
         elif key == "role":
             skip = skip or value in BOILER_ROLES

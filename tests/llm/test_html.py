@@ -79,3 +79,9 @@ def test_copies_of_one_page_make_no_template(spark):
     rows += [(i, f"http://h.org/{i}", page(i, ""), "c", 1) for i in range(100, 105)]
     got = {r.page_id: r.text for r in h.extract(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got[3] == "t0\nown 0\nonly here" and got[101] == "t101\nown 101"
+
+
+def test_layout_names_are_no_boilerplate():
+    for start in ("<body class='no-sidebar'>", "<body class='search-results'>", "<div id=page class='has-header wide'>", "<article class='post comments-open'>"):
+        assert one(f"{start}<h1>t</h1><p>text of it</p>") == "t\ntext of it", start
+    assert one("<body class='no-sidebar'><div class='sidebar'>s</div><div class='post-comments'>c</div><p>x</p>") == "x"
