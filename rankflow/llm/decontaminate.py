@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from rankflow.llm.common import by_batch
+from rankflow.llm.common import by_batch, fresh
 
 #: Words of an item that make a window.
 WINDOW = 10
@@ -162,18 +162,18 @@ class Automaton:
         return np.cumsum(mask[:n]) > 0, owners
 
 
-def _blocks(benchmark: DataFrame, block_words: int) -> list[list[tuple[object, str | None]]]:
-    """Items in blocks of a bounded number of words (a longer item has a block of its own)."""
+def _blocks(benchmark: DataFrame, block_words: int) -> tuple[int, Iterator[list[tuple[object, str | None]]]]:
+    """How many blocks of a bounded number of words (a longer item is a larger block), and their items, fetched one block at a time."""
     gaps = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
     words = F.size(F.split(F.coalesce("text", F.lit("")), gaps))
     items = benchmark.select("item_id", "text", words.cast("long").alias("_n"))
     total = items.agg(F.sum("_n")).first()[0] or 0
     parts = max(1, -(-2 * total // block_words)) if total > block_words else 1
     numbered = items.withColumn("_b", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)))
-    return [
+    return parts, (
         [(r.item_id, r.text) for r in numbered.where(F.col("_b") == b).select("item_id", "text").collect()]
         for b in range(parts)
-    ]
+    )
 
 
 SPANS = "array<struct<begin: bigint, end: bigint>>"
@@ -184,9 +184,9 @@ def find_contamination(
 ) -> DataFrame:
     """One row a document: doc_id, n_words, spans (word ranges that are hit, end exclusive), item_ids (sorted as strings)."""
     spark = documents.sparkSession
-    blocks = _blocks(benchmark, block_words)
+    parts, blocks = _blocks(benchmark, block_words)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    if len(blocks) > 1:  # a row's results of several passes meet again by its key and text
+    if parts > 1:  # a row's results of several passes meet again by its key and text
         docs = docs.withColumn("t", F.xxhash64("text"))
     keys = [c for c in docs.columns if c != "text"]
     span = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
@@ -237,24 +237,40 @@ def remove_contamination(documents: DataFrame, benchmark: DataFrame, most_cover:
     """Documents without the benchmark's passages: hit words and what stands between them go.
 
     A document of which at least `most_cover` of the words are hit goes whole. Documents
-    without hits are left byte for byte. All columns of `documents` stay.
+    without hits are left byte for byte. All columns of `documents` stay. Every block of the
+    benchmark marks its hits on the text as it came; texts are cut once, by all marks.
     """
     spark = documents.sparkSession
-    result = documents
-    for block in _blocks(benchmark, BLOCK_WORDS):
-        result = _strip(result, spark.sparkContext.broadcast(Automaton(block, window)), most_cover)
-    return result
+    hits = fresh(documents.columns, "_hits")
+    result = documents.withColumn(hits, F.lit(None).cast("array<bigint>"))
+    for block in _blocks(benchmark, BLOCK_WORDS)[1]:
+        result = _mark(result, spark.sparkContext.broadcast(Automaton(block, window)), hits)
+    return _strip(result, hits, most_cover)
+
+
+def _mark(documents: DataFrame, shared, hits: str) -> DataFrame:
+    """Begins and ends of the stretches that a block hits go to the column `hits`."""
+    at, to = documents.columns.index("text"), documents.columns.index(hits)
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        marked = []
+        for text, old in zip(batch.column(at).to_pylist(), batch.column(to).to_pylist(), strict=True):
+            mask, _ = shared.value.hits(words_of(text))
+            marked.append([*(old or []), *(x for pair in stretches(mask) for x in pair)])
+        return batch.set_column(to, batch.schema.field(to), pa.array(marked, batch.schema.field(to).type))
+
+    return by_batch(documents, work, documents.schema)
 
 
-def _strip(documents: DataFrame, shared, most_cover: float) -> DataFrame:
-    at = documents.columns.index("text")
+def _strip(documents: DataFrame, hits: str, most_cover: float) -> DataFrame:
+    at, marks = documents.columns.index("text"), documents.columns.index(hits)
     size = "n_chars" if "n_chars" in documents.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, keep = [], []
-            for value in batch.column(at):
-                text, gone = strip_text(value.as_py(), shared.value, most_cover)
+            for value, marked in zip(batch.column(at), batch.column(marks), strict=True):
+                text, gone = strip_text(value.as_py(), marked.as_py(), most_cover)
                 texts.append(text)
                 keep.append(not gone)
             out = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
@@ -263,17 +279,18 @@ def _strip(documents: DataFrame, shared, most_cover: float) -> DataFrame:
                 old, new = batch.column(at).to_pylist(), batch.column(k).to_pylist()
                 counts = [n if a == b else len(b) for a, b, n in zip(old, texts, new, strict=True)]
                 out = out.set_column(k, batch.schema.field(k), pa.array(counts, batch.schema.field(k).type))
-            yield out.filter(pa.array(keep))
+            yield out.drop_columns([hits]).filter(pa.array(keep, pa.bool_()))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(run, documents.drop(hits).schema)
 
 
-def strip_text(text: str | None, machine: Automaton, most_cover: float) -> tuple[str | None, bool]:
+def strip_text(text: str | None, marked: list[int], most_cover: float) -> tuple[str | None, bool]:
     """The text without its hit words, and whether the whole document goes."""
-    words = words_of(text)
-    mask, _ = machine.hits(words)
-    if not mask.any():
+    if not marked:
         return text, False
+    mask = np.zeros(len(words_of(text)), dtype=bool)
+    for a, b in zip(marked[::2], marked[1::2], strict=True):
+        mask[a:b] = True
     if mask.mean() >= most_cover:
         return "", True
     raw = text.encode("utf-8", "surrogatepass")

@@ -75,3 +75,15 @@ def test_removal_keeps_clean_rows_and_all_columns(spark):
     got = {r.doc_id: tuple(r) for r in d.remove_contamination(table, bench).collect()}
     assert got[1] == rows[0] and got[2] == rows[1] and 3 not in got
     assert got[4][1] == "one two , three " + "four " * 20 and got[4][4] == len(got[4][1])
+
+
+def test_removal_is_the_same_in_one_block_and_in_many(spark, monkeypatch):
+    w = [f"w{i}" for i in range(60)]
+    bench = spark.createDataFrame([(i, " ".join(w[5 * i : 5 * i + 12])) for i in range(6)], "item_id long, text string")
+    rows = [(1, "a b " + " ".join(w[:37]) + " c" * 60), (2, " ".join([*w[:12], *w[25:37], *["c"] * 16])), (3, "x y"), (4, None)]
+    table = spark.createDataFrame([(i, t, "en", "s", 0, "x") for i, t in rows], DOCS)
+    whole = {r.doc_id: r.text for r in d.remove_contamination(table, bench).collect()}
+    assert whole == {1: "a b " + " c" * 60, 3: "x y", 4: None}
+    monkeypatch.setattr(d, "BLOCK_WORDS", 48)
+    assert d._blocks(bench, 48)[0] > 1
+    assert {r.doc_id: r.text for r in d.remove_contamination(table, bench).collect()} == whole
