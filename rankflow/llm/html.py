@@ -61,7 +61,7 @@ TAG = re.compile(r"""<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-z
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 CONTAINERS = frozenset("# html body div section main article td center blockquote table tbody tr".split())
 LISTS = frozenset("ul ol dl table div section".split())
-#: Elements below this depth count as part of the one that holds them.
+#: Elements below this depth give their text to the one that holds them; their end tags and boilerplate still count.
 DEEPEST = 150
 
 #: A host's text is template if it is constant over so many pages at least.
@@ -104,12 +104,13 @@ def parse(page: str | None) -> Node:
     root = node = Node("#", "#", False, None)
     text, at, order, anchors, linked = [], 0, 0, 0, 0
     page = page or ""
+    deep: list[tuple[str, bool]] = []  # open elements below DEEPEST: tag, and whether it or one around it is boilerplate
 
     def flush() -> None:
         nonlocal order, linked
         if text:
             block = " ".join("".join(text).split())
-            if block:
+            if block and not (deep and deep[-1][1]):
                 node.texts.append((order, block))
                 node.links += min(linked, len(block))
                 order += 1
@@ -138,12 +139,18 @@ def parse(page: str | None) -> Node:
             if tag in INLINE:
                 continue
             flush()
+            mine = next((k for k in range(len(deep) - 1, -1, -1) if deep[k][0] == tag), None)
+            if mine is not None:
+                del deep[mine:]
+                anchors = 0
+                continue
             up = node
             while up is not None and up.tag != tag:
                 up = up.up
             if up is not None and up.up is not None:
                 node = up.up
                 anchors = 0
+                deep.clear()
             continue
         if tag in RAW and not m[3].rstrip().endswith("/"):
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
@@ -160,18 +167,29 @@ def parse(page: str | None) -> Node:
             continue
         flush()
         if tag in CLOSES_P:
+            while deep and deep[-1][0] == "p":
+                deep.pop()
+        if tag in CLOSES_P and not deep:
             up = node
             while up is not None and up.tag == "p":
                 up = up.up
             node = up or root
         if tag in SAME_LEVEL:
+            for k in range(len(deep) - 1, -1, -1):
+                if deep[k][0] in ("ul", "ol", "dl", "table", "menu", "select"):
+                    break
+                if deep[k][0] in SAME_LEVEL[tag]:
+                    del deep[k:]
+                    break
+        if tag in SAME_LEVEL and not deep:
             up = node
             while up.up is not None and up.tag not in ("ul", "ol", "dl", "table", "menu", "select"):
                 if up.tag in SAME_LEVEL[tag]:
                     node = up.up
                     break
                 up = up.up
-        if node.depth >= DEEPEST:
+        if deep or node.depth >= DEEPEST:
+            deep.append((tag, _named(tag, m[3])[1] or bool(deep and deep[-1][1])))
             continue
         name, skip = _named(tag, m[3])
         made = Node(name, tag, skip, node)

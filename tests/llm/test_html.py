@@ -85,3 +85,9 @@ def test_layout_names_are_no_boilerplate():
     for start in ("<body class='no-sidebar'>", "<body class='search-results'>", "<div id=page class='has-header wide'>", "<article class='post comments-open'>"):
         assert one(f"{start}<h1>t</h1><p>text of it</p>") == "t\ntext of it", start
     assert one("<body class='no-sidebar'><div class='sidebar'>s</div><div class='post-comments'>c</div><p>x</p>") == "x"
+
+
+def test_elements_below_the_depth():
+    nest = lambda inside: "<div>" * 200 + inside + "</div>" * 200
+    assert one(f"<div id=a><article><h1>t</h1>{nest('in')}<p>after</p></article></div><footer>f</footer>") == "t\nin\nafter"
+    assert one(f"<article>{nest('<nav>n<p>m</nav><p>a<p>b<ul><li>c<li>d</ul><div class=comments>x<div>y</div></div>')}<p>z</article>") == "a\nb\nc\nd\nz"
