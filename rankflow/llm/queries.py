@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rankflow.llm import chat, decontaminate, html, near, pieces, quality, suffixes, toxicity, url_filter, warc
+from rankflow.llm import chat, decontaminate, html, near, pieces, quality, resample, suffixes, toxicity, url_filter, warc
 from rankflow.llm.common import table
 
 
@@ -70,6 +70,11 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op13_resample(spark: SparkSession, folder: str) -> DataFrame:
+    ranked = resample.rank(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return ranked.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_url_filter": op2_url_filter,
@@ -81,5 +86,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_toxicity": op9_toxicity,
     "op10_warc": op10_warc,
+    "op13_resample": op13_resample,
+}
+SQL: dict[str, str] = {
+    "op1_quality_rules": quality.SQL, "op4_chat_format": chat.SQL, "op8_decontaminate": decontaminate.SQL, "op10_warc": warc.SQL,
+    "op13_resample": resample.SQL,
 }
-SQL: dict[str, str] = {"op1_quality_rules": quality.SQL, "op4_chat_format": chat.SQL, "op8_decontaminate": decontaminate.SQL, "op10_warc": warc.SQL}
