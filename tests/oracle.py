@@ -33,7 +33,7 @@ def normal(df: pd.DataFrame) -> list[tuple]:
             v = v.tolist() if hasattr(v, "tolist") else v
         if isinstance(v, (list, tuple)):
             return str([cell(x) for x in v])
-        if v is None or v is pd.NaT or isinstance(v, float) and v != v:
+        if v is None or v is pd.NaT or v is pd.NA or isinstance(v, float) and v != v:
             return None
         if isinstance(v, bool):
             return v
