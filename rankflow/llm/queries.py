@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rankflow.llm import chat, decontaminate, html, near, pieces, quality, resample, suffixes, toxicity, url_filter, warc
+from rankflow.llm import chat, decontaminate, html, near, pieces, pii, quality, resample, suffixes, toxicity, url_filter, variants, warc
 from rankflow.llm.common import table
 
 
@@ -70,6 +70,15 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of all documents, a letter taken from about one run in 97, with their forms and roots."""
+    return variants.group(variants.observed(table(spark, folder, "documents"), noise=97))
+
+
+def op12_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.digest(pii.find(table(spark, folder, "documents")))
+
+
 def op13_resample(spark: SparkSession, folder: str) -> DataFrame:
     ranked = resample.rank(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return ranked.select("doc_id", "n_features", "weight", "score", "rank")
@@ -86,9 +95,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_toxicity": op9_toxicity,
     "op10_warc": op10_warc,
+    "op11_variants": op11_variants,
+    "op12_pii": op12_pii,
     "op13_resample": op13_resample,
 }
 SQL: dict[str, str] = {
     "op1_quality_rules": quality.SQL, "op4_chat_format": chat.SQL, "op8_decontaminate": decontaminate.SQL, "op10_warc": warc.SQL,
-    "op13_resample": resample.SQL,
+    "op11_variants": variants.SQL, "op13_resample": resample.SQL,
 }

@@ -34,15 +34,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rankflow.functions.ordered import with_sequential_id
-from rankflow.llm.common import stored
+from rankflow.llm.common import stored, tidy
 
 BUCKETS = 10_000
 #: Words of the longest feature.
 RUN = 3
 #: Words whose features are in memory as matrices at a time.
-PIECE = 100_000
+PIECE = 30_000
 #: Bytes of a feature up to which a column-by-column update pays.
 LONGEST = 256
+#: No bucket number: the run would cross the end of its text.
+NONE = 0xFFFF
 
 _FOLD = np.array(
     [c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256)], np.uint8
@@ -118,7 +120,7 @@ def buckets_of(raw: np.ndarray, offsets: np.ndarray, buckets: int = BUCKETS) ->
     """(bucket of every feature in text order, features per text, words per text)."""
     buffer, starts, lengths, text = words_of(raw, offsets)
     words, n = np.bincount(text, minlength=len(offsets) - 1), len(starts)
-    found = np.full((n, RUN), -1, np.int32)
+    found = np.full((n, RUN), NONE, np.uint16)
     for low in range(0, n, PIECE):
         at, first, size = [], [], []
         for k in range(RUN):
@@ -129,13 +131,13 @@ def buckets_of(raw: np.ndarray, offsets: np.ndarray, buckets: int = BUCKETS) ->
             size.append(starts[i + k] + lengths[i + k] - starts[i])
         crc = crc_slices(buffer, np.concatenate(first), np.concatenate(size))
         found.reshape(-1)[np.concatenate(at)] = crc % np.uint32(buckets)
-    features = np.bincount(text, (found >= 0).sum(1), minlength=len(offsets) - 1).astype(np.int64)
+    features = np.bincount(text, (found != NONE).sum(1), minlength=len(offsets) - 1).astype(np.int64)
     flat = found.reshape(-1)
-    return flat[flat >= 0], features, words
+    return flat[flat != NONE], features, words
 
 
 def hashed(docs: DataFrame, key: str, buckets: int = BUCKETS) -> DataFrame:
-    """`key`, `n_words`, `n_features`, `buckets` (of all features, repeats included)."""
+    """`key`, `n_words`, `n_features`, `buckets` (of all features, repeats included, two bytes each)."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,15 +145,22 @@ def hashed(docs: DataFrame, key: str, buckets: int = BUCKETS) -> DataFrame:
             if not batch.num_rows:
                 continue
             flat, features, words = buckets_of(*flat_bytes(batch.column(1)), buckets)
-            ends = pa.array(np.concatenate(([0], np.cumsum(features))), pa.int32())
-            lists = pa.ListArray.from_arrays(ends, pa.array(flat, pa.int32()))
+            ends = np.concatenate(([0], np.cumsum(features))).astype(np.int32) * 2
+            numbers = pa.BinaryArray.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(ends), pa.py_buffer(flat)])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(words, pa.int64()), pa.array(features, pa.int64()), lists],
+                [batch.column(0), pa.array(words, pa.int64()), pa.array(features, pa.int64()), numbers],
                 names=[key, "n_words", "n_features", "buckets"],
             )
 
     rows = docs.select(key, F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, f"`{key}` {kind}, n_words long, n_features long, buckets array<int>")
+    return rows.mapInArrow(run, f"`{key}` {kind}, n_words long, n_features long, buckets binary")
+
+
+def numbers_of(column: pa.Array) -> np.ndarray:
+    """The bucket numbers of all rows of a batch."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    return np.frombuffer(data, np.uint16)[ends[0] // 2 : ends[-1] // 2] if data is not None and data.size else np.zeros(0, np.uint16)
 
 
 def bucket_counts(features: DataFrame, buckets: int = BUCKETS) -> DataFrame:
@@ -160,7 +169,7 @@ def bucket_counts(features: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.zeros(buckets, np.int64)
         for batch in batches:
-            count += np.bincount(np.asarray(batch.column(0).flatten()), minlength=buckets)
+            count += np.bincount(numbers_of(batch.column(0)), minlength=buckets)
         held = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array(count[held])], names=["bucket", "n"])
 
@@ -195,14 +204,14 @@ def weigh(docs: DataFrame, target: DataFrame, key: str = "doc_id", seed: int = 4
     wanted = hashed(target.select(F.lit(None).cast("string").alias("none"), "text"), "none", buckets)
     table = gains_of(bucket_counts(features, buckets), bucket_counts(wanted, buckets), buckets)
     gains = np.zeros(buckets, np.int64)
-    for row in table.collect():  # `buckets` rows
-        gains[row.bucket] = row.gain
+    with tidy(docs.sparkSession):
+        for row in table.collect():  # `buckets` rows
+            gains[row.bucket] = row.gain
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(3)
             ends = np.cumsum(np.asarray(batch.column(2)))
-            sums = np.concatenate(([0], np.cumsum(gains[np.asarray(lists.flatten())])))
+            sums = np.concatenate(([0], np.cumsum(gains[numbers_of(batch.column(3))])))
             upto = sums[np.concatenate(([0], ends))]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:3], pa.array(np.diff(upto), pa.int64())], names=[key, "n_words", "n_features", "weight"]
