@@ -47,7 +47,8 @@ _EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-
 _IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 _CARD = r"[0-9](?:[ -]?[0-9])++"
 _PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
-_SHAPES = {"email": (_EMAIL, "@"), "ip": (_IP, "."), "card": (_CARD, None), "phone": (_PHONE, "+")}
+_SHAPES = {"email": (_EMAIL, "@"), "ip": (_IP, r"[0-9]\."), "card": (_CARD, "[0-9]"), "phone": (_PHONE, r"\+[0-9]")}
+_AT = r"@|[\[(](?:at|AT)[\])]"
 # What may be an identifier.
 _MAILISH = (
     r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++(?:@| ?[\[(](?:at|AT)[\])] ?)[A-Za-z0-9-]++"
@@ -74,10 +75,9 @@ def running(steps: Column) -> Column:
 _HIT = "array<struct<start:bigint,end:bigint,value:string,left:string,right:string>>"
 
 
-def hits(df: DataFrame, shape: str, needs: str | None, name: str) -> DataFrame:
-    """Adds `name`: start, end, value and the text around each match of `shape` in `text`."""
-    might = F.contains("text", F.lit(needs)) if needs else F.col("text").rlike("[0-9]")
-    found = F.when(might, F.regexp_extract_all("text", F.lit(shape), F.lit(0))).otherwise(F.array().cast("array<string>"))
+def hits(df: DataFrame, shape: str, needs: str, name: str) -> DataFrame:
+    """Adds `name`: start, end, value and the text around each match of `shape` in `text`; few texts have what it `needs`."""
+    found = F.when(F.col("text").rlike(needs), F.regexp_extract_all("text", F.lit(shape), F.lit(0))).otherwise(F.array().cast("array<string>"))
     out = df.withColumn("_found", found)
     gap = lambda g: F.struct(F.length(g).alias("n"), F.right(g, F.lit(AROUND)).alias("left"), F.left(g, F.lit(AROUND)).alias("right"))
     out = out.withColumn("_gaps", F.when(F.size("_found") > 0, F.transform(F.split("text", shape, -1), gap)))
@@ -125,7 +125,7 @@ def suits(kind: str, value: Column) -> Column:
     """Whether a value found by its context may be of the kind."""
     n = F.length(digits(value))
     if kind == "email":
-        return value.rlike(r"@|[\[(](?:at|AT)[\])]")
+        return value.rlike(_AT)
     number = ~value.rlike("[A-Za-z]")
     if kind == "ip":
         return number & value.rlike(r"^[0-9]{1,4}(?:[.-][0-9]{1,4}){3,}$")
@@ -140,9 +140,8 @@ def scan(docs: DataFrame) -> DataFrame:
     for kind, (shape, needs) in _SHAPES.items():
         rows = hits(rows, shape, needs, kind)
         rows = rows.withColumn(kind, F.filter(kind, functools.partial(lambda k, h: valid(k, h["value"]), kind)))
-    rows = hits(rows, _MAILISH, None, "_mailish")
-    rows = rows.withColumn("_mailish", F.when(F.col("text").rlike(r"@|[\[(](?:at|AT)[\])]"), F.col("_mailish")).otherwise(F.array().cast(_HIT)))
-    rows = hits(rows, _NUMBER, None, "_number")
+    rows = hits(rows, _MAILISH, _AT, "_mailish")
+    rows = hits(rows, _NUMBER, "[0-9]", "_number")
     of_kind = lambda k, c: F.transform(c, lambda h: F.struct(F.lit(k).alias("k"), *[h[f].alias(f) for f in ("start", "end", "value", "left", "right")]))
     base = F.concat(*[of_kind(k, F.col(kind)) for k, kind in enumerate(KINDS)])
     rest = F.concat(of_kind(-1, F.col("_mailish")), of_kind(-1, F.col("_number")))

@@ -321,8 +321,8 @@ pairs AS (SELECT l.word, l.n, r.word AS other, r.n AS m FROM gaps l JOIN gaps r
 best AS (SELECT word, count(*) AS n_near, first(other ORDER BY m DESC, encode(other)) AS other, max(m) AS m FROM pairs GROUP BY word),
 forms AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * n THEN other END AS form, CASE WHEN m >= 2 * n THEN m END AS form_n
   FROM known LEFT JOIN best USING (word)),
-chain AS (SELECT word, form AS at, 1 AS k FROM forms WHERE form IS NOT NULL
-  UNION ALL SELECT c.word, f.form, k + 1 FROM chain c JOIN forms f ON f.word = c.at WHERE f.form IS NOT NULL),
-ends AS (SELECT word, arg_max(at, k) AS root FROM chain GROUP BY word)
+chain AS (SELECT word, form AS tip, 1 AS k FROM forms WHERE form IS NOT NULL
+  UNION ALL SELECT c.word, f.form, k + 1 FROM chain c JOIN forms f ON f.word = c.tip WHERE f.form IS NOT NULL),
+ends AS (SELECT word, arg_max(tip, k) AS root FROM chain GROUP BY word)
 SELECT word, n, n_near, form, form_n, coalesce(root, word) AS root FROM forms LEFT JOIN ends USING (word)
 """
