@@ -57,19 +57,23 @@ _MAILISH = (
 _NUMBER = r"\+?\(?[0-9](?:[ ().\-/]{0,3}[0-9])*+"
 
 
-def running(steps: Column) -> Column:
-    """Sums of a list up to and with each entry."""
+def running(steps: str) -> Column:
+    """Sums of a list column up to and with each entry. It has to be a column: lambdas evaluate an expression anew."""
+    zero, n = F.lit(0).cast("long"), F.size(steps)
+
+    def block(b: Column) -> Column:
+        places = F.sequence(b * STEP, F.least((b + 1) * STEP, n) - 1)
+        return F.transform(places, lambda j: F.get(steps, j).cast("long"))
 
     def upto(values: Column, before: Column) -> Column:
-        start = F.array(before.cast("long"))
-        grown = F.aggregate(values, start, lambda a, v: F.array_append(a, F.element_at(a, -1) + v))
-        return F.slice(grown, F.lit(2), F.greatest(F.size(grown) - 1, F.lit(0)))
+        grown = F.aggregate(values, F.array(before), lambda a, v: F.array_append(a, F.element_at(a, -1) + v))
+        return F.slice(grown, F.lit(2), F.size(values))
 
-    numbers = F.sequence(F.lit(0), F.greatest(F.floor((F.size(steps) - 1) / STEP), F.lit(0)).cast("int"))
-    blocks = F.transform(numbers, lambda b: F.slice(steps, b * STEP + 1, F.lit(STEP)))
-    totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0).cast("long"), lambda s, v: s + v))
-    ahead = F.aggregate(totals, F.array(F.lit(0).cast("long")), lambda a, v: F.array_append(a, F.element_at(a, -1) + v))
-    return F.flatten(F.zip_with(blocks, F.slice(ahead, F.lit(1), F.size(blocks)), upto))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / STEP).cast("int")), block)
+    totals = F.transform(blocks, lambda b: F.aggregate(b, zero, lambda s, v: s + v))
+    ahead = F.aggregate(totals, F.array(zero), lambda a, v: F.array_append(a, F.element_at(a, -1) + v))
+    sums = F.flatten(F.zip_with(blocks, F.slice(ahead, F.lit(1), F.size(ahead) - 1), upto))
+    return F.when(n > 0, sums).otherwise(F.array().cast("array<bigint>"))
 
 
 _HIT = "array<struct<start:bigint,end:bigint,value:string,left:string,right:string>>"
@@ -81,13 +85,14 @@ def hits(df: DataFrame, shape: str, needs: str, name: str) -> DataFrame:
     out = df.withColumn("_found", found)
     gap = lambda g: F.struct(F.length(g).alias("n"), F.right(g, F.lit(AROUND)).alias("left"), F.left(g, F.lit(AROUND)).alias("right"))
     out = out.withColumn("_gaps", F.when(F.size("_found") > 0, F.transform(F.split("text", shape, -1), gap)))
-    out = out.withColumn("_ends", running(F.transform("_found", lambda m, i: F.get("_gaps", i)["n"] + F.length(m))))
+    out = out.withColumn("_steps", F.transform("_found", lambda m, i: F.get("_gaps", i)["n"] + F.length(m)))
+    out = out.withColumn("_ends", running("_steps"))
     row = lambda m, i: F.struct(
         (F.get("_ends", i) - F.length(m)).alias("start"), F.get("_ends", i).alias("end"), m.alias("value"),
         F.get("_gaps", i)["left"].alias("left"), F.get("_gaps", i + 1)["right"].alias("right"),
     )
     none = F.array().cast(_HIT)
-    return out.withColumn(name, F.when(F.size("_found") > 0, F.transform("_found", row)).otherwise(none)).drop("_found", "_gaps", "_ends")
+    return out.withColumn(name, F.when(F.size("_found") > 0, F.transform("_found", row)).otherwise(none)).drop("_found", "_gaps", "_steps", "_ends")
 
 
 def digits(value: Column) -> Column:
@@ -154,8 +159,8 @@ def patterns(left: Column, right: Column) -> Column:
     def plain(c: Column) -> Column:
         return F.regexp_replace(F.lower(c), "[0-9]+", "0")
 
-    two, one = F.regexp_extract(left, r"(\S+)\s+\S+\s*$", 1), F.regexp_extract(left, r"(\S+)\s*$", 1)
-    after = F.regexp_extract(right, r"^\s*(\S+)", 1)
+    two, one = F.regexp_extract(left, r"(?<!\S)(\S++)\s++\S++\s*+$", 1), F.regexp_extract(left, r"(?<!\S)(\S++)\s*+$", 1)
+    after = F.regexp_extract(right, r"^\s*+(\S++)", 1)
     return F.array_compact(
         F.array(
             F.when((two != "") & (one != ""), F.concat_ws(" ", plain(two), plain(one), F.lit("_"))),

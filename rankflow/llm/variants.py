@@ -6,7 +6,7 @@ one inserted, deleted or replaced letter makes one of the other. A word's form i
 frequent near word, if that is at least twice as frequent; following forms leads to its root.
 
 A word's neighbourhood is generated, not searched for: every deletion, and every replacement by a
-later letter of the alphabet (an insertion is a deletion of the other word, a replacement by an
+later letter that the vocabulary has (an insertion is a deletion of the other word, a replacement by an
 earlier letter is one of the other word by a later letter, so each pair arises once). Letters are
 single bytes, and a polynomial hash of an edited word follows from sums over its parts without
 spelling it out. The hashes are probed against blocked Bloom filters of the vocabulary, one shard
@@ -68,10 +68,10 @@ def _powers(n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-def hash_of(letters: np.ndarray) -> np.ndarray:
-    """64-bit hashes of words of one length, given as rows of Latin-1 bytes."""
+def raw_hash(letters: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words of one length, given as rows of Latin-1 bytes; `_mixed` finishes them."""
     n = letters.shape[1]
-    return _mixed((_LETTER[letters] * _powers(n)[::-1]).sum(1, dtype=np.uint64) + _salt(n))
+    return (_LETTER[letters] * _powers(n)[::-1]).sum(1, dtype=np.uint64) + _salt(n)
 
 
 def by_length(words: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -83,38 +83,50 @@ def by_length(words: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield group, np.frombuffer(text, np.uint8).reshape(len(group), -1)
 
 
-def edits(letters: np.ndarray) -> Iterator[tuple[np.ndarray, int, int, np.ndarray]]:
-    """(rows, position, letter or -1 for a deletion, hash) of the edits of words of one length."""
+def edits(letters: np.ndarray, alphabet: bytes = LETTERS) -> Iterator[tuple[np.ndarray, int, int, np.ndarray]]:
+    """(rows, position, letter or -1 for a deletion, unfinished hash) of the edits of words of one length.
+
+    At each position the words are put in the order of their letter there, so that those with an
+    earlier letter than a given one are a slice. A finished hash is `_mixed` of an unfinished one.
+    """
     n = letters.shape[1]
     power, own = _powers(n + 1), _LETTER[letters]
     whole = (own * power[:n][::-1]).sum(1, dtype=np.uint64)
-    alphabet = np.frombuffer(LETTERS, np.uint8)
-    offset, shorter = _salt(n), _salt(n - 1)
     before = np.zeros(len(letters), np.uint64)  # hash of what precedes the position
     for i in range(n):
         rest = power[n - 1 - i]
         upto = before * _BASE + own[:, i]
         # Of equal neighbours only the first is deleted: the result is the same.
         rows = np.arange(len(letters)) if i == 0 else np.flatnonzero(letters[:, i] != letters[:, i - 1])
-        yield rows, i, -1, _mixed((before * rest + whole - upto * rest + shorter)[rows])
-        for letter in alphabet[alphabet > letters[:, i].min()]:
-            rows = np.flatnonzero(letters[:, i] < letter)
-            yield rows, i, int(letter), _mixed(whole[rows] + (_LETTER[letter] - own[rows, i]) * rest + offset)
+        yield rows, i, -1, (before * rest + whole - upto * rest + _salt(n - 1))[rows]
+        order = np.argsort(letters[:, i], kind="stable")
+        without = (whole - own[:, i] * rest + _salt(n))[order]
+        ends = np.searchsorted(letters[order, i], np.frombuffer(alphabet, np.uint8))
+        for letter, end in zip(alphabet, ends.tolist(), strict=True):
+            if end:
+                yield order[:end], i, letter, without[:end] + np.multiply(_LETTER[letter : letter + 1], rest)
         before = upto
 
 
-def place_of(hashes: np.ndarray, slots: int | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(block, bits) of hashes in a filter of `slots` blocks."""
-    block = ((hashes >> np.uint64(32)) * np.asarray(slots, np.uint64)) >> np.uint64(32)
+_SPREAD = np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def place_of(raw: np.ndarray, slots: int | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(block, the product that its bits come from) of unfinished hashes in a filter of `slots` blocks."""
+    product = raw * _SPREAD
+    return ((product >> np.uint64(40)) * np.asarray(slots, np.uint64)) >> np.uint64(24), product
+
+
+def bits_of(product: np.ndarray) -> np.ndarray:
     one, mask = np.uint64(1), np.uint64(63)
-    bits = one << (hashes & mask)
-    for shift in (6, 12, 18):
-        bits |= one << ((hashes >> np.uint64(shift)) & mask)
-    return block.astype(np.int64), bits
+    bits = one << ((product >> np.uint64(34)) & mask)
+    for shift in (28, 22, 16):
+        bits |= one << ((product >> np.uint64(shift)) & mask)
+    return bits
 
 
 def part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
-    return (hashes % np.uint64(parts)).astype(np.int64)
+    return (_mixed(hashes) % np.uint64(parts)).astype(np.int64)
 
 
 def observed(docs: DataFrame, noise: int | None = None) -> DataFrame:
@@ -147,7 +159,7 @@ def vocabulary(words: DataFrame) -> DataFrame:
                 continue
             hashes, sizes = np.zeros(batch.num_rows, np.uint64), np.zeros(batch.num_rows, np.int32)
             for group, letters in by_length(batch.column(0)):
-                hashes[group], sizes[group] = hash_of(letters), letters.shape[1]
+                hashes[group], sizes[group] = raw_hash(letters), letters.shape[1]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:2], pa.array(sizes), pa.array(hashes.view(np.int64))], names=["word", "n", "size", "hash"]
             )
@@ -167,9 +179,10 @@ def filters_of(known: DataFrame, slots: dict[int, int], part: int, parts: int) -
             hashes, sizes = np.asarray(batch.column(1)).view(np.uint64), np.minimum(np.asarray(batch.column(0)), LAST_SHARD)
             mine = part_of(hashes, parts) == part
             hashes, sizes = hashes[mine], sizes[mine]
-            block, bits = place_of(hashes, np.array([slots[s] for s in sizes.tolist()])) if len(sizes) else ([], np.zeros(0, np.uint64))
+            block, product = place_of(hashes, np.array([slots[s] for s in sizes.tolist()], np.uint64))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(sizes, pa.int32()), pa.array(block, pa.int64()), pa.array(bits.view(np.int64))], names=["shard", "block", "bits"]
+                [pa.array(sizes, pa.int32()), pa.array(block.view(np.int64)), pa.array(bits_of(product).view(np.int64))],
+                names=["shard", "block", "bits"],
             )
 
     blocks = known.select("size", "hash").mapInArrow(run, "shard int, block long, bits long")
@@ -184,10 +197,23 @@ def filters_of(known: DataFrame, slots: dict[int, int], part: int, parts: int) -
 
 
 #: Words of one length whose edits are hashed together.
-PIECE = 4096
+PIECE = 16_384
+
+
+def letters_of(known: DataFrame) -> bytes:
+    """The letters that words of the vocabulary have, at most those of `LETTERS`: no other can be put in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(256, bool)
+        for batch in batches:
+            for _, letters in by_length(batch.column(0)) if batch.num_rows else ():
+                held[letters.reshape(-1)] = True
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(held), pa.int32())], names=["letter"])
+
+    return bytes(sorted(r.letter for r in known.select("word").mapInArrow(run, "letter int").distinct().collect()))
 
 
-def positives(known: DataFrame, filters, part: int, parts: int) -> DataFrame:
+def positives(known: DataFrame, filters, part: int, parts: int, alphabet: bytes) -> DataFrame:
     """`source`, `target` (hashes), `at`, `letter` (null: deletion) of edits that the filters let through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,17 +229,21 @@ def positives(known: DataFrame, filters, part: int, parts: int) -> DataFrame:
     def found(own: np.ndarray, letters: np.ndarray, tables: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
         kept: list[tuple[np.ndarray, np.ndarray, int, int]] = []
         n = 0
-        for rows, at, letter, target in edits(letters):
+        for rows, at, letter, target in edits(letters, alphabet):
             table = tables.get(shard_of(letters.shape[1] - (letter < 0)))
             if table is None or not len(rows):
                 continue
-            block, bits = place_of(target, len(table))
-            hit = (table[block] & bits) == bits
+            block, product = place_of(target, len(table))
+            block = table[block]
+            # Most edits fail on the first bit; the other three are looked up for the rest.
+            hit = np.flatnonzero((block >> ((product >> np.uint64(34)) & np.uint64(63))) & np.uint64(1))
+            bits = bits_of(product[hit])
+            hit = hit[(block[hit] & bits) == bits]
             if parts > 1:
-                hit &= part_of(target, parts) == part
-            if hit.any():
+                hit = hit[part_of(target[hit], parts) == part]
+            if len(hit):
                 kept.append((own[rows[hit]], target[hit], at, letter))
-                n += int(hit.sum())
+                n += len(hit)
             if n >= 100_000:
                 yield batch_of(kept)
                 kept, n = [], 0
@@ -246,9 +276,10 @@ def links(known: DataFrame) -> DataFrame:
     parts = max(1, -(-sum(sizes.values()) * BITS // (64 * SLOTS)))
     slots = {s: max(1, -(-n * BITS // (64 * parts))) for s, n in sizes.items()}
     found = []
+    alphabet = letters_of(known)
     for part in range(parts):
         filters = spark.sparkContext.broadcast(filters_of(known, slots, part, parts))
-        found.append(stored(positives(known, filters, part, parts), "positives"))
+        found.append(stored(positives(known, filters, part, parts, alphabet), "positives"))
         filters.unpersist()
     if not found:
         found = [spark.createDataFrame([], "source long, target long, at int, letter string")]

@@ -177,5 +177,6 @@ def test_no_python_in_the_plan(spark):
 
 @pytest.mark.parametrize("n", [0, 1, 255, 256, 257, 1000])
 def test_running_sums(spark, n):
-    row = spark.range(1).select(pii.running(F.sequence(F.lit(1), F.lit(n)) if n else F.array().cast("array<int>")).alias("s")).first()
+    steps = spark.range(1).select((F.sequence(F.lit(1), F.lit(n)) if n else F.array().cast("array<int>")).alias("steps"))
+    row = steps.select(pii.running("steps").alias("s")).first()
     assert list(row.s) == [i * (i + 1) // 2 for i in range(1, n + 1)]

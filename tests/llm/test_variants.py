@@ -95,7 +95,7 @@ def test_hashes_of_edits(word):
             continue
         edited = word[:at] + (chr(letter) if letter >= 0 else "") + word[at + 1 :]
         spelled = np.frombuffer(edited.encode("latin-1"), np.uint8).reshape(1, -1)
-        assert which.tolist() == [0, 1] and (hashes == v.hash_of(spelled)[0]).all()
+        assert sorted(which.tolist()) == [0, 1] and (hashes == v.raw_hash(spelled)[0]).all()
         assert edited not in seen
         seen.add(edited)
     letters = [chr(c) for c in v.LETTERS]
