@@ -187,8 +187,9 @@ def places_of(scanned: DataFrame) -> DataFrame:
     """One row for every different place: what base spans do not overlap, and the base spans themselves."""
     rows = scanned.select("_key", F.explode(F.concat("base", "rest")).alias("h")).select("_key", "h.*")
     once = rows.groupBy("_key", "start", "end", "k").agg(*[F.first(c).alias(c) for c in ("value", "left", "right")])
-    over = "OVER (PARTITION BY _key ORDER BY start, IF(k >= 0, 0, 1) ROWS BETWEEN {})"
-    earlier, later = over.format("UNBOUNDED PRECEDING AND 1 PRECEDING"), over.format("1 FOLLOWING AND UNBOUNDED FOLLOWING")
+    # Both look back, one from either end: a frame that reaches forward would be summed up anew for each row.
+    over = "OVER (PARTITION BY _key ORDER BY start{0}, IF(k >= 0, 0, 1){0} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    earlier, later = over.format(""), over.format(" DESC")
     beside = once.selectExpr("*", f"max(IF(k >= 0, end, NULL)) {earlier} AS _before", f"min(IF(k >= 0, start, NULL)) {later} AS _after")
     free = (F.coalesce("_before", F.lit(-1)) <= F.col("start")) & (F.coalesce("_after", F.col("end")) >= F.col("end"))
     value = F.regexp_replace(F.lower("value"), r"[\s()\-/]", "")
