@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,7 +51,7 @@ def mmr(
         return candidates.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= n).select(
             "user_id", "rank", "item", "score"
         )
-    lam, over = settings.diversity_lambda, "OVER (PARTITION BY user_id)"
+    over = "OVER (PARTITION BY user_id)"
     z, v = X.named("z_", features), [f"_v{i}" for i in range(len(features))]
     zed = candidate_z(candidates.select("user_id", "item", "score", *features), features)
     zed = zed.withColumn("_by_score", F.row_number().over(by_score)).selectExpr(
@@ -61,30 +63,50 @@ def mmr(
         "user_id", "item", "score", "_count", "_by_score", *[compared.format(c, n_) for c, n_ in zip(z, v)],
         "int(NULL) AS _rank", "double(NULL) AS _near", "double(NULL) AS _far",
     )
+    picked = _rounds(state, v, settings, range(1, n + 1), f"_count > {n}", metric)
+    return picked.selectExpr(
+        "user_id", f"IF(_count > {n}, _rank, _by_score) AS rank", "item", "score",
+        *[f"{c} AS {name}" for c, name in zip(v, z)],
+    ).where(F.col("rank") <= n)
+
+
+def _rounds(
+    state: DataFrame, v: list[str], settings: Settings, numbers: range, able: str, metric: str = "cosine"
+) -> DataFrame:
+    """Greedy picks among candidate rows, one window a round: sets `_rank` and, where given, `_worth` of the picked rows."""
+    lam, over = settings.diversity_lambda, "OVER (PARTITION BY user_id)"
     penalty = "coalesce(_near, 0D)"
     if metric != "cosine":
         penalty = "IF(_near IS NULL, 0D, 1D - coalesce(try_divide(_near, _far), 0D))"
     worth = f"{1 - lam!r}D * {penalty} - {lam!r}D * score"
     offer = ", ".join(["'worth'", worth, "'item'", "item", *[f"'{c}', {c}" for c in v]])
-    for number in range(1, n + 1):
+    changing = {"_rank", "_near", "_far", "_worth"}
+    for number in numbers:
         # Small candidate sets keep their score ranking and offer nothing.
-        picked = state.selectExpr(
-            "*", f"min(IF(_rank IS NULL AND _count > {n}, named_struct({offer}), NULL)) {over} AS _pick"
-        )
+        picked = state.selectExpr("*", f"min(IF(_rank IS NULL AND {able}, named_struct({offer}), NULL)) {over} AS _pick")
         p = [f"_pick.{c}" for c in v]
+        new = {"_rank": f"IF(_pick.item = item, {number}, _rank)"}
         if metric == "cosine":
-            near, far = f"greatest(_near, {X.dot(v, p)})", "_far"
+            new["_near"] = f"greatest(_near, {X.dot(v, p)})"
         else:
             distance = X.DISTANCES[metric](v, p)
-            near, far = f"least(_near, {distance})", f"greatest(_far, {distance})"
-        state = picked.selectExpr(
-            "user_id", "item", "score", "_count", "_by_score", *v,
-            f"IF(_pick.item = item, {number}, _rank) AS _rank", f"{near} AS _near", f"{far} AS _far",
-        )
-    return state.selectExpr(
-        "user_id", f"IF(_count > {n}, _rank, _by_score) AS rank", "item", "score",
-        *[f"{c} AS {name}" for c, name in zip(v, z)],
-    ).where(F.col("rank") <= n)
+            new |= {"_near": f"least(_near, {distance})", "_far": f"greatest(_far, {distance})"}
+        if "_worth" in state.columns:
+            new["_worth"] = "IF(_pick.item = item, -_pick.worth, _worth)"
+        fixed = [c for c in state.columns if c not in changing]
+        state = picked.selectExpr(*fixed, *[f"{new.get(c, c)} AS {c}" for c in state.columns if c in changing])
+    return state
+
+
+#: Candidates that a user is meant to keep for each pick wanted.
+KEPT = 16
+#: Catalog rows a user's first floor is estimated from, at least.
+SAMPLE = 128
+#: Normal quantile for a small upper tail `p` (Hastings' rational approximation, error under 5e-4). Fixed values.
+TAIL = (
+    "(sqrt(-2 * ln({p})) - (2.515517D + 0.802853D * sqrt(-2 * ln({p})) + 0.010328D * (-2 * ln({p})))"
+    " / (1 + 1.432788D * sqrt(-2 * ln({p})) + 0.189269D * (-2 * ln({p})) + 0.001308D * pow(-2 * ln({p}), 1.5D)))"
+)
 
 
 def mmr_over_catalog(
@@ -93,50 +115,87 @@ def mmr_over_catalog(
 ) -> DataFrame:
     """The same ranking (cosine) without a candidate table: candidates are the pairs where `wanted` holds.
 
-    The state is one row per user with the vectors picked so far. A round is one pass for the greatest
-    worth and one for the item that reaches it (smallest item on a tie).
+    Three passes over the pairs: the moments and the highest score of each user, the item that has
+    it (the first pick), and the items worth at least a floor once the first pick is known. A
+    worth only falls as picks are added, so if a later pick is worth the floor, no item under it can
+    have been better: the picks made among the items kept are certified. The floor is estimated from
+    a fixed part of the catalog, so that some `KEPT` items a pick remain; a user whose picks fall below
+    it goes past the catalog again with a floor that these picks are worth, which certifies at least
+    one more of them each time.
     """
     n, lam = n or settings.top_n, settings.diversity_lambda
-    ids, kind = range(len(features)), dict(catalog.dtypes)["item"]
+    ids = range(len(features))
     moments = meet_rows(users, catalog, "item", cells).where(wanted).groupBy("user_id").agg(
-        F.count(F.lit(1)).alias("_count"),
+        F.count(F.lit(1)).alias("_count"), F.expr(f"max({score}) AS _top"),
         *[F.expr(f"avg(_i.x{i}) AS _a{i}") for i in ids],
         *[F.expr(f"stddev_pop(_i.x{i}) AS _d{i}") for i in ids],
     )
     spread = {f"m{i}": f"coalesce(_a{i}, 0D)" for i in ids} | {f"d{i}": f"coalesce(try_divide(1D, _d{i}), 0D)" for i in ids}
-    state = users.join(moments, "user_id").select(
-        *users.columns, "_count", _packed("_m", spread), F.expr(f"CAST(array() AS array<{kind}>) AS _taken"),
-        F.expr(f"CAST(array() AS array<struct<rank:int,item:{kind},score:double>>) AS _picks"),
-    )
+    known = users.join(moments, "user_id").select(*users.columns, "_count", "_top", _packed("_m", spread))
+    state = place(repack_all(store(known, "moments")))
     v = [f"((_i.x{i} - _m.m{i}) * _m.d{i})" for i in ids]
-    still = f"({wanted}) AND NOT array_contains(_taken, item)"
-    for number in range(1, n + 1):
-        # Stored per round: both passes read the state, and a lost executor costs one round.
-        state = place(repack_all(store(state, "picks")))
-        earlier = [X.dot(v, [f"_p{k}.v{i}" for i in ids]) for k in range(1, number)]
-        highest = f"greatest({', '.join(earlier)})" if len(earlier) > 1 else earlier[0] if earlier else "0D"
-        penalty = f"coalesce(try_divide({highest}, {X.norm(v)}), 0D)" if earlier else "0D"
-        worth = f"IF(_count > {n}, {lam!r}D * {score} - {1 - lam!r}D * {penalty}, {score})"
-        best = meet_rows(state.where(f"_count >= {number}"), catalog, "item", cells).where(still).groupBy("user_id").agg(
-            F.expr(f"max({worth}) AS _best")
-        )
-        found = (
-            meet_rows(state.join(best, "user_id"), catalog, "item", cells)
-            .where(still)
-            .where(f"{worth} = _best")
-            .selectExpr("user_id", "item", f"{score} AS _score", f"{X.norm(v)} AS _len", f"array({', '.join(v)}) AS _v")
-            .groupBy("user_id")
-            .agg(F.expr("min(named_struct('item', item, 'score', _score, 'len', _len, 'v', _v)) AS _pick"))
+    first = (
+        meet_rows(state, catalog, "item", cells)
+        .where(wanted)
+        .where(f"{score} = _top")
+        .selectExpr("user_id", "item", f"{X.norm(v)} AS _len", f"array({', '.join(v)}) AS _v")
+        .groupBy("user_id")
+        .agg(F.expr("min(named_struct('item', item, 'len', _len, 'v', _v)) AS _pick"))
+    )
+    direction = {f"v{i}": f"coalesce(try_divide(_pick.v[{i}], _pick.len), 0D)" for i in ids}
+    state = state.join(first, "user_id").select(*state.columns, F.col("_pick.item").alias("_first"), _packed("_p", direction))
+    state = place(repack_all(store(state, "first-picks")))
+    first_picks = state.selectExpr("user_id", "1 AS rank", "_first AS item", "_top AS score")
+    if n == 1:
+        return first_picks
+    second = f"{lam!r}D * {score} - {1 - lam!r}D * coalesce(try_divide({X.dot(v, [f'_p.v{i}' for i in ids])}, {X.norm(v)}), 0D)"
+    rest = f"({wanted}) AND item <> _first"
+    items = catalog.count()
+    every = max(1, items // max(SAMPLE, items // 64))
+    part = catalog.where(F.pmod(F.xxhash64(F.lit("sample"), "item"), F.lit(every)) == 0)
+    rough = meet_rows(state.where(f"_count > {2 * KEPT * n}"), part, "item", cells).where(rest).groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("_seen"), F.expr(f"avg({second}) AS _mean"), F.expr(f"stddev_pop({second}) AS _dev")
+    )
+    tail = TAIL.format(p=f"({KEPT * n}D / _count)")
+    state = store(
+        state.join(rough, "user_id", "left").selectExpr(
+            *state.columns, f"IF(coalesce(_seen, 0) < 8, double('-Infinity'), _mean + {tail} * _dev) AS _floor", "_dev"
+        ),
+        "floors",
+    )
+    kind = catalog.schema["item"].dataType.simpleString()
+    none = f"CAST(array() AS array<struct<rank:int,item:{kind},score:double,worth:double>>)"
+    done: list[DataFrame] = []
+    while True:
+        state = place(repack_all(state))
+        unit = [f"coalesce(try_divide({c}, _len), 0D) AS v{i}" for i, c in enumerate(v)]
+        kept = (
+            meet_rows(state, catalog, "item", cells).where(rest).where(f"{second} >= _floor")
+            .selectExpr("user_id", "item", f"{score} AS score", "_count", "_p", f"{X.norm(v)} AS _len", "_i", "_m")
+            .selectExpr("user_id", "item", "score", "_count", "_p", *unit)
         )
-        direction = {f"v{i}": f"coalesce(try_divide(_pick.v[{i}], _pick.len), 0D)" for i in ids}
-        more = f"named_struct('rank', {number}, 'item', _pick.item, 'score', _pick.score)"
-        state = state.join(found, "user_id", "left").select(
-            *[c for c in state.columns if c not in ("_picks", "_taken")],
-            F.expr("IF(_pick IS NULL, _taken, array_append(_taken, _pick.item)) AS _taken"),
-            F.expr(f"IF(_pick IS NULL, _picks, array_append(_picks, {more})) AS _picks"),
-            _packed(f"_p{number}", direction),
+        names = [f"v{i}" for i in ids]
+        candidates = kept.selectExpr(
+            "user_id", "item", "score", "_count", *names, "int(NULL) AS _rank",
+            f"{X.dot(names, [f'_p.v{i}' for i in ids])} AS _near", "double(NULL) AS _worth",
         )
-    return state.select("user_id", F.explode("_picks").alias("p")).select("user_id", "p.rank", "p.item", "p.score")
+        picked = _rounds(candidates, names, settings, range(2, n + 1), f"_count > {n}")
+        # With n candidates or fewer the ranking is by score alone.
+        by_score = by_user().orderBy(F.desc("score"), "item")
+        placed = picked.withColumn("_by_score", F.row_number().over(by_score) + 1).selectExpr(
+            "user_id", "item", "score", "_worth", f"IF(_count > {n}, _rank, _by_score) AS rank"
+        ).where(f"rank <= {n}")
+        picks = placed.groupBy("user_id").agg(F.expr("array_sort(collect_list(named_struct('rank', rank, 'item', item, 'score', score, 'worth', _worth))) AS _picks"))
+        tried = store(state.join(picks, "user_id", "left").withColumn("_picks", F.coalesce("_picks", F.expr(none))), "picks")
+        complete = f"size(_picks) >= least({n}, _count) - 1"
+        sure = f"_floor = double('-Infinity') OR (({complete}) AND NOT exists(_picks, p -> p.worth < _floor))"
+        done.append(tried.where(sure).select("user_id", "_picks"))
+        lower = f"least(coalesce(array_min(transform(_picks, p -> p.worth)), _floor), IF({complete}, _floor, _floor - greatest(_dev, 1e-6D)))"
+        state = tried.where(f"NOT ({sure})").selectExpr(*[f"{lower} AS _floor" if c == "_floor" else c for c in state.columns])
+        if state.isEmpty():
+            break
+    later = functools.reduce(DataFrame.unionAll, done).select("user_id", F.explode("_picks").alias("p"))
+    return first_picks.unionByName(later.select("user_id", "p.rank", "p.item", "p.score"))
 
 
 def diversity_score(selected: DataFrame, features: list[str]) -> DataFrame:

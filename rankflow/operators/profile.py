@@ -8,13 +8,12 @@ from __future__ import annotations
 
 from itertools import combinations_with_replacement
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankflow.config import Settings
 from rankflow.functions import expr as X
+from rankflow.session import store
 
 DEFAULTS = Settings()
 
@@ -127,52 +126,51 @@ def add_sums(stored: DataFrame, new: DataFrame, features: list[str]) -> DataFram
     return stored.unionByName(new).groupBy("user_id").agg(*[total(c) for c in stored.columns if c != "user_id"])
 
 
-def _solver(size: int, alpha: float):
-    upper = np.triu_indices(size)
-
-    @F.pandas_udf("struct<weights:array<double>,coef:array<double>,r2:double>")
-    def solve(n: pd.Series, sx: pd.Series, sxx: pd.Series, sxy: pd.Series, sy: pd.Series, syy: pd.Series) -> pd.DataFrame:
-        """Ridge on standardized features for a whole batch of users, from their sums."""
-        if len(n) == 0:
-            return pd.DataFrame({"weights": [], "coef": [], "r2": []})
-        count = np.maximum(n.to_numpy(dtype=float), 1.0)
-        mean = np.stack(sx.to_numpy()) / count[:, None]
-        cross = np.zeros((len(count), size, size))
-        cross[:, upper[0], upper[1]] = np.stack(sxx.to_numpy())
-        cross = cross + np.triu(cross, 1).transpose(0, 2, 1)
-        cov = cross / count[:, None, None] - mean[:, :, None] * mean[:, None, :]
-        var = np.diagonal(cov, axis1=1, axis2=2)
-        varies = var > 1e-12
-        inverse = np.where(varies, 1.0 / np.sqrt(np.where(varies, var, 1.0)), 0.0)
-        gram = count[:, None, None] * cov * inverse[:, :, None] * inverse[:, None, :]
-        y_mean = sy.to_numpy(dtype=float) / count
-        target = (np.stack(sxy.to_numpy()) - count[:, None] * mean * y_mean[:, None]) * inverse
-        coef = np.linalg.solve(gram + alpha * np.eye(size), target[:, :, None])[:, :, 0]
-        ss_tot = np.maximum(syy.to_numpy(dtype=float) - count * y_mean**2, 0.0)
-        ss_res = ss_tot - 2 * (coef * target).sum(1) + np.einsum("ui,uij,uj->u", coef, gram, coef)
-        size_of = np.abs(coef)
-        total = size_of.sum(1, keepdims=True)
-        weights = np.where(total > 0, size_of / np.where(total > 0, total, 1.0), 1.0 / size)
-        return pd.DataFrame(
-            {"weights": list(weights), "coef": list(coef), "r2": 1.0 - ss_res / (ss_tot + 1e-10)}
-        )
-
-    return solve
+#: A sum of squares under this is rounding noise: all ratings are equal, and nothing can be learned from them.
+NOISE = 1e-12
 
 
 def learned_weights(sums: DataFrame, features: list[str], settings: Settings = DEFAULTS) -> DataFrame:
-    """Adds `learned_<f>` (NULL where nothing was learned) and `confidence` (0 there)."""
-    solved = sums.withColumn(
-        "_m", _solver(len(features), settings.ridge_alpha)("n", "sx", "sxx", "sxy", "sy", "syy")
-    )
-    enough = (F.col("n_given") >= settings.min_ratings) & (F.col("n") > 0)
-    confidence = F.lit(0.7) * F.greatest(F.lit(0.0), F.col("_m.r2")) + F.lit(0.3) * F.least(
-        F.lit(1.0), F.col("n_given") / F.lit(10.0)
+    """Adds `learned_<f>` (NULL where nothing was learned) and `confidence` (0 there).
+
+    Ridge regression on standardized features, from a user's sums. The small system is a list of rows
+    that is eliminated row by row; it is symmetric and positive definite, so no pivots are sought.
+    """
+    if settings.ridge_alpha <= 0:
+        raise ValueError("elimination without pivots needs a positive ridge penalty")
+    size = len(features)
+    place = {p: k for k, p in enumerate((i, j) for i in range(size) for j in range(i, size))}
+    row = lambda i: f"array({', '.join(f'sxx[{place[min(i, j), max(i, j)]}]' for j in range(size))})"
+    system = "transform(_g, (r, i) -> array_append(transform(r, (v, j) -> IF(i = j, v + {alpha}D, v)), _t[i]))"
+    eliminated = (
+        f"aggregate(sequence(0, {size - 1}), {system.format(alpha=repr(float(settings.ridge_alpha)))},"
+        " (m, k) -> transform(m, (r, i) -> IF(i = k, r, zip_with(r, m[k], (x, y) -> x - r[k] / m[k][k] * y))))"
     )
-    return solved.select(
+    rounds = [
+        {"_c": "greatest(double(n), 1D)", "_full": f"array({', '.join(map(row, range(size)))})"},
+        {"_mean": "transform(sx, v -> v / _c)", "_ym": "sy / _c", "_tot": f"IF(syy - sy * sy / _c > {NOISE!r}D, syy - sy * sy / _c, 0D)"},
+        {"_cov": "transform(_full, (r, i) -> transform(r, (v, j) -> v / _c - _mean[i] * _mean[j]))"},
+        {"_inv": "transform(_cov, (r, i) -> IF(r[i] > 1e-12D, 1D / sqrt(r[i]), 0D))"},
+        {
+            "_g": "transform(_cov, (r, i) -> transform(r, (v, j) -> _c * v * _inv[i] * _inv[j]))",
+            "_t": "transform(sxy, (v, i) -> IF(_tot > 0, (v - _c * _mean[i] * _ym) * _inv[i], 0D))",
+        },
+        {"_x": f"transform({eliminated}, (r, i) -> r[{size}] / r[i])"},
+        {
+            "_res": "_tot - 2D * aggregate(zip_with(_x, _t, (a, b) -> a * b), 0D, (s, v) -> s + v)"
+            " + aggregate(zip_with(_x, _g, (a, r) -> a * aggregate(zip_with(r, _x, (v, b) -> v * b), 0D, (s, v) -> s + v)), 0D, (s, v) -> s + v)",
+            "_size": "aggregate(_x, 0D, (s, v) -> s + abs(v))",
+        },
+    ]
+    solved = sums
+    for step in rounds:
+        solved = solved.selectExpr("*", *[f"{e} AS {c}" for c, e in step.items()])
+    enough = f"(n_given >= {settings.min_ratings} AND n > 0)"
+    fit = "greatest(0D, 1D - _res / (_tot + 1e-10D))"
+    return solved.selectExpr(
         *sums.columns,
-        *[F.when(enough, F.col("_m.weights")[i]).alias(f"learned_{f}") for i, f in enumerate(features)],
-        F.when(enough, confidence).otherwise(F.lit(0.0)).alias("confidence"),
+        *[f"IF({enough}, IF(_size > 0, abs(_x[{i}]) / _size, {1.0 / size!r}D), NULL) AS learned_{f}" for i, f in enumerate(features)],
+        f"IF({enough}, 0.7D * {fit} + 0.3D * least(1D, n_given / 10D), 0D) AS confidence",
     )
 
 
@@ -224,7 +222,9 @@ def build_profiles(
         )
     else:
         sums = rating_sums(ratings, items, features, settings) if sums is None else sums
-        joined = stated.join(learned_weights(sums, features, settings), "user_id", "full")
+        # Stored: one row a user, read by every later pass, and the elimination stays out of their plans.
+        learned = learned_weights(sums, features, settings).drop("n", "sx", "sxx", "sxy", "sy", "syy")
+        joined = stated.join(store(learned, "learned-weights"), "user_id", "full")
     joined = joined.withColumns(
         {
             "confidence": F.coalesce("confidence", F.lit(0.0)),
@@ -232,7 +232,7 @@ def build_profiles(
             "n_liked": F.coalesce("n_liked", F.lit(0)),
         }
     )
-    return blend_weights(joined, features, settings).drop("n", "sx", "sxx", "sxy", "sy", "syy")
+    return blend_weights(joined, features, settings)
 
 
 def profile_view(profiles: DataFrame, features: list[str]) -> DataFrame:

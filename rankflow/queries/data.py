@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rankflow.config import Settings
 from rankflow.operators.impute import fill_every_gap
+from rankflow.operators.profile import NOISE
 from rankflow.operators.scale import winsor_scale
 from rankflow.session import store
 
@@ -212,6 +214,94 @@ hybrid AS (
     CASE WHEN blend THEN c1 / (c1 + s1) * content_score + s1 / (c1 + s1) * coalesce(similarity_score, 0)
       ELSE content_score END AS score FROM shifted)"""
 
+
+
+def _ridge_steps(size: int, alpha: float) -> list[dict[str, str]]:
+    """Ridge regression on standardized features as rounds of plain column arithmetic, for SQL without arrays.
+
+    The first round reads `n`, `sy`, `syy`, `sx<i>`, `sxx<i>_<j>` (i <= j) and `sxy<i>`; each later
+    one reads what the ones before named (a name given again replaces the old value). The last
+    gives `r2` and the normalized weights `w<i>`. The system is symmetric and positive definite, so
+    elimination needs no pivots: one round per eliminated row, one per solved coefficient.
+    """
+    if alpha <= 0:
+        raise ValueError("elimination without pivots needs a positive ridge penalty")
+    ids = range(size)
+    upper = [(i, j) for i in ids for j in ids if i <= j]
+    at = lambda i, j: f"{min(i, j)}_{max(i, j)}"
+    rounds = [
+        {"c": "CASE WHEN n > 1 THEN n * 1e0 ELSE 1e0 END"},
+        {"ym": "sy / c"} | {f"m{i}": f"sx{i} / c" for i in ids},
+        {f"v{at(i, j)}": f"sxx{at(i, j)} / c - m{i} * m{j}" for i, j in upper} | {"tot": "syy - c * ym * ym"},
+        {f"inv{i}": f"CASE WHEN v{at(i, i)} > 1e-12 THEN 1e0 / sqrt(v{at(i, i)}) ELSE 0e0 END" for i in ids}
+        | {"tot": f"CASE WHEN tot > {NOISE!r} THEN tot ELSE 0e0 END"},
+        {f"g{at(i, j)}": f"c * v{at(i, j)} * inv{i} * inv{j}" for i, j in upper}
+        | {f"t{i}": f"CASE WHEN tot > 0 THEN (sxy{i} - c * m{i} * ym) * inv{i} ELSE 0e0 END" for i in ids},
+        {f"a{at(i, j)}": f"g{at(i, j)} + {float(alpha)!r}e0" if i == j else f"g{at(i, j)}" for i, j in upper}
+        | {f"b{i}": f"t{i}" for i in ids},
+    ]
+    for k in ids:
+        rounds.append(
+            {f"a{at(i, j)}": f"a{at(i, j)} - a{at(k, i)} * a{at(k, j)} / a{at(k, k)}" for i, j in upper if i > k}
+            | {f"b{i}": f"b{i} - a{at(k, i)} * b{k} / a{at(k, k)}" for i in ids if i > k}
+        )
+    for k in reversed(ids):
+        known = "".join(f" - a{at(k, j)} * x{j}" for j in ids if j > k)
+        rounds.append({f"x{k}": f"(b{k}{known}) / a{at(k, k)}"})
+    fit = plus(f"{'' if i == j else '2e0 * '}g{at(i, j)} * x{i} * x{j}" for i, j in upper)
+    rounds.append(
+        {"res": f"tot - 2e0 * {plus(f'x{i} * t{i}' for i in ids)} + {fit}", "size": plus(f"abs(x{i})" for i in ids)}
+    )
+    rounds.append(
+        {"r2": "1e0 - res / (tot + 1e-10)"}
+        | {f"w{i}": f"CASE WHEN size > 0 THEN abs(x{i}) / size ELSE {1.0 / size!r}e0 END" for i in ids}
+    )
+    return [r for r in rounds if r]
+
+
+def _learned() -> str:
+    """`learned` and `blended`: weights learned by the same rounds of elimination, and their blend with the stated ones."""
+    size, ids = len(FEATURES), range(len(FEATURES))
+    sums = ["count(*) AS n", "sum(y) AS sy", "sum(y * y) AS syy"]
+    sums += [f"sum({f}) AS sx{i}" for i, f in enumerate(FEATURES)] + [f"sum({f} * y) AS sxy{i}" for i, f in enumerate(FEATURES)]
+    sums += [f"sum({FEATURES[i]} * {FEATURES[j]}) AS sxx{i}_{j}" for i in ids for j in ids if i <= j]
+    names, steps = {c.split(" AS ")[1] for c in sums} | {"user_id", "n_given"}, []
+    for k, step in enumerate(_ridge_steps(size, Settings().ridge_alpha)):
+        again = [c for c in step if c in names]
+        without = f"* EXCLUDE ({', '.join(again)})" if again else "*"
+        steps.append(f"e{k + 1} AS (SELECT {without}, {', '.join(f'{e} AS {c}' for c, e in step.items())} FROM e{k})")
+        names |= set(step)
+    mix = {f: f"share * coalesce(learned_{f}, 0) + (1 - share) * coalesce(weight_{f}, 0)" for f in FEATURES}
+    return f"""
+seen AS (SELECT user_id, rating * 0.2 AS y, {each('{f}')} FROM ratings JOIN itemz USING (item)),
+e0 AS (SELECT user_id, n_given, {', '.join(sums)} FROM seen JOIN (SELECT user_id, count(*) AS n_given FROM ratings GROUP BY user_id) USING (user_id)
+  GROUP BY user_id, n_given),
+{", ".join(steps)},
+learned AS (SELECT user_id, n_given, {', '.join(f'CASE WHEN n_given >= 3 THEN w{i} END AS learned_{f}' for i, f in enumerate(FEATURES))},
+  CASE WHEN n_given >= 3 THEN 0.7 * greatest(0.0, r2) + 0.3 * least(1.0, n_given / 10.0) ELSE 0.0 END AS confidence FROM e{len(steps)}),
+shared AS (SELECT s.*, {each('learned_{f}')}, coalesce(confidence, 0.0) AS confidence, coalesce(n_given, 0) AS n_given,
+  least(0.8, coalesce(confidence, 0.0) * 0.8)::DOUBLE AS share,
+  coalesce(learned_{FEATURES[0]} IS NOT NULL AND confidence >= 0.1, false) AS used FROM stated s LEFT JOIN learned USING (user_id)),
+mixed AS (SELECT *, {', '.join(f'{e} AS mix_{f}' for f, e in mix.items())} FROM shared),
+blended AS (SELECT user_id, n_given, confidence, {each('hard_{f}, place_{f}, learned_{f}, weight_{f} AS stated_{f}')},
+  {each('CASE WHEN used THEN CASE WHEN mix_{f} > 0 THEN mix_{f} / ' + plus(f'mix_{f}' for f in FEATURES) + ' END ELSE weight_{f} END AS weight_{f}')}
+  FROM mixed)"""
+
+
+LEARNED = f"{BASE},{_learned()}"
+# Hybrid scores with learned weights and confidence.
+HYBRID_LEARNED = f"""{LEARNED},
+profiles AS (
+  SELECT b.* EXCLUDE (n_given), b.n_given, coalesce(n_liked, 0) AS n_liked, {each('g.p_{f}')} FROM blended b LEFT JOIN given g USING (user_id)),
+{HYBRID[HYBRID.index("parts AS ("):]}"""
+
+
+def on_train(sql: str, held: str) -> str:
+    """The same SQL where every table but `every_rating` sees only ratings that are not held out."""
+    sql = sql.replace("\nratings AS (", "\nevery_rating AS (", 1)
+    return sql.replace("),\nmeans AS (", f"),\nratings AS (SELECT * FROM every_rating WHERE NOT {held}),\nmeans AS (", 1)
+
+
 POOLED_SQL = " UNION ALL ".join(
     f"SELECT '{c}' AS category, {f} AS value FROM items" for c, fs in MAPPING.items() for f in fs
 )

@@ -14,8 +14,8 @@ from rankflow.operators.scale import z_scores
 from rankflow.plans import evaluate as evaluation
 from rankflow.plans.recommend import ranking_state, recommend
 from rankflow.queries.data import (
-    BASE, CONTENT_SQL, FEATURES, HYBRID, MAPPING, POOLED_SQL, Z, cos, each, fixed_confidence, importance, items,
-    mmr_sql, open_pairs, plus, r6, ratings, rd, relax_sql, table,
+    BASE, CONTENT_SQL, FEATURES, HYBRID, HYBRID_LEARNED, LEARNED, MAPPING, POOLED_SQL, Z, cos, each, fixed_confidence,
+    importance, items, mmr_sql, on_train, open_pairs, plus, r6, ratings, rd, relax_sql, table,
 )
 
 QUERIES, SQL = {}, {}
@@ -152,7 +152,11 @@ def rating_sums(spark, d):
     )
 
 
-@query("learned_weights")
+@query(
+    "learned_weights",
+    f"""{LEARNED} SELECT user_id, n_given, {rd('confidence', 'confidence')},
+    {each('round(learned_{f}, 6) + 0.0 AS learned_{f}')} FROM learned""",
+)
 def learned_weights(spark, d):
     sums = profile.rating_sums(ratings(spark, d), items(spark, d), FEATURES)
     return profile.learned_weights(sums, FEATURES).select(
@@ -160,14 +164,29 @@ def learned_weights(spark, d):
     )
 
 
-@query("user_profiles")
+@query(
+    "user_profiles",
+    f"""{LEARNED} SELECT user_id, n_given AS num_ratings, {rd('confidence', 'confidence')},
+    concat_ws(',', {each("CASE WHEN hard_{f} IS NOT NULL THEN '{f}' END")}) AS high_importance_features,
+    {', '.join(f'round({kind}_{f}, 6) + 0.0 AS {kind}_{f}' for kind in ('weight', 'learned', 'stated') for f in FEATURES)} FROM blended""",
+)
 def user_profiles(spark, d):
+    """The weight maps of each profile, entry by entry."""
     z_items = with_z(spark, d)
     view = profile.profile_view(profile.build_profiles(importance(spark, d), ratings(spark, d), z_items, MAPPING), FEATURES)
-    return view
+    maps = {"weight": "feature_weights", "learned": "learned_weights", "stated": "stated_weights"}
+    return view.select(
+        "user_id", F.col("num_ratings").cast("long").alias("num_ratings"), r6("confidence"),
+        F.concat_ws(",", "high_importance_features").alias("high_importance_features"),
+        *[r6(F.try_element_at(m, F.lit(f)), f"{kind}_{f}") for kind, m in maps.items() for f in FEATURES],
+    )
 
 
-@query("profile_update")
+@query(
+    "profile_update",
+    f"""{LEARNED} SELECT user_id, n_given, {rd('confidence', 'confidence')},
+    {', '.join(f'round({kind}_{f}, 6) + 0.0 AS {kind}_{f}' for kind in ('learned', 'weight') for f in FEATURES)} FROM blended""",
+)
 def profile_update(spark, d):
     """Profiles after an update: sums of the ratings with an odd user + item are stored, the others' are added, weights blended anew."""
     every = ratings(spark, d)
@@ -180,7 +199,19 @@ def profile_update(spark, d):
     return profiles.select("user_id", "n_given", r6("confidence"), *[r6(f"{kind}_{f}") for kind in ("learned", "weight") for f in FEATURES])
 
 
-@query("explain_profiles")
+_STRONGEST = ", ".join(
+    f"CASE WHEN weight_{f} IS NOT NULL THEN {{'w': -weight_{f}, 'i': {i}, 'n': '{X.readable(f)}'}} END" for i, f in enumerate(FEATURES)
+)
+_REQUIRED = ", ".join(f"CASE WHEN hard_{f} IS NOT NULL THEN '{X.readable(f)}' END" for f in FEATURES)
+
+
+@query(
+    "explain_profiles",
+    f"""{LEARNED} SELECT user_id, CASE WHEN confidence > 0.6 THEN 'Primarily based on learned patterns from ' || n_given || ' ratings'
+    WHEN confidence > 0.3 THEN 'Balanced mix of stated preferences and learned patterns' ELSE 'Based on stated importance scores' END AS strategy,
+    array_to_string(list_transform(list_sort(list_filter([{_STRONGEST}], lambda e: e IS NOT NULL))[1:5], lambda e: format('{{}}: {{:.3f}}', e.n, -e.w)), ', ')
+    AS top_preferences, concat_ws(', ', {_REQUIRED}) AS hard_requirements FROM blended""",
+)
 def explain_profiles(spark, d):
     z_items = with_z(spark, d)
     profiles = profile.build_profiles(importance(spark, d), ratings(spark, d), z_items, MAPPING)
@@ -594,7 +625,11 @@ def recommend_fixed_confidence(spark, d):
     ).select("user_id", "rank", "item", r6("score"))
 
 
-@query("recommend")
+_LEARNED_PICKS = f"""{HYBRID_LEARNED}, {open_pairs()}, {relax_sql()}, kept AS (SELECT * FROM relaxed WHERE passes AND score IS NOT NULL),
+    {mmr_sql('kept')}"""
+
+
+@query("recommend", f"{_LEARNED_PICKS} SELECT user_id, rank, item, {rd('score', 'score')} FROM picks")
 def recommend_all(spark, d):
     return recommend(importance(spark, d), ratings(spark, d), items(spark, d), MAPPING).select(
         "user_id", "rank", "item", r6("score")
@@ -644,7 +679,20 @@ def evaluate_content(spark, d):
     )
 
 
-@query("evaluate")
+_GUESS = f"CASE WHEN learned_{FEATURES[0]} IS NULL THEN 3.0 ELSE greatest(1.0, least(5.0, {plus(f'learned_{f} * {f}' for f in FEATURES)} / 0.2)) END"
+
+
+@query(
+    "evaluate",
+    on_train(
+        f"""{_LEARNED_PICKS}, test AS (SELECT * FROM every_rating WHERE {_HELD}),
+    err AS (SELECT avg(abs(rating - {_GUESS})) AS mae FROM test JOIN blended USING (user_id) JOIN items USING (item)),
+    lik AS (SELECT user_id, item FROM test WHERE rating >= 3.5),
+    hits AS (SELECT l.user_id, count(t.item) AS hits FROM lik l LEFT JOIN picks t ON t.user_id = l.user_id AND t.item = l.item GROUP BY l.user_id)
+    SELECT 'mae' AS metric, {rd('mae', 'value')} FROM err UNION ALL SELECT 'precision_at_5', {rd('avg(hits / 5.0)', 'value')} FROM hits""",
+        f"({_HELD})",
+    ),
+)
 def evaluate(spark, d):
     held = (F.col("user_id") * 31 + F.col("item")) % 5 == 0
     return evaluation.evaluate(importance(spark, d), ratings(spark, d), items(spark, d), MAPPING, 5, held)

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from rankflow.config import Settings
@@ -122,3 +123,52 @@ def test_relaxation_loosens_the_costliest_requirement(spark):
         got = thresholds_of(relax(state, cat, FEATURES, s), FEATURES, s).first()
         assert got.relaxed == loosened and got.relaxation_level == level
         assert np.isclose(got.t_b_rate, t[1]) and np.isclose(got.t_c_rate, t[2]) and got.t_a_rate is None
+
+
+@pytest.mark.parametrize("kept", [1, 4])
+def test_certified_picks_equal_a_full_search(spark, monkeypatch, kept):
+    """Floors so high that most users have to go past the catalog again."""
+    monkeypatch.setattr(diversify, "KEPT", kept)
+    monkeypatch.setattr(diversify, "SAMPLE", 30)
+    x, items = catalog(spark, 150, seed=8)
+    weights = np.random.default_rng(3).random((12, 3))
+    names = "user_id int, weight_a_rate double, weight_b_rate double, weight_c_rate double"
+    users = spark.createDataFrame([(i, *map(float, w)) for i, w in enumerate(weights)], names)
+    packed = scoring.pack_items(items, FEATURES).select("item", "_i")
+    got = diversify.mmr_over_catalog(
+        place(scoring.content_users(users, FEATURES)), packed, FEATURES, scoring.content_sql(FEATURES), "item < 'i100' OR user_id % 2 = 0"
+    ).toPandas().sort_values(["user_id", "rank"])
+    for i, w in enumerate(weights):
+        mine = x if i % 2 == 0 else x[:100]
+        score = mine @ w / w.sum()
+        z = (mine - mine.mean(0)) / mine.std(0)
+        u, picked = z / np.linalg.norm(z, axis=1, keepdims=True), []
+        for _ in range(5):
+            worth = 0.7 * score - 0.3 * ((u @ u[picked].T).max(1) if picked else 0)
+            worth[picked] = -9
+            picked.append(int(worth.argmax()))
+        assert got[got.user_id == i].item.tolist() == [f"i{k:03d}" for k in picked]
+
+
+def test_recommendations_without_ratings_and_with_integer_keys(spark):
+    x, items = catalog(spark)
+    numbered = items.selectExpr("int(substring(item, 2, 3)) AS item", *FEATURES)
+    importance = spark.createDataFrame([(7, "A", 60.0, 0), (8, "B", 70.0, 0)], "user_id long, category string, importance double, ord int")
+    got = recommend(importance, None, numbered, MAPPING, Settings(use_mmr=False), n=3).toPandas().sort_values(["user_id", "rank"])
+    assert got[got.user_id == 7].item.tolist() == np.argsort(-x[:, 0])[:3].tolist()
+    assert got[got.user_id == 8].item.tolist() == np.argsort(-(x[:, 1] + x[:, 2]))[:3].tolist()
+
+
+def test_equal_ratings_teach_nothing(spark):
+    _, items = catalog(spark)
+    rows = [("u", f"i{k:03d}", 3.0) for k in range(7)]
+    sums = profile.rating_sums(spark.createDataFrame(rows, "user_id string, item string, rating double"), items, FEATURES)
+    got = profile.learned_weights(sums, FEATURES).first()
+    assert [got[f"learned_{f}"] for f in FEATURES] == [1 / 3] * 3 and np.isclose(got.confidence, 0.7 + 0.21)
+
+
+def test_learning_needs_no_python(spark):
+    _, items = catalog(spark)
+    ratings = spark.createDataFrame([("u", "i001", 3.0)], "user_id string, item string, rating double")
+    plan = profile.learned_weights(profile.rating_sums(ratings, items, FEATURES), FEATURES)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
