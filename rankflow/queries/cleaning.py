@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rankflow.operators import impute, profiling, quality, scale
 from rankflow.plans.preprocess import preprocess, process_features
-from rankflow.queries.data import RAW_SQL, r6, raw_items, rd, table
+from rankflow.queries.data import RAW_SQL, each, r6, raw_items, rd, table, treated_sql
 from rankflow.session import store
 
 QUERIES, SQL = {}, {}
@@ -473,7 +473,11 @@ def process_events(spark, d):
     return out.select("event_id", r6("v2"))
 
 
-@query("preprocess")
+@query(
+    "preprocess",
+    f"""WITH {RAW_SQL}, filled AS (SELECT item, {each('coalesce({f}, (SELECT median({f}) FROM raw)) AS {f}')} FROM raw),
+    {treated_sql('filled')} SELECT item::VARCHAR AS item, {each('round({f}, 4) + 0.0 AS {f}')} FROM treated""",
+)
 def preprocess_items(spark, d):
     """Validation with fixes and feature processing of the raw supplier indicators."""
     raw = store(raw_items(spark, d), "raw-items")
@@ -481,4 +485,5 @@ def preprocess_items(spark, d):
     spec = {"item": quality.ColumnSpec("string", required=True, unique=True)} | {
         c: quality.ColumnSpec("numeric") for c in names
     }
-    return preprocess(raw, "item", spec, {"complete": quality.completeness_rule(names)}).data
+    data = preprocess(raw, "item", spec, {"complete": quality.completeness_rule(names)}).data
+    return data.select(F.col("item").cast("string").alias("item"), *[(F.round(c, 4) + F.lit(0.0)).alias(c) for c in names])

@@ -121,6 +121,14 @@ def rd(x: str, name: str) -> str:
     return f"round({x}, 6) + 0.0 AS {name}"
 
 
+def treated_sql(source: str, name: str = "treated") -> str:
+    """`name`: features of `source` (`item`, features), a column with an IQR outlier clipped to its 5th-95th percentiles."""
+    q = "q_{f}[2] - 1.5 * (q_{f}[3] - q_{f}[2])", "q_{f}[3] + 1.5 * (q_{f}[3] - q_{f}[2])"
+    return f"""fence AS (SELECT {each('quantile_cont({f}, [0.05, 0.25, 0.75, 0.95]) AS q_{f}')} FROM {source}),
+beyond AS (SELECT {each('bool_or({f} < ' + q[0] + ' OR {f} > ' + q[1] + ') AS h_{f}')} FROM {source}, fence),
+{name} AS (SELECT item, {each('CASE WHEN h_{f} THEN greatest(q_{f}[1], least(q_{f}[4], {f})) ELSE {f} END AS {f}')} FROM {source}, fence, beyond)"""
+
+
 def _scaled(f: str) -> str:
     low, high = f"b.{f}_lo", f"b.{f}_hi"
     moved = f"greatest(0.0, least(1.0, (greatest({low}, least({high}, x.{f})) - {low}) / nullif({high} - {low}, 0)))"

@@ -10,12 +10,14 @@ from rankflow.config import Settings
 from rankflow.functions import expr as X
 from rankflow.functions.blocks import meet_rows, place
 from rankflow.operators import constrain, diversify, profile, scoring
+from rankflow.operators.quality import ColumnSpec
 from rankflow.operators.scale import z_scores
 from rankflow.plans import evaluate as evaluation
-from rankflow.plans.recommend import ranking_state, recommend
+from rankflow.plans.recommend import catalog_items, ranking_state, recommend
 from rankflow.queries.data import (
     BASE, CONTENT_SQL, FEATURES, HYBRID, HYBRID_LEARNED, LEARNED, MAPPING, POOLED_SQL, Z, cos, each, fixed_confidence,
     importance, items, mmr_sql, on_train, open_pairs, plus, r6, ratings, rd, relax_sql, table,
+    treated_sql,
 )
 
 QUERIES, SQL = {}, {}
@@ -503,7 +505,27 @@ def constraint_summary(spark, d):
     return summary.select("user_id", "num_results", "relaxation_level")
 
 
-@query("explain_constraints")
+def _removed(f: str) -> str:
+    earlier = " AND ".join(f"(NOT coalesce(t_{j} IS NOT NULL AND place_{j} < place_{f}, false) OR {j} >= t_{j})" for j in FEATURES if j != f)
+    return f"count(*) FILTER ({f} < t_{f} AND {earlier}) AS r_{f}"
+
+
+_APPLIED = ", ".join(f"CASE WHEN r_{f} > 0 THEN {{'p': place_{f}, 'x': format('{f} threshold: {{:.2f}}', t_{f})}} END" for f in FEATURES)
+_SECTION = "CASE WHEN len({list}) > 0 THEN list_concat([{title}], list_transform({list}, lambda x: '  • ' || x)) ELSE [] END"
+
+
+@query(
+    "explain_constraints",
+    f"""{HYBRID}, {open_pairs()}, {relax_sql()}, counted AS (SELECT user_id, count(*) FILTER (passes) AS n, max(level) AS level, max(relaxed) AS relaxed,
+    {each('max(t_{f}) AS t_{f}, max(place_{f}) AS place_{f}')}, {', '.join(map(_removed, FEATURES))} FROM relaxed GROUP BY user_id),
+    worded AS (SELECT user_id, n, level, list_filter(string_split(relaxed, ','), lambda x: x <> '') AS loose,
+      list_transform(list_sort(list_filter([{_APPLIED}], lambda e: e IS NOT NULL)), lambda e: e.x) AS applied FROM counted),
+    hard AS (SELECT user_id, string_agg(category, ', ' ORDER BY ord) AS names FROM importance WHERE importance >= 80 GROUP BY user_id)
+    SELECT user_id, array_to_string(list_concat(CASE WHEN names IS NOT NULL THEN ['High importance preferences (≥80): ' || names] ELSE [] END,
+      {_SECTION.format(list='applied', title="'Applied constraints:'")},
+      {_SECTION.format(list='loose', title="'Relaxed constraints (level ' || level || '):'")},
+      ['Final results: ' || n || ' items']), chr(10)) AS explanation FROM worded LEFT JOIN hard USING (user_id)""",
+)
 def explain_constraints(spark, d):
     users, catalog, cells = state(spark, d)
     summary = constrain.constraint_summary(constrain.relax(users, catalog, FEATURES, S, cells), catalog, FEATURES)
@@ -591,9 +613,31 @@ def set_size_label(spark, d):
     return diversify.set_size_label(top_five(spark, d))
 
 
-@query("diversity_analysis")
+_LEVELS = " UNION ALL ".join(
+    f"""SELECT user_id, '{f}' AS feature, CASE WHEN {_CV.format(f=f)} > 0.2 THEN 'high' WHEN {_CV.format(f=f)} > 0.1 THEN 'moderate' ELSE 'low' END
+    AS level FROM sel GROUP BY user_id HAVING count({f}) > 1"""
+    for f in FEATURES
+)
+
+
+@query(
+    "diversity_analysis",
+    f"""{_PLAIN}, sel AS (SELECT * FROM picked JOIN items USING (item)), levels AS ({_LEVELS}),
+    per AS (SELECT user_id, string_agg(feature || '=' || level, ',' ORDER BY feature) AS feature_levels FROM levels GROUP BY user_id),
+    zed AS (SELECT user_id, item, {each('coalesce(({f} - avg({f}) OVER w) / nullif(stddev_pop({f}) OVER w, 0), 0) AS z_{f}')}
+    FROM sel WINDOW w AS (PARTITION BY user_id)),
+    apart AS (SELECT a.user_id, {rd(f'avg({_DIST})', 'average_pairwise_distance')},
+    CASE WHEN avg({_DIST}) > 1.5 THEN 'diverse' ELSE 'clustered' END AS clustering_tendency, count(*) AS num_distances
+    FROM zed a JOIN zed b ON a.user_id = b.user_id AND a.item < b.item GROUP BY a.user_id HAVING count(*) >= 3)
+    SELECT user_id, num_items, CASE WHEN num_items >= 5 THEN 'high' ELSE 'moderate' END AS estimated_diversity, feature_levels,
+    average_pairwise_distance, clustering_tendency, num_distances
+    FROM (SELECT user_id, count(*) AS num_items FROM picked GROUP BY user_id HAVING count(*) >= 2) LEFT JOIN per USING (user_id) LEFT JOIN apart USING (user_id)""",
+)
 def diversity_analysis(spark, d):
-    return diversify.diversity_analysis(top_five(spark, d), FEATURES)
+    """Size label, spread per feature (as `feature=level`) and clustering of each customer's five best suppliers."""
+    levels = F.array_sort(F.transform(F.map_entries("feature_levels"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    out = diversify.diversity_analysis(top_five(spark, d), FEATURES)
+    return out.withColumns({"feature_levels": F.concat_ws(",", levels), "average_pairwise_distance": r6(F.col("average_pairwise_distance"))})
 
 
 # ---- recommendations -------------------------------------------------------------------
@@ -650,6 +694,24 @@ def recommend_content_only(spark, d):
     )
 
 
+_CAPPED = treated_sql("items")
+
+
+@query(
+    "recommend_preprocessed",
+    f"""{BASE}, {_CAPPED}, content AS (SELECT user_id, item, {CONTENT_SQL} AS score FROM stated, treated), unrated AS (SELECT * FROM content c WHERE NOT EXISTS
+    (SELECT 1 FROM ratings r WHERE r.user_id = c.user_id AND r.item = c.item)) """
+    + TOP5.format(score=rd("score", "score"), source="unrated"),
+)
+def recommend_preprocessed(spark, d):
+    """Content recommendations over the validated and capped table."""
+    only_content = Settings(use_similarity=False, use_constraints=False, use_mmr=False, min_learned_confidence=2.0)
+    capped = catalog_items(items(spark, d), "item", only_content, spec={f: ColumnSpec("numeric") for f in FEATURES}, rules={})
+    return recommend(importance(spark, d), ratings(spark, d), capped, MAPPING, only_content).select(
+        "user_id", "rank", "item", r6("score")
+    )
+
+
 _HELD = "(user_id * 31 + item) % 5 = 0"
 
 
