@@ -60,12 +60,12 @@ def salted(rows: DataFrame, small: DataFrame, keys: list[str], by: Column, salts
 
 
 @contextmanager
-def tidy(spark: SparkSession) -> Iterator[None]:
+def tidy(spark: SparkSession, more: dict[str, str] | None = None) -> Iterator[None]:
     """Shuffle files go as soon as the query that made them ends, and Arrow batches are small, since rows hold whole texts."""
     held = {
         "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
         "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
-    }
+    } | (more or {})
     before = {key: spark.conf.get(key) for key in held}
     for key, value in held.items():
         spark.conf.set(key, value)
@@ -76,7 +76,7 @@ def tidy(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(key, value)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """A table written to the shared folder and read back; the shuffles on the way leave no files."""
-    with tidy(df.sparkSession):
+def stored(df: DataFrame, name: str, batch: str | None = None) -> DataFrame:
+    """A table written to the shared folder and read back; the shuffles on the way leave no files. `batch` bounds the bytes of an Arrow batch."""
+    with tidy(df.sparkSession, {"spark.sql.execution.arrow.maxBytesPerBatch": batch} if batch else None):
         return store(df, name)

@@ -17,7 +17,7 @@ components grow by accepted pairs. When hubs give nothing more, the buckets that
 components are dealt out into cells of two shards. A cell compares the signatures of all its pairs of
 different components, each pair in the least bucket it shares; rounds first try the likeliest pair
 of two components in a cell, until none is accepted, and at last all pairs. Counts and hubs are
-aggregates, joins with hot buckets and classes are salted, and components are labels propagated in
+aggregates, adaptive execution splits the joins with hot buckets and classes, and components are labels propagated in
 Spark; nothing about all documents reaches the driver.
 
 Null texts count as empty. Texts without words are in one class only if they are equal. Repeated
@@ -35,7 +35,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from rankflow.llm.common import by_batch, fresh, salted, stored
+from rankflow.llm.common import by_batch, fresh, stored
 from rankflow.llm.decontaminate import words_of
 
 SHINGLE, LEAST = 5, 0.8
@@ -216,27 +216,45 @@ def check(pairs: DataFrame, table: DataFrame, least: float) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label): the least node of each connected component; labels spread along edges and jump along labels."""
+    """(node, label): the least node of each connected component; labels spread along edges and jump along labels.
+
+    The joins are on plain keys, one row a key on the side of the labels: adaptive execution splits what
+    is hot, and nothing is copied for keys that are not.
+    """
     both = stored(edges.unionAll(edges.select("b", "a")).toDF("node", "near").distinct(), "edges")
     labels = stored(both.groupBy("node").agg(F.least("node", F.min("near")).alias("label")), "labels")
     while True:
-        seen = salted(both, labels.toDF("near", "l"), ["near"], F.col("node"), 16).groupBy("node").agg(F.min("l").alias("l"))
+        seen = both.join(labels.toDF("near", "l"), "near").groupBy("node").agg(F.min("l").alias("l"))
         least = labels.join(seen, "node").select("node", F.least("label", "l").alias("label"), F.col("label").alias("old"))
         jump = least.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        after = salted(least, jump, ["label"], F.col("node"), 16).select("node", F.coalesce("next", "label").alias("label"), "old")
+        after = least.join(jump, "label", "left").select("node", F.coalesce("next", "label").alias("label"), "old")
         after = stored(after, "labels")
         labels = after.drop("old")
         if after.where("label != old").isEmpty():
             return labels
 
 
+def grown(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """(node, label) after new edges (a, b): known components are single nodes of what is left to connect."""
+    if labels is None:
+        return components(edges)
+    heads = edges
+    for side in ("a", "b"):
+        known = labels.select(F.col("node").alias(side), F.col("label").alias("_l"))
+        heads = heads.join(known, side, "left").withColumn(side, F.coalesce("_l", side)).drop("_l")
+    joined = components(heads.where("a != b").select("a", "b").distinct())
+    over = labels.join(joined.select(F.col("node").alias("label"), F.col("label").alias("_next")), "label", "left")
+    old = over.select("node", F.coalesce("_next", "label").alias("label"))
+    return stored(old.unionAll(joined.join(labels.select("node"), "node", "left_anti").select("node", "label")), "labels")
+
+
 def hub_pairs(placed: DataFrame) -> DataFrame:
     """(a, b): of each bucket's components a member against the most central one, another against one fixed by hash."""
     order = F.struct("score", "node")
     heads = placed.groupBy("bucket", "label").agg(F.max(order).alias("head"), F.max(F.struct(F.xxhash64("node"), "node")).alias("other"))
     heads = stored(heads.select("bucket", "head", "other"), "heads")
     hubs = heads.groupBy("bucket").agg(F.max("head").alias("hub"), F.max("other").alias("hub2"), F.count("*").alias("n")).where("n > 1").drop("n")
-    met = salted(heads, hubs, ["bucket"], F.col("head.node"), 16, "inner")
+    met = heads.join(hubs, "bucket")
     pair = lambda x, y: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     pairs = met.select(F.explode(F.array(pair(F.col("head.node"), F.col("hub.node")), pair(F.col("other.node"), F.col("hub2.node")))).alias("p"))
     return pairs.select("p.a", "p.b").where("a != b").distinct()
@@ -281,7 +299,7 @@ def open_pairs(placed: DataFrame, signed: DataFrame, least: float, likeliest: bo
         "bucket", F.when(large, F.col("main.label")).alias("main"), F.when(large, shards(F.col("main.n"))).otherwise(0).alias("n_main"),
         F.when(large, shards(F.col("n") - F.col("main.n"))).otherwise(1).alias("n_rest"),
     )
-    rows = salted(placed.select("node", "bucket", "label"), stored(split, "contested"), ["bucket"], F.col("node"), 16, "inner")
+    rows = placed.select("node", "bucket", "label").join(stored(split, "contested"), "bucket")
     inner = F.coalesce(F.col("label") == F.col("main"), F.lit(False))
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("node", "bucket"), F.when(inner, F.col("n_main")).otherwise(F.col("n_rest"))).cast("int"))
     to = lambda n, i, j: F.expr(f"transform(filter(sequence(0, {n}), k -> k < {n}), k -> struct(int({i}) AS i, int({j}) AS j))")
@@ -322,7 +340,7 @@ def classes(documents: DataFrame, least: float = LEAST) -> DataFrame:
     reps = sketched.select("row", F.col("node").alias("its"), "size", "signature", "bands").join(first.select("row", "node"), "row").where("its = node")
     banded = reps.select("node", F.explode("bands").alias("bucket")).distinct()
     sizes = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    members = stored(salted(banded, sizes, ["bucket"], F.col("node"), 16, "inner"), "members")
+    members = stored(banded.join(sizes, "bucket"), "members")
     scores = members.groupBy("node").agg(F.sum("n").alias("score"))
     members = stored(members.select("node", "bucket").join(scores, "node"), "members")
     wanted = first.select("row", "node").join(scores.select("node"), "node", "left_semi")
@@ -336,18 +354,18 @@ def classes(documents: DataFrame, least: float = LEAST) -> DataFrame:
         pairs = open_pairs(placed, signed, least, step == 1) if step else hub_pairs(placed)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        checked = stored(check(pairs, table, least), "checked")
+        checked = stored(check(pairs, table, least), "checked", "8m")  # a pair brings the elements of both texts
         tried = checked if tried is None else tried.unionAll(checked)
         none = checked.where("good").isEmpty()
         if not none:
-            labels = components(tried.where("good").select("a", "b"))
+            labels = grown(labels, checked.where("good").select("a", "b"))
         step += none or step == 2
     named = first.select("node", "doc_id", F.col("node").alias("label"))
     if labels is not None:
         named = first.join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
     ids = named.groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    per_node = salted(named.drop("doc_id"), ids, ["label"], F.col("node"), 16)
-    return salted(sketched.select("row", "mark", "doc_id", "node"), per_node, ["node"], F.col("row"))
+    per_node = named.drop("doc_id").join(ids, "label", "left")
+    return sketched.select("row", "mark", "doc_id", "node").join(per_node, "node", "left")
 
 
 def keep_one(documents: DataFrame, least: float = LEAST) -> DataFrame:
