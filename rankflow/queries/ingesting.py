@@ -9,6 +9,7 @@ from rankflow.operators import match, merge
 from rankflow.plans.ingest import ingest, ingest_report
 from rankflow.queries.data import BASE, MAPPING, RAW_SQL, importance, r6, ratings, raw_items, table
 from rankflow.session import new_folder, store
+from rankflow.sources.buckets import read_buckets, upsert_buckets
 from rankflow.sources import requests, warehouse
 from rankflow.sources.csv_folder import open_folder, validate_folder
 
@@ -379,3 +380,19 @@ def warehouse_round_trip(spark, d):
     warehouse.write_table(rows.withColumn("s_acctbal", F.lit(0.0)), path)
     warehouse.write_table(rows, path)
     return warehouse.read_table(spark, path)
+
+
+@query(
+    "upsert_buckets",
+    """SELECT c_custkey AS user_id, coalesce(v, c_acctbal) AS last_value FROM customer LEFT JOIN (
+      SELECT user_id, arg_max(value, event_id) AS v FROM events GROUP BY user_id) e ON user_id = c_custkey
+    UNION ALL SELECT user_id, arg_max(value, event_id) FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer) GROUP BY user_id""",
+)
+def upsert_in_buckets(spark, d):
+    """A table stored in buckets of users, events upserted into the buckets they touch, and read back."""
+    path = new_folder(spark, "buckets")
+    old = table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_acctbal").alias("last_value"))
+    new = table(spark, d, "events").select("user_id", F.col("value").alias("last_value"), F.col("event_id").alias("_seq"))
+    upsert_buckets(old, path, "user_id")
+    upsert_buckets(new, path, "user_id")
+    return read_buckets(spark, path)

@@ -1,7 +1,8 @@
 """Profiles that absorb a stream of ratings.
 
 The stream is reduced to the additive sums per user; state is one row of sums per user, not the
-ratings. Repeated deliveries of a rating id are dropped within the watermark.
+ratings, in hash buckets of users: a micro-batch reads and rewrites the buckets of its users only.
+Repeated deliveries of a rating id are dropped within the watermark.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from rankflow.config import Settings
 from rankflow.operators.profile import add_sums, rating_sums
-from rankflow.sources.warehouse import read_table, write_table
+from rankflow.sources.buckets import BUCKETS, last_mark, read_buckets, upsert_buckets
 
 DEFAULTS = Settings()
 
@@ -22,23 +23,20 @@ def fresh_ratings(stream: DataFrame, event_time: str = "ts", late: str = "1 day"
 
 def refresh_profiles(
     stream: DataFrame, items: DataFrame, features: list[str], table: str, checkpoint: str,
-    settings: Settings = DEFAULTS, event_time: str = "ts", late: str = "1 day",
+    settings: Settings = DEFAULTS, event_time: str = "ts", late: str = "1 day", buckets: int = BUCKETS,
 ) -> StreamingQuery:
     """Adds each micro-batch's sums to the stored sums; `items` is a stored table with `z_<f>`.
 
-    The stored row carries the last batch number, so a batch that is delivered again after a
-    failure is not added twice.
+    The table's mark is the last batch number, so a batch that is delivered again after a failure is
+    not added twice; one that failed half-way left no version and is added whole.
     """
 
     def absorb(batch: DataFrame, number: int) -> None:
-        new = rating_sums(batch, items, features, settings)
         path = f"{table}/sums"
-        stored = read_table(batch.sparkSession, path)
-        if stored is not None:
-            if not stored.where(f"_batch >= {number}").isEmpty():
-                return
-            new = add_sums(stored.drop("_batch"), new, features)
-        write_table(new.selectExpr("*", f"{number}L AS _batch"), path)
+        done = last_mark(batch.sparkSession, path)
+        if done is None or done < number:
+            new = rating_sums(batch, items, features, settings)
+            upsert_buckets(new, path, "user_id", buckets, number, lambda old, more: add_sums(old, more, features))
 
     return (
         fresh_ratings(stream, event_time, late)
@@ -51,4 +49,4 @@ def refresh_profiles(
 
 
 def stored_sums(spark, table: str) -> DataFrame:
-    return read_table(spark, f"{table}/sums").drop("_batch")
+    return read_buckets(spark, f"{table}/sums")

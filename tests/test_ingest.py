@@ -10,6 +10,7 @@ from rankflow.operators.match import close_names
 from rankflow.operators.scale import z_scores
 from rankflow.sources.csv_folder import discover, open_folder, read_csv, validate_folder
 from rankflow.sources.reports import save_report
+from rankflow.sources.buckets import last_mark, read_buckets, upsert_buckets
 from rankflow.sources.warehouse import read_table, write_table
 from rankflow.streaming.refresh import refresh_profiles, stored_sums
 
@@ -75,6 +76,37 @@ def test_stream_of_ratings_gives_the_batch_sums(spark, tmp_path):
     for r in want.collect():
         assert got[r.user_id].n == r.n and abs(got[r.user_id].syy - r.syy) < 1e-9
         assert all(abs(a - b) < 1e-9 for a, b in zip(got[r.user_id].sxx, r.sxx))
+    # a batch of one user rewrites that user's bucket; one more run over the same files changes nothing
+    (source / "2.json").write_text(json.dumps(rows[0] | {"rating_id": 99, "ts": "2024-01-01 01:00:00"}))
+    for _ in range(2):
+        stream = spark.readStream.schema(schema).json(str(source))
+        refresh_profiles(stream, items, features, str(tmp_path / "t"), str(tmp_path / "c")).awaitTermination()
+    after = {r.user_id: r for r in stored_sums(spark, str(tmp_path / "t")).collect()}
+    assert {u: after[u].n - got[u].n for u in got} == {0: 1, 1: 0, 2: 0}
+    last = max((tmp_path / "t" / "sums" / "data").glob("write=*"), key=lambda f: int(f.name[6:]))
+    assert len(list(last.glob("bucket=*"))) == 1
+
+
+def test_upsert_rewrites_only_touched_buckets(spark, tmp_path):
+    path = str(tmp_path / "t")
+    assert read_buckets(spark, path) is None and last_mark(spark, path) is None
+    rows = spark.createDataFrame([(i, i * 10) for i in range(100)] + [(None, -1)], "id long, v long")
+    assert upsert_buckets(rows.where("false"), path, "id", buckets=16) == [] and read_buckets(spark, path).count() == 0
+    assert len(upsert_buckets(rows, path, "id", mark=4)) == 16 and last_mark(spark, path) == 4
+    before = read_buckets(spark, path)
+    new = spark.createDataFrame([(7, 1, 1), (7, 2, 2), (7, 0, 0)], "id int, v long, _seq long")
+    touched = upsert_buckets(new, path, "id", mark=5)
+    assert len(touched) == 1 and last_mark(spark, path) == 5
+    folders = list((tmp_path / "t" / "data" / "write=3").glob("bucket=*"))
+    assert [f.name for f in folders] == [f"bucket={touched[0]}"]
+    want = {i: i * 10 for i in range(100)} | {None: -1}
+    assert {r.id: r.v for r in before.collect()} == want  # a reader of the old version is not disturbed
+    assert {r.id: r.v for r in read_buckets(spark, path).collect()} == want | {7: 2}
+    # what a failed write left behind is no version
+    before.write.parquet(f"{path}/data/write=4/bucket={touched[0]}")
+    assert read_buckets(spark, path).count() == 101
+    assert upsert_buckets(new.withColumn("v", F.lit(9).cast("long")), path, "id") == touched
+    assert {r.id: r.v for r in read_buckets(spark, path).collect()} == want | {7: 9} and last_mark(spark, path) == 5
 
 
 def test_versions(spark, tmp_path):

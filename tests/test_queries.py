@@ -8,7 +8,7 @@ from rankflow.queries import all_queries, all_sql
 FOLDER = "/root/testdata/sf0.001"
 NAMES = [
     "numeric_profile", "impute_most_frequent", "forward_fill", "winsor_scale", "treat_outliers", "business_rules",
-    "fuzzy_edit_match", "close_names", "outer_merge", "merge_steps", "upsert", "request_ratings", "stated_weights",
+    "fuzzy_edit_match", "close_names", "outer_merge", "merge_steps", "upsert", "upsert_buckets", "request_ratings", "stated_weights",
     "content_top_n", "similarity_euclidean", "hybrid_scores", "constraint_relaxation",
 ]
 
