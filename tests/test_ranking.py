@@ -172,3 +172,15 @@ def test_learning_needs_no_python(spark):
     ratings = spark.createDataFrame([("u", "i001", 3.0)], "user_id string, item string, rating double")
     plan = profile.learned_weights(profile.rating_sums(ratings, items, FEATURES), FEATURES)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_sums_are_kept_per_placed_user(spark):
+    """One shuffle by user in front of the sums, none behind: no task holds sums of users it does not own."""
+    _, items = catalog(spark)
+    rows = [(f"u{i % 7}", f"i{i % 30:03d}", 1.0 + i % 5) for i in range(100)] + [(None, "i001", 3.0), ("u1", "nowhere", 2.0)]
+    sums = profile.rating_sums(spark.createDataFrame(rows, "user_id string, item string, rating double"), items, FEATURES)
+    plan = sums._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(user_id" in plan and "REPARTITION_BY_NUM" in plan
+    assert plan.index("HashAggregate") < plan.index("REPARTITION_BY_NUM") and "ENSURE_REQUIREMENTS" not in plan[: plan.index("REPARTITION_BY_NUM")]
+    got = {r.user_id: (r.n_given, r.n) for r in sums.collect()}
+    assert got["u1"] == (16, 15) and got[None] == (1, 1) and len(got) == 8
