@@ -3,7 +3,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from rankflow.config import Settings
-from rankflow.functions.blocks import place
+from rankflow.functions import cells as cells_module
+from rankflow.functions.blocks import meet_rows, place, rated_cells
 from rankflow.operators import diversify, profile, scoring
 from rankflow.operators.constrain import pack_thresholds, pack_values, relax, thresholds_of
 from rankflow.plans.recommend import recommend
@@ -184,3 +185,51 @@ def test_sums_are_kept_per_placed_user(spark):
     assert plan.index("HashAggregate") < plan.index("REPARTITION_BY_NUM") and "ENSURE_REQUIREMENTS" not in plan[: plan.index("REPARTITION_BY_NUM")]
     got = {r.user_id: (r.n_given, r.n) for r in sums.collect()}
     assert got["u1"] == (16, 15) and got[None] == (1, 1) and len(got) == 8
+
+
+def uneven(spark, users=9, items=60):
+    """Items with equal rows, missing values and a repeated key; users with ratings, thresholds and shares."""
+    rng = np.random.default_rng(5)
+    rows = [(k, *[None if v < 0.1 else round(float(v), 1) for v in rng.random(3)]) for k in range(items)]
+    rows += [(3, 0.9, 0.9, 0.9), (None, 0.8, 0.8, 0.8), *[(100 + k, *rows[k][1:]) for k in range(10)]]
+    table = spark.createDataFrame(rows, "item long, a_rate double, b_rate double, c_rate double")
+    weights = [(i, *map(float, rng.random(3))) for i in range(users)] + [(None, 0.1, 0.2, 0.3), (77, 0.0, 0.0, 0.0)]
+    state = spark.createDataFrame(weights, "user_id long, weight_a_rate double, weight_b_rate double, weight_c_rate double")
+    state = state.selectExpr(
+        "*", *[f"IF(user_id % 3 = 0, double(NULL), round(weight_{f} - 0.5, 1)) AS proto_{f}" for f in FEATURES],
+        "0.6D AS content_weight", "IF(user_id % 3 = 0, 0D, 0.4D) AS similarity_weight",
+        *[f"IF(user_id % 4 = {i}, 0.5D, NULL) AS t_{f}" for i, f in enumerate(FEATURES)], *[f"1 AS place_{f}" for f in FEATURES],
+    )
+    state = pack_thresholds(state.withColumn("_u", scoring.pack_weights(FEATURES, True)), FEATURES).select("user_id", "_u", "_t", "_place")
+    ratings = spark.createDataFrame([(u, int(i)) for u in range(users) for i in rng.integers(0, 110, 12)], "user_id long, item long")
+    return place(state), pack_values(scoring.catalog_of(table, FEATURES), FEATURES), rated_cells(state, ratings)
+
+
+@pytest.mark.parametrize("block", [16384, 20])
+def test_cells_rank_like_sql(spark, monkeypatch, block):
+    """Whole cells give the rows that SQL gives, and no row for a pair is made."""
+    monkeypatch.setattr(cells_module, "ITEMS", block)
+    users, items, cells = uneven(spark)
+    wanted = f"{scoring.UNRATED} AND {scoring.passes_sql(FEATURES)}"
+    for score in (scoring.score_sql(FEATURES), scoring.content_sql(FEATURES)):
+        got = scoring.top_pairs(users, items, score, 4, wanted, cells=cells)
+        assert "FlatMapCoGroupsInArrow" in got._jdf.queryExecution().executedPlan().toString()
+        pairs = meet_rows(users, items, "item", cells).where(wanted).selectExpr("user_id", "item", f"{score} AS score")
+        want = scoring.top_items(pairs, 4).select("user_id", "rank", "score").orderBy("user_id", "rank").collect()
+        assert got.select("user_id", "rank", "score").orderBy("user_id", "rank").collect() == want
+        same = ["user_id", "rank", "item"]
+        once = scoring.top_items(pairs.where("item <> 3"), 4).orderBy(same).select(same).collect()
+        again = scoring.top_pairs(users, items.where("item <> 3"), score, 4, wanted, cells=cells).orderBy(same).select(same).collect()
+        assert once == again
+
+
+@pytest.mark.parametrize("block", [16384, 20])
+def test_spread_in_cells_equals_sql(spark, monkeypatch, block):
+    monkeypatch.setattr(cells_module, "ITEMS", block)
+    users, items, _ = uneven(spark)
+    parts = scoring.variances(users, items, ["content", "cosine", "hybrid"], ["vc", "vs", "v"])
+    assert "FlatMapCoGroupsInArrow" in parts._jdf.queryExecution().executedPlan().toString()
+    sql = {"vc": scoring.content_sql(FEATURES), "vs": scoring.cosine_sql(FEATURES), "v": scoring.score_sql(FEATURES)}
+    want = meet_rows(users.where("user_id IS NOT NULL"), items, "item").groupBy("user_id").agg(*[F.expr(f"var_pop({e}) AS {n}") for n, e in sql.items()])
+    a, b = (d.toPandas().set_index("user_id").sort_index() for d in (parts, want))
+    assert np.allclose(a[b.columns], b, atol=1e-12) and ((a == 0) == (b == 0)).all().all()
