@@ -233,3 +233,17 @@ def test_spread_in_cells_equals_sql(spark, monkeypatch, block):
     want = meet_rows(users.where("user_id IS NOT NULL"), items, "item").groupBy("user_id").agg(*[F.expr(f"var_pop({e}) AS {n}") for n, e in sql.items()])
     a, b = (d.toPandas().set_index("user_id").sort_index() for d in (parts, want))
     assert np.allclose(a[b.columns], b, atol=1e-12) and ((a == 0) == (b == 0)).all().all()
+
+
+@pytest.mark.parametrize("block", [16384, 40])
+def test_picks_in_cells_equal_those_of_sql(spark, monkeypatch, block):
+    monkeypatch.setattr(cells_module, "ITEMS", block)
+    monkeypatch.setattr(diversify, "KEPT", 2)
+    monkeypatch.setattr(diversify, "SAMPLE", 30)
+    users, items, cells = uneven(spark, items=120)
+    items = items.where("item IS NOT NULL AND item <> 3")
+    score, wanted = scoring.score_sql(FEATURES), f"{scoring.UNRATED} AND {scoring.passes_sql(FEATURES)}"
+    got = diversify.mmr_over_catalog(users, items, FEATURES, score, wanted, cells=cells)
+    want = diversify.mmr_over_catalog(users, items, FEATURES, score, f"({wanted})", cells=cells)
+    a, b = (d.toPandas().sort_values(["user_id", "rank"]).reset_index(drop=True) for d in (got, want))
+    assert a["item"].tolist() == b["item"].tolist() and np.allclose(a["score"], b["score"], atol=1e-12) and len(a) > 20
