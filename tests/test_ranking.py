@@ -247,3 +247,11 @@ def test_picks_in_cells_equal_those_of_sql(spark, monkeypatch, block):
     want = diversify.mmr_over_catalog(users, items, FEATURES, score, f"({wanted})", cells=cells)
     a, b = (d.toPandas().sort_values(["user_id", "rank"]).reset_index(drop=True) for d in (got, want))
     assert a["item"].tolist() == b["item"].tolist() and np.allclose(a["score"], b["score"], atol=1e-12) and len(a) > 20
+
+
+def test_analysis_passes_the_catalog_once(spark):
+    users, items, _ = uneven(spark)
+    best = scoring.top_pairs(users, items, scoring.content_sql(FEATURES), 5).join(items.where("item > 3").select("item", *FEATURES), "item")
+    out = diversify.diversity_analysis(best, FEATURES)
+    assert "FlatMapCoGroupsInArrow" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {r.user_id for r in out.collect()} <= {*range(9), 77}
