@@ -13,11 +13,11 @@ signature values share a bucket. No bucket emits its pairs: each component with
 tried, by its most central member, against the bucket's most central member (the node whose
 buckets hold most nodes: the text that others were copied from) and against a second one fixed by
 hash. Tried pairs are checked exactly (similarity of the shingle multisets at least `LEAST`);
-components grow by accepted pairs. When hubs give nothing more, the buckets that still hold several
-components are dealt out into cells of two shards. A cell compares the signatures of all its pairs of
-different components, each pair in the least bucket it shares; rounds first try the likeliest pair
-of two components in a cell, until none is accepted, and at last all pairs. Counts and hubs are
-aggregates, adaptive execution splits the joins with hot buckets and classes, and components are labels propagated in
+components grow by accepted pairs. Between rounds, buckets of one component or two nodes drop out. When hubs
+give nothing more, the buckets left are dealt out into cells of two shards. A cell compares the
+signatures of all its pairs of different components, each pair in the least bucket it shares; what
+may be similar is checked exactly inside the cell, on the elements of the members concerned, and only
+links that connect components leave it, so rows never grow with the pairs. Counts and hubs are aggregates, adaptive execution splits the joins with hot buckets and classes, and components are labels propagated in
 Spark; nothing about all documents reaches the driver.
 
 Null texts count as empty. Texts without words are in one class only if they are equal. Repeated
@@ -28,7 +28,7 @@ class_id. Empty tables give empty results.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +46,8 @@ SIZE = BANDS * ROWS
 SHARD = 64
 #: Signature values that a pair must agree in to be checked after the hubs: at 0.8 fewer agree with probability 2e-10.
 AGREE = 66
+#: Different elements of a cell compared at a time.
+COLUMNS = 4096
 #: Texts sketched at a time.
 TOGETHER = 1000
 
@@ -260,13 +262,11 @@ def hub_pairs(placed: DataFrame) -> DataFrame:
     return pairs.select("p.a", "p.b").where("a != b").distinct()
 
 
-def cell_pairs(cell: list[tuple], least: float, likeliest: bool) -> list[tuple[bytes, bytes]]:
-    """Pairs of a cell (rows of bucket, i, j, side, node, label, size, signature) that may be similar enough."""
+def cell_pairs(cell: list[tuple], least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of pairs of a cell (rows of bucket, i, j, side, node, label, size, signature) that may be similar enough, and how many values agree."""
     bucket, i, j = cell[0][:3]
-    _, _, _, side, nodes, label, size, signed = zip(*cell, strict=True)
-    side, size = np.array(side), np.array(size)
-    number: dict[bytes, int] = {}
-    label = np.array([number.setdefault(x, len(number)) for x in label])
+    _, _, _, side, _, label, size, signed = zip(*cell, strict=True)
+    side, size, label = np.array(side), np.array(size), _numbers(label)
     signature = np.frombuffer(b"".join(signed), np.uint32).reshape(-1, SIZE)
     bands = bands_of(signature)
     a, b = np.triu_indices(len(cell), 1)
@@ -276,7 +276,18 @@ def cell_pairs(cell: list[tuple], least: float, likeliest: bool) -> list[tuple[b
     shared = np.where(bands[a] == bands[b], bands[a], np.iinfo(np.int64).max).min(axis=1)
     a, b = a[shared == bucket], b[shared == bucket]
     agree = (signature[a] == signature[b]).sum(axis=1)
-    a, b, agree = a[agree >= AGREE], b[agree >= AGREE], agree[agree >= AGREE]
+    return a[agree >= AGREE], b[agree >= AGREE], agree[agree >= AGREE]
+
+
+def _numbers(labels: Iterable[bytes]) -> np.ndarray:
+    number: dict[bytes, int] = {}
+    return np.array([number.setdefault(x, len(number)) for x in labels])
+
+
+def named_pairs(cell: list[tuple], least: float, likeliest: bool) -> list[tuple[bytes, bytes]]:
+    """(a, b): nodes of the pairs of a cell, all or the likeliest of each two components."""
+    a, b, agree = cell_pairs(cell, least)
+    nodes, label = [row[4] for row in cell], _numbers(row[5] for row in cell)
     if likeliest:
         x, y = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
         order = np.argsort(-agree, kind="stable")
@@ -285,8 +296,67 @@ def cell_pairs(cell: list[tuple], least: float, likeliest: bool) -> list[tuple[b
     return [tuple(sorted((nodes[x], nodes[y]))) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
 
 
-def open_pairs(placed: DataFrame, signed: DataFrame, least: float, likeliest: bool) -> DataFrame:
-    """(a, b): pairs of different components in a bucket, all or the likeliest of each two components in a cell.
+def cell_mates(cell: list[tuple], least: float) -> list[tuple]:
+    """(bucket, i, j, place, node, label, mates) of the members that have pairs; mates is a bit for each later place."""
+    a, b, _ = cell_pairs(cell, least)
+    met = np.zeros((len(cell), len(cell)), dtype=bool)
+    met[a, b] = True
+    bits = np.packbits(met, axis=1)
+    return [(*cell[k][:3], k, *cell[k][4:6], bits[k].tobytes()) for k in np.flatnonzero(met.any(axis=0) | met.any(axis=1)).tolist()]
+
+
+def overlaps(keys: list[np.ndarray], weights: list[np.ndarray]) -> np.ndarray:
+    """What the elements of each two texts have in common (sum of the lesser weights), by products of 0-1 matrices for each step of weight."""
+    n = len(keys)
+    owner = np.repeat(np.arange(n), [len(k) for k in keys])
+    _, column, held = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+    weight = np.concatenate(weights).astype(np.int64)
+    order = np.argsort(column, kind="stable")
+    order = order[held[column[order]] > 1]
+    owner, column, weight = owner[order], column[order], weight[order]
+    out = np.zeros((n, n), dtype=np.int64)
+    below = 0
+    for level in np.unique(weight).tolist():
+        live = weight >= level
+        owner, column, weight = owner[live], column[live], weight[live]
+        dense = np.cumsum(np.r_[False, column[1:] != column[:-1]])
+        last = int(dense[-1]) + 1
+        for at in range(0, last, COLUMNS):
+            here = slice(*np.searchsorted(dense, [at, at + COLUMNS]))
+            held_by = np.zeros((n, min(COLUMNS, last - at)), dtype=np.float32)
+            held_by[owner[here], dense[here] - at] = 1
+            out += (level - below) * (held_by @ held_by.T).astype(np.int64)
+        below = level
+    return out
+
+
+def cell_links(cell: list[tuple], least: float) -> list[tuple[bytes, bytes]]:
+    """Links that connect what the similar pairs of a cell (rows of bucket, i, j, place, node, label, mates, keys, weights) connect."""
+    cell = list({row[3]: row for row in cell}.values())
+    _, _, _, place, nodes, label, mates, keys, weights = zip(*cell, strict=True)
+    keys, weights = [np.frombuffer(k, np.uint64) for k in keys], [np.frombuffer(w, np.uint32) for w in weights]
+    met = np.unpackbits(np.frombuffer(b"".join(mates), np.uint8).reshape(len(cell), -1), axis=1)[:, list(place)].astype(bool)
+    shared, size = overlaps(keys, weights), np.array([int(w.sum()) for w in weights])
+    good = met & (shared / np.maximum(size[:, None] + size - shared, 1) >= least - 1e-12)
+    up = list(range(len(cell)))
+
+    def find(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    made, label = [], _numbers(label).tolist()
+    for a, b in np.argwhere(good).tolist():
+        x, y = find(label[a]), find(label[b])
+        if x != y:
+            up[x] = y
+            made.append(tuple(sorted((nodes[a], nodes[b]))))
+    return made
+
+
+def open_cells(placed: DataFrame, signed: DataFrame) -> DataFrame:
+    """(bucket, i, j, side, node, label, size, signature): members of buckets with several components, dealt out into cells.
 
     Buckets of two nodes are left out: hubs have tried these. In a large bucket the greatest component is
     shards of its own, which meet the shards of the others but not one another.
@@ -306,30 +376,62 @@ def open_pairs(placed: DataFrame, signed: DataFrame, least: float, likeliest: bo
     met = F.concat(to("n_main", "shard", "k"), to("n_rest", "least(shard, k)", "-1 - greatest(shard, k)"))
     rows = rows.withColumns({"cells": F.when(inner, to("n_rest", "k", "shard")).otherwise(met), "side": F.when(inner, -1).otherwise(F.col("shard"))})
     cells = rows.join(signed, "node").withColumn("cell", F.explode("cells"))
-    cells = cells.select("bucket", "cell.i", "cell.j", "side", "node", "label", "size", "signature")
+    return cells.select("bucket", "cell.i", "cell.j", "side", "node", "label", "size", "signature")
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def by_cell(cells: DataFrame, work: Callable[[list[tuple]], list[tuple]], schema: pa.Schema, told: str) -> DataFrame:
+    """The rows that `work` makes of each cell (the rows of one bucket, i, j)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell: list[tuple] = []
-        made: list[tuple[bytes, bytes]] = []
+        made: list[tuple] = []
 
-        def pairs() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array([p[k] for p in made], pa.binary()) for k in (0, 1)], ["a", "b"])
+        def rows() -> pa.RecordBatch:
+            columns = zip(*made, strict=True) if made else [()] * len(schema)
+            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema.names)
             made.clear()
             return out
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if cell and cell[0][:3] != row[:3]:
-                    made += cell_pairs(cell, least, likeliest)
+                    made += work(cell)
                     cell.clear()
                     if len(made) > 10_000:
-                        yield pairs()
+                        yield rows()
                 cell.append(row)
         if cell:
-            made += cell_pairs(cell, least, likeliest)
-        yield pairs()
+            made += work(cell)
+        yield rows()
+
+    return cells.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(run, told)
+
+
+_PAIR = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+_MATE = pa.schema([("bucket", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("place", pa.int32()), ("node", pa.binary()), ("label", pa.binary()), ("mates", pa.binary())])
+
+
+def open_pairs(placed: DataFrame, signed: DataFrame, least: float, likeliest: bool) -> DataFrame:
+    """(a, b): pairs of different components in a bucket, all or the likeliest of each two components in a cell."""
+    return by_cell(open_cells(placed, signed), lambda cell: named_pairs(cell, least, likeliest), _PAIR, "a binary, b binary")
+
+
+def open_links(placed: DataFrame, signed: DataFrame, table: DataFrame, least: float) -> DataFrame:
+    """(a, b): links among the components that share buckets, no more than a cell has members.
+
+    Of a cell whose signatures allow pairs, the members of such pairs get their elements; every pair is
+    checked there, and pairs are never rows. A cell's links connect what all its similar pairs connect.
+    """
+    mates = by_cell(open_cells(placed, signed), lambda cell: cell_mates(cell, least), _MATE, "bucket long, i int, j int, place int, node binary, label binary, mates binary")
+    met = stored(mates, "mates").join(table, "node")
+    met = met.select("bucket", "i", "j", "place", "node", "label", "mates", "keys", "weights")
+    return by_cell(met, lambda cell: cell_links(cell, least), _PAIR, "a binary, b binary")
+
 
-    return cells.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(work, "a binary, b binary")
+def contested(placed: DataFrame) -> DataFrame:
+    """Rows of the buckets that hold more than two nodes and several components; the others have nothing left to try."""
+    many = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("n > 2 AND low != high")
+    return placed.join(many.select("bucket"), "bucket", "left_semi")
 
 
 def classes(documents: DataFrame, least: float = LEAST) -> DataFrame:
@@ -337,7 +439,7 @@ def classes(documents: DataFrame, least: float = LEAST) -> DataFrame:
     sketched = stored(sketch(documents), "sketch")
     per_node = sketched.groupBy("node").agg(F.min("row").alias("row"), F.min("doc_id").alias("doc_id"))
     first = stored(per_node, "nodes")
-    reps = sketched.select("row", F.col("node").alias("its"), "size", "signature", "bands").join(first.select("row", "node"), "row").where("its = node")
+    reps = sketched.select("row", F.col("node").alias("its"), "bands").join(first.select("row", "node"), "row").where("its = node")
     banded = reps.select("node", F.explode("bands").alias("bucket")).distinct()
     sizes = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = stored(banded.join(sizes, "bucket"), "members")
@@ -345,21 +447,24 @@ def classes(documents: DataFrame, least: float = LEAST) -> DataFrame:
     members = stored(members.select("node", "bucket").join(scores, "node"), "members")
     wanted = first.select("row", "node").join(scores.select("node"), "node", "left_semi")
     table = stored(element_table(documents, wanted), "elements")
-    signed = stored(reps.select("node", "size", "signature").dropDuplicates(["node"]).join(scores.select("node"), "node", "left_semi"), "signed")
-    labels, tried, step = None, None, 0
-    while step < 3:  # hubs, then the likeliest pairs, then all
-        placed = members.withColumn("label", F.col("node"))
-        if labels is not None:
-            placed = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        pairs = open_pairs(placed, signed, least, step == 1) if step else hub_pairs(placed)
+    labels, tried = None, None
+    placed = members.withColumn("label", F.col("node"))
+    while True:  # hubs; what they leave is checked cell by cell
+        pairs = hub_pairs(placed)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         checked = stored(check(pairs, table, least), "checked", "8m")  # a pair brings the elements of both texts
+        if checked.where("good").isEmpty():
+            break
         tried = checked if tried is None else tried.unionAll(checked)
-        none = checked.where("good").isEmpty()
-        if not none:
-            labels = grown(labels, checked.where("good").select("a", "b"))
-        step += none or step == 2
+        labels = grown(labels, checked.where("good").select("a", "b"))
+        after = placed.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        placed = stored(contested(after), "members")
+    left = stored(contested(placed).select("node").distinct(), "left")
+    signed = sketched.select("node", "size", "signature").join(left, "node", "left_semi").dropDuplicates(["node"])
+    found = stored(open_links(placed, stored(signed, "signed"), table, least), "links", "8m")
+    if not found.isEmpty():
+        labels = grown(labels, found.distinct())
     named = first.select("node", "doc_id", F.col("node").alias("label"))
     if labels is not None:
         named = first.join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))

@@ -149,3 +149,32 @@ def test_cells_hold_each_pair_of_components_once(spark):
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 1000
     few = near.open_pairs(placed, signed, 0.8, True)
     assert {tuple(map(bytes, r)) for r in few.collect()} < want
+
+
+def test_overlaps_are_sums_of_the_lesser_weights():
+    rng = random.Random(6)
+    texts = [near.elements(np.array(rng.choices(range(9000), k=rng.choice([1, 40, 9000])) + [5] * k, dtype=np.uint64)) for k in range(12)]
+    got = near.overlaps([k for k, _ in texts], [w for _, w in texts])
+    sums = [sum((Counter(dict(zip(*map(np.ndarray.tolist, x)))) & Counter(dict(zip(*map(np.ndarray.tolist, y))))).values()) for x in texts for y in texts]
+    off = ~np.eye(12, dtype=bool)
+    assert (got[off] == np.array(sums).reshape(12, 12)[off]).all()
+
+
+def test_a_crowd_below_the_threshold_makes_no_row_a_pair(spark, monkeypatch):
+    rng = random.Random(8)
+    more = lambda n: [f"{rng.random()}"[2:] for _ in range(n)]
+    common = more(200)
+    texts = [common + more(30) for _ in range(200)]  # 0.77 of each other
+    texts += [[*texts[7][:-2], *more(2)], [*texts[90][:-1], *more(1)]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    tried, check = [], near.check
+
+    def counted(pairs, *rest):
+        tried.append(pairs.count())
+        return check(pairs, *rest)
+
+    monkeypatch.setattr(near, "check", counted)
+    frame = spark.createDataFrame([(i, t, "n", "l", 1) for i, t in rows], SCHEMA)
+    want, n = brute(rows)
+    assert n == 200 and sorted(map(tuple, near.digest(near.classes(frame)).collect())) == sorted(want)
+    assert sum(tried) < 20 * len(rows)  # all pairs are 100 times the rows
