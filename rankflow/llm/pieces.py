@@ -22,6 +22,7 @@ import os
 import re
 import struct
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -114,7 +115,7 @@ class Model:
         if self.kind == BPE:
             vocabulary = {p: i for i, (p, _, _) in enumerate(self.pieces)}
             unknown = self.pieces[self.unknown][0]
-            core = models.BPE(vocabulary, self.merges(), unk_token=unknown, fuse_unk=True, byte_fallback=self.byte_fallback)
+            core = models.BPE(vocabulary, self.merges(), unk_token=unknown, fuse_unk=True, byte_fallback=self.byte_fallback, cache_capacity=0)
         elif self.kind == UNIGRAM:
             core = models.Unigram([(p, s) for p, s, _ in self.pieces], self.unknown, self.byte_fallback)
         else:
@@ -141,10 +142,13 @@ def read_model(path: str = MODEL) -> bytes:
 class Codec:
     """A model's tokenizers; encodes lists of texts into one run of ids and the size of each text's part."""
 
-    def __init__(self, data: bytes):
-        model = Model(data)
-        self.whole = model.tokenizer()
-        self.words = model.tokenizer(dummy_prefix=False) if model.by_word() else None
+    def __init__(self, data: bytes, threads: int = 1):
+        self.model, self.threads = (model := Model(data)), threads
+        self.words = None
+        if model.by_word():
+            # spaces become the marker once a text, not once a word
+            self.words = model.tokenizer(dummy_prefix=False)
+            self.words.normalizer = None
         self.lead = " " if model.dummy_prefix else ""
         # bytes of each id; None where the library has to decide
         self.bytes = [
@@ -153,14 +157,18 @@ class Codec:
         ]
         self.own = sentencepiece.SentencePieceProcessor(model_proto=data)
 
+    @cached_property
+    def whole(self) -> Tokenizer:
+        return self.model.tokenizer()
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if self.words is None or any(MARK in t for t in texts):
             return _joined([e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)])
-        found = [WORD.findall(self.lead + t if t else t) for t in texts]
+        found = [WORD.findall((self.lead + t).replace(" ", MARK) if t else t) for t in texts]
         counts = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
         known = pa.array(itertools.chain.from_iterable(found), pa.string()).dictionary_encode()
         words = known.indices.to_numpy()
-        pieces, sizes = _joined([e.ids for e in self.words.encode_batch_fast(known.dictionary.to_pylist(), add_special_tokens=False)])
+        pieces, sizes = _joined(self.word_ids(known.dictionary.to_pylist()))
         long = sizes[words]  # pieces of each word of the texts
         begin = (np.cumsum(sizes) - sizes)[words]
         upto = np.cumsum(long)
@@ -168,6 +176,13 @@ class Codec:
         ends = np.r_[0, upto][np.cumsum(counts)]
         return ids, np.diff(ends, prepend=0)
 
+    def word_ids(self, words: list[str]) -> list[list[int]]:
+        """Of marked words; with one thread straight from the model, without the batch's records of offsets."""
+        if self.threads > 1:
+            return [e.ids for e in self.words.encode_batch_fast(words, add_special_tokens=False)]
+        tokenize = self.words.model.tokenize
+        return [[t.id for t in tokenize(w)] for w in words]
+
     def decode(self, lists: list[list[int]]) -> list[str]:
         """The pieces' bytes in a row; the library decodes what these are no whole text of (special ids, cut characters)."""
         out: list[str | None] = []
@@ -180,8 +195,8 @@ class Codec:
         return out
 
 
-#: A word with the spaces before it, or spaces at the end.
-WORD = re.compile(" *[^ ]+| +")
+#: A word with the markers before it, or markers at the end.
+WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
 def _joined(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -198,7 +213,7 @@ def _codec(data: bytes, threads: int) -> Codec:
     if key not in _ready:
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
-        _ready[key] = Codec(data)
+        _ready[key] = Codec(data, threads)
     return _ready[key]
 
 

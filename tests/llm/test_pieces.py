@@ -3,6 +3,7 @@
 import random
 import struct
 
+import numpy as np
 import pytest
 import sentencepiece
 from rankflow.llm import pieces as p
@@ -86,3 +87,15 @@ def test_frames(spark):
         assert (r.text == text) == (r.round_trip if text is not None else True) and r.round_trip == (p.MARK not in (text or ""))
         assert r.ids_2 is None if text is None else len(r.ids_2) == r.n_tokens_2
     assert p.encode(table.where("false")).count() == 0
+
+
+def test_words_need_no_normaliser_and_threads_change_nothing():
+    texts = TEXTS + random_texts("the  \n日é and") + ["", " ", "   ", "a  b   ", "\n \n"]
+    texts = [t for t in texts if p.MARK not in t]
+    own = sentencepiece.SentencePieceProcessor(model_file=p.MODEL)
+    for threads in (1, 2):
+        codec = p.Codec(p.read_model(), threads)
+        assert codec.words.normalizer is None and "whole" not in vars(codec)
+        ids, counts = codec.encode(texts)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == own.encode(texts)
+        assert "whole" not in vars(codec)  # built only where texts are encoded whole
