@@ -97,6 +97,14 @@ def test_pairs_meet_by_an_equi_join(spark):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
+def test_copies_of_the_catalog_are_not_broadcast(spark):
+    """The planner does not count the copies a catalog is sent in, so it would collect them all."""
+    _, items = catalog(spark)
+    users = spark.createDataFrame([(1, 0.1, 0.2, 0.7)], "user_id int, weight_a_rate double, weight_b_rate double, weight_c_rate double")
+    plan = scoring.content_scores(users, items, FEATURES)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "ShuffledHashJoin" in plan
+
+
 def test_relaxation_loosens_the_costliest_requirement(spark):
     x, items = catalog(spark, 40, seed=4)
     users = spark.createDataFrame(
