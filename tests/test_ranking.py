@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from rankflow.config import Settings
 from rankflow.functions import cells as cells_module
 from rankflow.functions.blocks import meet_rows, place, rated_cells
-from rankflow.operators import diversify, profile, scoring
+from rankflow.operators import constrain, diversify, profile, scoring
 from rankflow.operators.constrain import pack_thresholds, pack_values, relax, thresholds_of
 from rankflow.plans.recommend import recommend
 
@@ -257,6 +257,25 @@ def test_picks_in_cells_equal_those_of_sql(spark, monkeypatch, block):
     assert a["item"].tolist() == b["item"].tolist() and np.allclose(a["score"], b["score"], atol=1e-12) and len(a) > 20
 
 
+@pytest.mark.parametrize("block", [16384, 20, 4])
+def test_impact_in_cells_equals_sql(spark, monkeypatch, block):
+    """The exact percentile and what thresholds remove above it, without a row for a pair."""
+    monkeypatch.setattr(cells_module, "ITEMS", block)
+    users, items, cells = uneven(spark, items=90)
+    score, low = scoring.score_sql(FEATURES), constrain.MISSING
+    needed = users.where("user_id IS NOT NULL AND user_id % 4 < 3")
+    pairs = meet_rows(needed, items, "item", cells).where(scoring.UNRATED).selectExpr("*", f"{score} AS score")
+    cuts = pairs.groupBy("user_id").agg(F.expr("percentile(score, 0.75) AS _cut"))
+    fails = [F.expr(f"count_if(score >= _cut AND _g.g{i} < _t.t{i} AND _g.g{i} <> {low})").alias(f) for i, f in enumerate(FEATURES)]
+    want = {r.user_id: r for r in pairs.join(cuts, "user_id").groupBy("user_id").agg(F.max("_cut").alias("cut"), *fails).collect()}
+    exact = {r.user_id: r["_cut"] for r in constrain._cutoffs(needed, items, cells).select("user_id", "_cut").collect()}
+    assert exact.keys() == want.keys() and all(abs(exact[u] - r.cut) < 1e-15 for u, r in want.items())
+    got = constrain.constraint_impact(users, items, FEATURES, cells)
+    assert "FlatMapCoGroupsInArrow" in got._jdf.queryExecution().executedPlan().toString()
+    found = {(r.user_id, r.feature): r.impact for r in got.collect()}
+    assert found and found == {(u, f): want[u][f] for u, f in found} and any(found.values())
+
+
 def test_analysis_passes_the_catalog_once(spark):
     users, items, _ = uneven(spark)
     best = scoring.top_pairs(users, items, scoring.content_sql(FEATURES), 5).join(items.where("item > 3").select("item", *FEATURES), "item")
