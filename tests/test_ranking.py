@@ -282,3 +282,32 @@ def test_analysis_passes_the_catalog_once(spark):
     out = diversify.diversity_analysis(best, FEATURES)
     assert "FlatMapCoGroupsInArrow" not in out._jdf.queryExecution().executedPlan().toString()
     assert {r.user_id for r in out.collect()} <= {*range(9), 77}
+
+
+@pytest.mark.parametrize("wanted", [scoring.UNRATED, f"{scoring.UNRATED} AND (user_id % 2 = 0 OR item < 4)"])
+def test_picks_equal_those_of_the_candidate_table(spark, monkeypatch, wanted):
+    """Without a table of all pairs: repeated items, users with few candidates, directions and scores of the picks."""
+    monkeypatch.setattr(diversify, "LEADERS", 1)
+    users, items, cells = uneven(spark, items=120)
+    users = place(users.where("user_id IS NOT NULL"))
+    for catalog in (items.where("item IS NOT NULL"), items):
+        given = diversify.Candidates(users, catalog, scoring.score_sql(FEATURES), wanted, cells)
+        got = diversify.mmr(given, FEATURES)
+        want = diversify.mmr(given.rows(FEATURES), FEATURES)
+        assert got.columns == want.columns
+        a, b = (sorted(map(tuple, d.collect())) for d in (got, want))
+        assert len(a) == len(b) > 20 and [r[:3] for r in a] == [r[:3] for r in b]
+        assert np.allclose([r[3:] for r in a], [r[3:] for r in b], atol=1e-9)
+
+
+def test_too_few_different_items_end_the_search(spark, monkeypatch):
+    """Copies of three items: no floor brings a fourth."""
+    monkeypatch.setattr(diversify, "KEPT", 1)
+    rows = [(k % 3, float(k % 3) / 2, 0.5, 1 - float(k % 3) / 4) for k in range(60)]
+    items = spark.createDataFrame(rows, "item long, a_rate double, b_rate double, c_rate double")
+    users = spark.createDataFrame([(1, 0.5, 0.3, 0.2)], "user_id long, weight_a_rate double, weight_b_rate double, weight_c_rate double")
+    packed = scoring.pack_items(items, FEATURES)
+    given = diversify.Candidates(place(scoring.content_users(users, FEATURES)), packed, scoring.content_sql(FEATURES), "true")
+    got = diversify.mmr(given, FEATURES).groupBy("rank", "item").count().orderBy("rank").collect()
+    want = diversify.mmr(given.rows(FEATURES), FEATURES).groupBy("rank", "item").count().orderBy("rank").collect()
+    assert got == want and [r["count"] for r in got] == [20, 20, 20]
