@@ -311,3 +311,15 @@ def test_too_few_different_items_end_the_search(spark, monkeypatch):
     got = diversify.mmr(given, FEATURES).groupBy("rank", "item").count().orderBy("rank").collect()
     want = diversify.mmr(given.rows(FEATURES), FEATURES).groupBy("rank", "item").count().orderBy("rank").collect()
     assert got == want and [r["count"] for r in got] == [20, 20, 20]
+
+
+def test_passing_pairs_compare_items_once_a_set(spark):
+    """The rows that SQL gives for every pair, repeated and missing keys too; users do not meet the catalog."""
+    users, items, _ = uneven(spark)
+    got = constrain.passing_pairs(users, items, FEATURES).select("user_id", "item")
+    want = meet_rows(users, items, "item").where(scoring.passes_sql(FEATURES)).select("user_id", "item")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Generate explode(_passing" in plan and "Broadcast" not in plan
+    assert plan.index("REPARTITION_BY_NUM") < plan.index("ENSURE_REQUIREMENTS")
+    a, b = (sorted(map(str, d.collect())) for d in (got, want))
+    assert a == b and len(a) > 200 and len({r.user_id for r in got.collect()}) > 5
