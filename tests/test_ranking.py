@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -323,3 +324,80 @@ def test_passing_pairs_compare_items_once_a_set(spark):
     assert plan.index("REPARTITION_BY_NUM") < plan.index("ENSURE_REQUIREMENTS")
     a, b = (sorted(map(str, d.collect())) for d in (got, want))
     assert a == b and len(a) > 200 and len({r.user_id for r in got.collect()}) > 5
+
+
+def cell(tiny=1.0):
+    """A block of items and a shard of users as they reach numpy."""
+    rng = np.random.default_rng(2)
+    packed = lambda **fields: pa.StructArray.from_arrays([pa.array(v) for v in fields.values()], names=list(fields))
+    wide = lambda letter, rows: {f"{letter}{i}": rows[:, i] for i in range(rows.shape[1])}
+    x, w = rng.random((300, 3)), rng.random((40, 3))
+    w[:, 0] *= tiny
+    known = (rng.random((300, 3)) < 0.9).astype(float)
+    known[:5] = [1, 0, 0]
+    u, q = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (x - 0.5, rng.random((40, 3)) - 0.5))
+    t = np.where(rng.random((40, 3)) < 0.4, 0.6, -np.inf)
+    items = pa.table({
+        "item": pa.array(range(300)), "_g": packed(**wide("g", x)),
+        "_i": packed(**wide("c", x * known), **wide("k", known), **wide("x", x), **wide("u", u)),
+    })
+    users = pa.table({
+        "user_id": pa.array(range(40)), "_t": packed(**wide("t", t)),
+        "_u": packed(**wide("w", w), **wide("q", q), wc=np.full(40, 0.6), ws=np.full(40, 0.4)),
+    })
+    return x, t, cells_module.Users(users), cells_module.Items(items)
+
+
+def test_only_items_past_the_thresholds_are_scored(monkeypatch):
+    x, t, users, items = cell()
+    pairs, product = [], cells_module.View.product
+    monkeypatch.setattr(cells_module.View, "product", lambda *a: pairs.append(product(*a)) or pairs[-1])
+    got = cells_module.best("plain", 300, False, True)(users, items)
+    passing = sum(int((x >= row).all(1).sum()) for row in t)
+    assert sum(p.size for p in pairs) == got.num_rows == passing < 0.5 * 40 * 300
+
+
+@pytest.mark.parametrize("tiny", [1.0, 1e-42])
+@pytest.mark.parametrize("kind", ["content", "plain", "hybrid"])
+def test_short_floats_only_preselect(kind, tiny):
+    """Rough scores are right but for the slack they come with; weights out of the range of short floats take long ones."""
+    _, _, users, items = cell(tiny)
+    float_, view, every = cells_module.real(users, items), cells_module.View(items), slice(0, 40)
+    assert float_ is (np.float32 if tiny == 1 else np.float64)
+    r, c = np.divmod(np.arange(40 * 300), 300)
+    exact = cells_module.SCORES[kind][1](users, view, r, c).reshape(40, 300)
+    rough, slack = cells_module.approximate(kind, users, view, every, float_)
+    assert (np.abs(rough - exact) < slack[:, None]).all() and slack.max() < 1e-4
+    order = np.lexsort((c, -exact.ravel(), r)).reshape(40, 300)[:, :7]
+    got = cells_module.best(kind, 7, False, False)(users, items)
+    assert got["item"].to_pylist() == (order % 300).ravel().tolist() and got["score"].to_pylist() == exact.ravel()[order].ravel().tolist()
+
+
+def test_sums_less_what_is_rated():
+    """Mean and spread of the unrated items, from sums over all; with one or two items left they are looked at one by one."""
+    x, _, users, items = cell()
+    users.t = None
+    sets = [[], [3, 5], list(range(299)), list(range(2, 300)), list(range(300))] * 8
+    users.rated = np.repeat(np.arange(40), [len(s) for s in sets]), pa.array([i for s in sets for i in s], pa.int64())
+    got = cells_module.moments("plain", True, False)(users, items).to_pydict()
+    left = [np.delete(x, s, 0) for s in sets]
+    assert got["_n"] == [len(v) for v in left if len(v)]
+    for i in range(3):
+        assert np.allclose(got[f"_m{i}"], [v[:, i].mean() for v in left if len(v)], atol=1e-14, rtol=0)
+        assert np.allclose(got[f"_s{i}"], [v[:, i].var() * len(v) for v in left if len(v)], atol=1e-13, rtol=1e-9)
+
+
+@pytest.mark.parametrize("block", [16384, 40])
+def test_picks_of_one_pass_equal_those_of_many(spark, monkeypatch, block):
+    """A catalog that a cell can hold goes past the users once for all picks; a larger one as often as it takes."""
+    monkeypatch.setattr(cells_module, "ITEMS", block)
+    users, items, cells = uneven(spark, items=120)
+    users, items = place(users.where("user_id IS NOT NULL")), items.where("item IS NOT NULL")
+    given = diversify.Candidates(users, items, scoring.score_sql(FEATURES), scoring.UNRATED, cells)
+    rows = {}
+    for whole in (cells_module.WHOLE, 0):
+        monkeypatch.setattr(cells_module, "WHOLE", whole)
+        rows[whole] = sorted(tuple(r) for r in diversify.mmr(given, FEATURES).collect())
+    one, many = rows.values()
+    assert len(one) == len(many) > 20 and [r[:3] for r in one] == [r[:3] for r in many]
+    assert np.allclose([r[3:] for r in one], [r[3:] for r in many], atol=1e-9)
