@@ -114,3 +114,21 @@ def test_column_names():
     assert standard_name("value", "cultural_x") == "cultural_accessibility_score"
     assert standard_name("val", "natural_x") == "natural_spaces_index"
     assert standard_name("My-New Column") == "my_new_column"
+
+
+@pytest.mark.parametrize("blocks", [1, 3])
+def test_knn_in_cells_equals_sql(spark, blocks):
+    """Ties, repeated and missing keys, values that are no numbers; no row or expression for a pair."""
+    rng = np.random.default_rng(11)
+    rows = [(k, *[None if v < 0.3 else round(float(v), 1) for v in rng.random(3)]) for k in range(80)]
+    rows += [(5, 0.4, None, 0.4), (None, None, 0.5, 0.6), (7, None, None, 0.9), (8, None, 0.2, None), (90, float("nan"), 0.5, 0.5)]
+    for some in (rows[:-1], rows):
+        df = spark.createDataFrame(some, "id long, a double, b double, c double")
+        got, want = (f(df, "id", ["a", "b", "c"], 5, blocks) for f in (impute._candidates_in_cells, impute._candidates))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "FlatMapCoGroupsInArrow" in plan and "Generate explode(_rows" not in plan and "_rows" not in plan
+        cut = lambda df: sorted(
+            (str(r["_id"]), [[(str(e["d"]), e["k"], str(e["v"])) for e in r[c]] for c in "abc"])
+            for r in df.select("_id", *[F.expr(f"slice(array_sort({c}), 1, 5) AS {c}") for c in "abc"]).where("size(a) + size(b) + size(c) > 0").collect()
+        )
+        assert cut(got) == cut(want) and len(cut(got)) > 40
