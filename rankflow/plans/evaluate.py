@@ -52,7 +52,7 @@ def evaluate(
     with_z = z_scores(items.select("item", *features), features)
     profiles = build_profiles(importance, train, with_z, mapping, features, settings)
     mae = mean_absolute_error(predict(profiles, test, items, features), test)
-    ranked = recommend(importance, train, items, mapping, settings, n=k)
+    ranked = recommend(importance, train, with_z, mapping, settings, profiles, k)
     precision = precision_at(ranked, test, k)
     return mae.select(F.lit("mae").alias("metric"), F.col("mae").alias("value")).unionByName(
         precision.select(F.lit(f"precision_at_{k}").alias("metric"), F.col("precision").alias("value"))

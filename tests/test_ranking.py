@@ -401,3 +401,36 @@ def test_picks_of_one_pass_equal_those_of_many(spark, monkeypatch, block):
     one, many = rows.values()
     assert len(one) == len(many) > 20 and [r[:3] for r in one] == [r[:3] for r in many]
     assert np.allclose([r[3:] for r in one], [r[3:] for r in many], atol=1e-9)
+
+
+def test_ratings_go_to_their_users_without_the_values_of_items(spark, monkeypatch):
+    """The shuffle by user carries three numbers a rating; a catalog too large to be sent gives the same sums."""
+    _, items = catalog(spark)
+    items = items.selectExpr("*", *[f"{f} - 0.5D AS z_{f}" for f in FEATURES])
+    rows = [(f"u{i % 7}", f"i{i % 30:03d}", 1.0 + i % 5) for i in range(100)] + [(None, "i001", 3.0), ("u1", "nowhere", 2.0), ("u2", None, 4.0)]
+    ratings = spark.createDataFrame(rows, "user_id string, item string, rating double")
+    found = []
+    for sent in (profile.SENT, 0):
+        monkeypatch.setattr(profile, "SENT", sent)
+        sums = profile.rating_sums(ratings, items, FEATURES)
+        plan = sums._jdf.queryExecution().executedPlan().toString()
+        moved = plan.split("REPARTITION_BY_NUM")[1].split("\n")[1]
+        assert ("a_rate" in moved) == (sent == 0)
+        found.append(sums.orderBy("user_id").toPandas())
+    one, other = found
+    assert one.user_id.tolist() == other.user_id.tolist() and len(one) == 8
+    for c in one.columns[1:]:
+        assert np.allclose(np.array(one[c].tolist()), np.array(other[c].tolist()), atol=1e-12)
+
+
+def test_evaluation_builds_profiles_once(spark, monkeypatch):
+    from rankflow.plans import evaluate, recommend as plan
+
+    _, items = catalog(spark)
+    importance = spark.createDataFrame([("u", "A", 60.0, 0)], "user_id string, category string, importance double, ord int")
+    ratings = spark.createDataFrame([("u", f"i{k:03d}", 1.0 + k % 5) for k in range(12)], "user_id string, item string, rating double")
+    built = []
+    for module in (evaluate, plan):
+        monkeypatch.setattr(module, "build_profiles", lambda *a, f=module.build_profiles: built.append(1) or f(*a))
+    got = {r.metric: r.value for r in evaluate.evaluate(importance, ratings, items, MAPPING, 3).collect()}
+    assert set(got) == {"mae", "precision_at_3"} and len(built) == 1
